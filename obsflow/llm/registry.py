@@ -10,6 +10,8 @@ from obsflow.llm import sql
 from obsflow.llm.chat import op2_chat_format
 from obsflow.llm.langid import op5_language_id
 from obsflow.llm.mixing import op3_mix_sources
+from obsflow.llm.packing import op1_pack
+from obsflow.llm.pii import op9_pii
 from obsflow.llm.quality import op4_quality_rules
 from obsflow.llm.secrets import op8_secret_scan
 from obsflow.llm.warc import op10_warc
@@ -17,11 +19,13 @@ from obsflow.llm.warc import op10_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_pack,
         op2_chat_format,
         op3_mix_sources,
         op4_quality_rules,
         op5_language_id,
         op8_secret_scan,
+        op9_pii,
         op10_warc,
     )
 }
