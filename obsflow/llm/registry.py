@@ -10,6 +10,7 @@ from obsflow.llm import sql
 from obsflow.llm.chat import op2_chat_format
 from obsflow.llm.langid import op5_language_id
 from obsflow.llm.mixing import op3_mix_sources
+from obsflow.llm.near import op6_jaccard_join
 from obsflow.llm.packing import op1_pack
 from obsflow.llm.pii import op9_pii
 from obsflow.llm.quality import op4_quality_rules
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_mix_sources,
         op4_quality_rules,
         op5_language_id,
+        op6_jaccard_join,
         op8_secret_scan,
         op9_pii,
         op10_warc,

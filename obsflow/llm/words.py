@@ -122,9 +122,8 @@ def shingles(chunk: Chunk, width: int = 5) -> Iterator[np.ndarray]:
             own = np.sort(runs[at[i] : at[i + 1]])
             yield own[np.r_[True, own[1:] != own[:-1]]]
         elif begins[i + 1] > begins[i]:
-            whole = _U(begins[i + 1] - begins[i])
-            for h in hashes[begins[i] : begins[i + 1]]:
-                whole = mix(np.array([whole * _U(_BASE) + h], dtype=_U))[0]
-            yield np.array([whole], dtype=_U)
+            own = hashes[begins[i] : begins[i + 1]]
+            whole = mix(own + np.arange(1, len(own) + 1, dtype=_U) * _U(_BASE)).sum(dtype=_U, keepdims=True)
+            yield mix(whole + _U(len(own)))
         else:
             yield np.zeros(0, dtype=_U)
