@@ -97,15 +97,16 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document and its measurements."""
-    rest = docs.select(*keep, F.col("text").alias("text"))
-    if len(rest.columns) != len(keep) + 1:
-        raise ValueError("keep names columns of the documents")
-    # The text stands last and is not passed back unless it is kept.
-    names = [f"_k{i}" for i in range(len(keep))]
-    schema = ", ".join([*(f"{n} {docs.schema[k].dataType.simpleString()}" for n, k in zip(names, keep, strict=True)), *(f"{m} long" for m in MEASURES)])
-    out = docs.select(*(F.col(k).alias(n) for n, k in zip(names, keep, strict=True)), "text").mapInArrow(_measure, schema)
-    return out.select(*(F.col(n).alias(k) for n, k in zip(names, keep, strict=True)), *MEASURES)
+    """The columns ``keep`` of every document and its measurements.
+
+    Kept columns go through under other names, so that they may clash with measurements.
+    """
+    kept = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)]
+    rows = docs.select(*kept, F.col("text").alias("text"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    out = rows.mapInArrow(_measure, ", ".join([*fields, *(f"{m} long" for m in MEASURES)]))
+    clash = set(MEASURES) & set(keep)
+    return out.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)), *(F.col(m).alias(f"measured_{m}" if m in clash else m) for m in MEASURES))
 
 
 def failure_bits() -> Column:

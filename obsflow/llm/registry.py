@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from obsflow.llm import sql
+from obsflow.llm.ann import op7_nearest
 from obsflow.llm.chat import op2_chat_format
 from obsflow.llm.langid import op5_language_id
 from obsflow.llm.mixing import op3_mix_sources
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_quality_rules,
         op5_language_id,
         op6_jaccard_join,
+        op7_nearest,
         op8_secret_scan,
         op9_pii,
         op10_warc,
