@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsflow.plans import basic
+from obsflow.plans import basic, incident
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**basic.QUERIES}
-ORACLES: dict[str, str] = {**basic.ORACLES}
+# Importing a module registers its queries.
+MODULES = (basic, incident)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(basic.QUERIES)
+ORACLES: dict[str, str] = dict(basic.ORACLES)
