@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obsflow.plans import basic, incident
+from obsflow.plans import basic, control, incident
 
 # Importing a module registers its queries.
-MODULES = (basic, incident)
+MODULES = (basic, control, incident)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(basic.QUERIES)
 ORACLES: dict[str, str] = dict(basic.ORACLES)
