@@ -9,9 +9,10 @@ class from the start. What remains is a join of classes:
    order is by how often a shingle's cell of a fixed-size count table occurs
    in the corpus, then by hash. Documents are dealt to buckets by these
    shingles, and shingles that a single class has are gone after that.
-2. *Copies.* Within each shingle every class is paired with the smallest one,
-   and pairs that share much of their rare shingles are verified. Large groups
-   of near copies thereby become components without forming all pairs.
+2. *Copies.* Within each shingle every class is paired with a center, the class
+   that shares most of its rare shingles, and pairs that share much are
+   verified; then once more with what is still apart. Large groups of near
+   copies thereby become components without forming all pairs.
 3. *R-tree join.* Shingles whose classes are in one component are done. The
    others put their classes into areas, one for each largest component. In an
    area, blocks of points are packed into R-trees; points of other components
@@ -240,11 +241,27 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _areas(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(area, class, n, root, own): where classes of several components meet at a shingle."""
+def _with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries with their class's component and its number of classes."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     known = roots.join(sizes, "root").select(F.col("node").alias("class"), "root", "members")
-    rows = shared.join(known, "class", "left").select("token", "class", "n", F.coalesce("root", "class").alias("root"), F.coalesce("members", F.lit(1)).alias("members"))
+    return shared.join(known, "class", "left").select("token", "class", "n", "ties", F.coalesce("root", "class").alias("root"), F.coalesce("members", F.lit(1)).alias("members"))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each shingle's center with classes of other components, where they share much.
+
+    The center is of the largest component, and of that the class that shares most.
+    """
+    center = rows.groupBy("token").agg(F.max(F.struct("members", "ties", "class", "n", "root")).alias("center"))
+    pairs = rows.join(center, "token").where("center.root != root and 5 * center.n >= 4 * n and 5 * n >= 4 * center.n")
+    pairs = pairs.groupBy(F.least("center.class", "class").alias("a"), F.greatest("center.class", "class").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max("n").alias("n"))
+    return stage(pairs.where("20 * common >= n").select("a", "b"), "near-stars")
+
+
+def _areas(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(area, class, n, root): where classes of several components meet at a shingle."""
+    rows = _with_roots(shared, roots)
     open_ = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("members", "root")).alias("most"))
     open_ = open_.where("low != high").select("token", F.col("most.root").alias("area"))
     return stage(rows.join(open_, "token").select("area", "class", "n", "root").distinct(), "near-areas")
@@ -280,12 +297,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = int(counts.sum() // 5 // BUCKET) + 16
     routed = docs.select("text").mapInArrow(_route(order, hot, buckets), "bucket long, entries binary").repartition(buckets, "bucket")
     shared = stage(routed.mapInArrow(_shared(hot), "token long, class long, n long"), "near-shared")
-    # Copies: each class with the smallest of each shingle.
-    least = shared.groupBy("token").agg(F.min(F.struct("n", "class")).alias("least"))
-    stars = shared.join(least, "token").where("least.class != class and 5 * least.n >= 4 * n")
-    stars = stars.groupBy(F.col("least.class").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max("n").alias("n"))
-    stars = stage(stars.where("20 * common >= n").select("a", "b"), "near-stars")
-    copies = _verify(docs, rows, stars)
+    # How much of its rare shingles a class shares: an original shares all, an edited copy few.
+    ties = shared.groupBy("class").agg((F.count(F.lit(1)) / F.max("n")).alias("ties"))
+    shared = stage(shared.join(ties, "class"), "near-shared")
+    copies = _verify(docs, rows, _stars(shared.withColumn("root", F.col("class")).withColumn("members", F.lit(1))))
+    again = _stars(_with_roots(shared, components(copies))).join(copies, ["a", "b"], "left_anti")
+    copies = stage(copies.union(_verify(docs, rows, stage(again, "near-stars"))), "near-copies")
     # The R-tree join of what still meets.
     members = _areas(shared, components(copies))
     points = _of_classes(docs, rows, members, point, "near-points")
