@@ -241,7 +241,7 @@ def compare(feats: DataFrame) -> DataFrame:
     for f, weight in WEIGHTS.items():
         union = F.col(f"left_{f}") + F.col(f"right_{f}") - F.col(f"s_{f}")
         total = total + F.when(union > 0, F.col(f"s_{f}") / union).otherwise(0.0) * weight
-    rows = rows.withColumn("similarity", F.round(total, 3))
+    rows = rows.withColumn("similarity", F.round(F.round(total, 9), 3))  # the first rounding takes away the order of the sum
     status = F.when(F.col("similarity") >= 0.70, "strong_overlap").when(F.col("similarity") >= 0.40, "partial_overlap").when(F.col("similarity") > 0, "limited_overlap").otherwise("insufficient_evidence")
     return rows.select("tenant_id", "left", "right", *(f"s_{f}" for f in WEIGHTS), "similarity", status.alias("status"))
 

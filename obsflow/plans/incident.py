@@ -272,8 +272,8 @@ def d23_investigate(spark, sf_dir):
  fs as (select tenant_id, incident_id, family, count(*) n from ft group by all),
  sh as (select a.tenant_id, a.incident_id l, b.incident_id r, family, count(*) s from ft a join ft b using (tenant_id, family, feature) where a.incident_id<b.incident_id group by all),
  si as (select sh.tenant_id, sh.l, sh.r, sum(s/(a.n+b.n-s)*case sh.family when 'source' then 0.30 when 'type' then 0.25 when 'hypothesis' then 0.35 else 0.10 end) v from sh join fs a on a.tenant_id=sh.tenant_id and a.incident_id=sh.l and a.family=sh.family join fs b on b.tenant_id=sh.tenant_id and b.incident_id=sh.r and b.family=sh.family group by all)
- select tenant_id, l as "left", r as "right", round(v,2) similarity from si""")
+ select tenant_id, l as "left", r as "right", round(round(v,9),3) similarity from si""")
 def d25_compare(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
     out = E.compare(E.features(nodes, E.hypotheses(nodes, edges)))
-    return out.select("tenant_id", "left", "right", F.round("similarity", 2).alias("similarity"))
+    return out.select("tenant_id", "left", "right", "similarity")
