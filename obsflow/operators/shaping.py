@@ -62,7 +62,9 @@ def shape(df: DataFrame, cfg: ShapingConfig, pressure: float = 0.0, multiplier:
         F.array_sort(F.array_distinct("_renamed")).alias("renamed_tags"), F.col("_gone").alias("payload_dropped"), X.canonical_bytes().alias("original_bytes"),
         X.canonical_bytes(F.col("new_tags"), F.col("new_payload")).alias("shaped_bytes"),
     )
-    return rows.withColumn("decision", decision).drop("_why", "_stop", "_rate", "_least", "_rules", "_dropped", "_renamed", "_gone", "_hit", "_effective")
+    # One generated row keeps the chain of columns from being written out at each use of its result.
+    done = F.explode(F.array(F.struct(decision.alias("decision"), "new_tags", "new_payload")))
+    return rows.select(*df.columns, done.alias("_done")).select(*df.columns, "_done.decision", "_done.new_tags", "_done.new_payload")
 
 
 def effects(d: Column) -> Column:

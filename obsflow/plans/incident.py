@@ -224,7 +224,7 @@ GBASE = f"{MBASE}, " + EG.replace("CAP", "2000")
 def graph(spark, sf_dir, cap=2000):
     fz, inc = frozen(spark, sf_dir)
     nodes, edges = E.evidence_graph(inc, fz, near_markers(spark, sf_dir, fz), cap)
-    return nodes, edges.persist()
+    return nodes.persist(), edges.persist()
 
 
 @query(f"{GBASE} select tenant_id, incident_id, \"from\", \"to\", relation, assessment from ed")
@@ -275,5 +275,5 @@ def d23_investigate(spark, sf_dir):
  select tenant_id, l as "left", r as "right", round(round(v,9),3) similarity from si""")
 def d25_compare(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
-    out = E.compare(E.features(nodes, E.hypotheses(nodes, edges)))
+    out = E.compare(E.features(nodes, E.hypotheses(nodes, edges)).persist())
     return out.select("tenant_id", "left", "right", "similarity")
