@@ -50,18 +50,17 @@ def _tokenize(path: str, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         before: dict[str | None, int] = {}
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end = np.array([END_ID], dtype=width).tobytes()
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                ids = [x + end for x in tokens.encode(batch.column("text").to_pylist(), path)]
-                counts = [len(x) // 4 for x in ids]
+                ids = [x + end for x in tokens.encode(batch.column("text").to_pylist(), path, width)]
+                counts = [len(x) // len(end) for x in ids]
                 at = []
                 for source, n in zip(batch.column("source").to_pylist(), counts, strict=True):
                     at.append(before.get(source, 0))
                     before[source] = at[-1] + n
-                short = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([task] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array(counts, pa.int64()), pa.array(short, pa.binary())], ["doc_id", "source", "task", "task_start", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([task] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "task", "task_start", "doc_tokens", "ids"])
 
     return run
 

@@ -13,10 +13,12 @@ import os
 import numpy as np
 
 #: Chunks kept by a Python worker; when full the cache starts anew.
-CACHE = 600_000
-_loaded: dict[str, object] = {}
+CACHE = 1_000_000
+_loaded: dict[tuple[str, str], object] = {}
 _cache: dict[str, bytes] = {}
-_SPACES = str.maketrans("\t\n\r", "   ")
+_ends: dict[int, np.ndarray] = {}
+#: Closing marks that the tokenizer splits from letters before them, as one run.
+_MARKS = ".,;:!?)"
 
 
 def default_path() -> str:
@@ -26,36 +28,88 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenizer(path: str):
+def tokenizer(path: str, width: str = "<u4"):
     """The tokenizer of a file, loaded once for each Python worker."""
-    if path not in _loaded:
+    if (path, width) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _loaded.clear()
         _cache.clear()
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+        _loaded[path, width] = Tokenizer.from_file(path)
+    return _loaded[path, width]
 
 
-def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """For each text its ids, little-endian unsigned 32 bit; null is empty."""
-    model = tokenizer(path)
+def _parts(chunk: str) -> tuple[str, ...]:
+    """Smaller chunks with the same ids: the tokenizer lower-cases, and splits closing marks from letters.
+
+    Only where all characters come before U+0130, so that lower case is plain.
+    """
+    if not chunk or max(chunk) >= "\u0130":
+        return (chunk,)
+    low = chunk.lower()
+    base = low.rstrip(_MARKS)
+    return (base, low[len(base) :]) if base != low and base.isalpha() else (low,)
+
+
+def _word_ends(model) -> np.ndarray:
+    """Whether each id ends a word; none does in a vocabulary without word ends."""
+    if id(model) not in _ends:
+        vocab = model.get_vocab()
+        flags = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        flags[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        _ends.clear()
+        _ends[id(model)] = flags
+    return _ends[id(model)]
+
+
+def _learn(missing: dict[str, None], model, width: str) -> None:
+    """Put the ids of new chunks into the cache; only parts that are new go to the tokenizer."""
+    parts = {chunk: _parts(chunk) for chunk in missing}
+    fresh = list(dict.fromkeys(p for own in parts.values() for p in own if p not in _cache))
+    # Parts of letters alone are one word each to the tokenizer, so many go in one text and come apart at word ends.
+    ends = _word_ends(model)
+    words = [p for p in fresh if p.isalpha() and max(p) < "\u0130"]
+    texts = [words[i : i + 200] for i in range(0, len(words), 200)]
+    for own, found in zip(texts, model.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+        ids = np.array(found.ids, dtype=width)
+        cuts = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
+        if len(cuts) != len(own) + 1:
+            continue  # those words go one by one, below
+        data, size = ids.tobytes(), ids.itemsize
+        for word, a, b in zip(own, cuts, cuts[1:], strict=False):
+            _cache[word] = data[a * size : b * size]
+    others = [p for p in fresh if p not in _cache]
+    for part, found in zip(others, model.encode_batch_fast(others, add_special_tokens=False), strict=True):
+        _cache[part] = np.array(found.ids, dtype=width).tobytes()
+    for chunk, own in parts.items():
+        if own[0] != chunk or len(own) > 1:
+            _cache[chunk] = b"".join([_cache[p] for p in own])
+
+
+def encode(texts: list[str | None], path: str, width: str = "<u4") -> list[bytes]:
+    """For each text its ids as little-endian numbers of a numpy type; null is empty. A worker keeps to one type."""
+    model = tokenizer(path, width)
     pieces: list[list[str] | None] = []
-    missing: dict[str, None] = {}
     for text in texts:
         if text and "<|" in text:
             pieces.append(None)
-            continue
-        text = (text or "").translate(_SPACES)
-        words = (text.lower() if text.isascii() else text).split(" ")
-        pieces.append(words)
-        missing.update(dict.fromkeys(w for w in words if w not in _cache))
-    if len(_cache) + len(missing) > CACHE:
+        else:
+            pieces.append((text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+    if len(_cache) > CACHE:
         _cache.clear()
-        missing = dict.fromkeys(w for words in pieces if words for w in words)
-    wanted = list(missing)
-    for word, found in zip(wanted, model.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-        _cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-    get = _cache.__getitem__
-    return [b"".join(map(get, words)) if words is not None else np.array(model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() for words, text in zip(pieces, texts, strict=True)]
+    get = _cache.get
+    found = [list(map(get, words)) if words is not None else None for words in pieces]
+    missing: dict[str, None] = {}
+    for words, ids in zip(pieces, found, strict=True):
+        if ids is not None and None in ids:
+            missing.update((w, None) for w, i in zip(words, ids, strict=True) if i is None)
+    if missing:
+        _learn(missing, model, width)
+    out = []
+    for text, words, ids in zip(texts, pieces, found, strict=True):
+        if words is None:
+            out.append(np.array(model.encode(text, add_special_tokens=False).ids, dtype=width).tobytes())
+        else:
+            out.append(b"".join(ids if None not in ids else map(get, words)))
+    return out
