@@ -84,56 +84,68 @@ class Queues:
         need = (place // grain + 1) * (grain * PARTS)
         return -(-need // quantum) - 1
 
-    def pieces(self, queue: int, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For tokens ``start`` to ``start + n`` of a queue: places in the line at which pieces begin, their lengths, and how many tokens come before."""
+    def pieces(self, queue: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pieces of documents that hold tokens ``start`` to ``start + n`` of a queue.
+
+        For each piece: which document, its place in the line, its length and how many of the document's tokens come before.
+        """
         grain = int(self.grain[queue])
         if grain > 1:
-            edges = np.arange(start // grain, (start + n - 1) // grain + 1, dtype=np.int64) * grain
-            rounds = self.round_of(queue, edges)
+            first, last = start // grain, (start + n - 1) // grain
         else:
-            first, last = self.round_of(queue, np.array([start, start + n - 1], dtype=np.int64))
-            rounds = np.arange(first, last + 1, dtype=np.int64)
+            first, last = self.round_of(queue, start), self.round_of(queue, start + n - 1)
+        doc, nth = _spread(last - first + 1)
+        rounds = first[doc] + nth
+        if grain > 1:
+            rounds = self.round_of(queue, rounds * grain)
         now, then = self.served(rounds), self.served(rounds + 1)
-        lo = np.maximum(now[:, queue], start)
-        hi = np.minimum(then[:, queue], start + n)
+        lo = np.maximum(now[:, queue], start[doc])
+        hi = np.minimum(then[:, queue], (start + n)[doc])
         at = then[:, :queue].sum(axis=1) + now[:, queue:].sum(axis=1) + lo - now[:, queue]
         keep = hi > lo
-        lo, hi, at = lo[keep], hi[keep], at[keep]
+        doc, at, size = doc[keep], at[keep], (hi - lo)[keep]
         # Cut at window ends.
-        parts = (at + hi - lo - 1) // self.window - at // self.window + 1
-        of = np.repeat(np.arange(len(lo)), parts)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        window = at[of] // self.window + nth
+        of, nth = _spread((at + size - 1) // self.window - at // self.window + 1)
+        doc, window = doc[of], at[of] // self.window + nth
         begin = np.maximum(at[of], window * self.window)
-        stop = np.minimum((at + hi - lo)[of], (window + 1) * self.window)
-        # Pieces that follow one another in one window are one piece.
-        joined = np.zeros(len(begin), dtype=bool)
-        joined[1:] = (begin[1:] == stop[:-1]) & (window[1:] == window[:-1])
-        heads = np.flatnonzero(~joined)
+        stop = np.minimum((at + size)[of], (window + 1) * self.window)
+        # Pieces of a document that follow one another in one window are one piece.
+        new = np.ones(len(begin), dtype=bool)
+        new[1:] = (begin[1:] != stop[:-1]) | (window[1:] != window[:-1]) | (doc[1:] != doc[:-1])
+        heads = np.flatnonzero(new)
         length = np.add.reduceat(stop - begin, heads)
-        return begin[heads], length, np.cumsum(length) - length
+        doc, before = doc[heads], np.cumsum(length) - length
+        own = np.searchsorted(doc, np.arange(len(start)))
+        return doc, begin[heads], length, before - before[own][doc]
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts`` that many entries: whose they are, and the how-manieth each is."""
+    whose = np.repeat(np.arange(len(counts)), counts)
+    return whose, np.arange(len(whose)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _deal(queues: Queues, width: str):
+    step = max(1, 8192 // max(len(queues.size), 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for base in range(0, whole.num_rows, 512):
-                batch = whole.slice(base, 512)
-                rows: list[np.ndarray] = []
-                at, start, length, held = [], [], [], []
-                columns = (batch.column(c).to_pylist() for c in ("queue", "queue_start", "doc_tokens", "ids"))
-                for i, (queue, first, n, ids) in enumerate(zip(*columns, strict=True)):
-                    begin, size, before = queues.pieces(queue, first, n)
-                    data = np.frombuffer(ids, width).astype("<u4").tobytes()
-                    held.extend(data[4 * a : 4 * (a + b)] for a, b in zip(before.tolist(), size.tolist(), strict=True))
-                    rows.append(np.full(len(begin), i))
-                    at.append(begin)
-                    start.append(before)
-                    length.append(size)
-                if rows:
-                    take = pa.array(np.concatenate(rows))
-                    line = np.concatenate(at)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("source").take(take), pa.array(np.concatenate(start)), pa.array(np.concatenate(length)), batch.column("doc_tokens").take(take), pa.array(line // queues.window), pa.array(line % queues.window), pa.array(held, pa.binary())], ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            if not whole.num_rows:
+                continue
+            whole = whole.take(pa.array(np.argsort(np.asarray(whole.column("queue")), kind="stable")))
+            own = np.asarray(whole.column("queue"))
+            cuts = sorted({*np.flatnonzero(own[1:] != own[:-1]) + 1, *range(0, len(own), step), len(own)})
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                batch = whole.slice(lo, hi - lo)
+                start, n = (np.asarray(batch.column(c)) for c in ("queue_start", "doc_tokens"))
+                doc, line, length, before = queues.pieces(int(own[lo]), start, n)
+                # Pieces come in the order of the tokens, so their ids are one run of bytes.
+                data = np.concatenate([np.frombuffer(x.as_buffer(), width) for x in batch.column("ids")]).astype("<u4")
+                ends = np.zeros(len(length) + 1, dtype=np.int32)
+                np.cumsum(4 * length, out=ends[1:])
+                ids = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("source").take(take), pa.array(before), pa.array(length), batch.column("doc_tokens").take(take), pa.array(line // queues.window), pa.array(line % queues.window), ids], ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return run
 
