@@ -37,15 +37,17 @@ from pyspark.sql.window import Window as W
 
 from obsflow.llm.common import stage, table
 
-DEGREE = 32
+DEGREE = 64
+#: Neighbours that each tree gives a row to start from.
+FROM_TREE = 24
 #: Reverse neighbours of a node that a round sends it, nearest first; the join that follows finds the others by longer ways.
-REVERSE = 32
+REVERSE = 512
 TREES = 8
 LEAF = 2000
 #: Rows that hyperplanes are drawn from, and the fewest of them below a hyperplane.
 SAMPLE, FEWEST = 20_000, 40
 #: A node tells each neighbour at most so many others in a round.
-TELL = 6
+TELL = 8
 ROUNDS = 6
 #: Rounds end when less than this share of the entries changes.
 SETTLED = 0.05
@@ -202,7 +204,7 @@ def _start(rows: DataFrame, n: int, parts: int) -> DataFrame:
         for lo in range(0, len(ids), 512):
             s = x[lo : lo + 512] @ x.T
             s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
-            top = _tops(s, DEGREE)
+            top = _tops(s, FROM_TREE)
             owners.append(np.repeat(ids[lo : lo + 512], top.shape[1]))
             others.append(ids[top].ravel())
             scores.append(np.take_along_axis(s, top, 1).ravel())
