@@ -175,11 +175,19 @@ def _of_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, make, name
     wanted = bounded_broadcast(wanted, wanted.count(), BROADCAST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, bytes]] = []
+
+        def close() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["class", "data"])
+            found.clear()
+            return out
+
         for batch in batches:
-            found = [(_class_of(own), make(own)) for _, own in _sets(batch)]
-            for lo in range(0, len(found), 512):
-                some = found[lo : lo + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), pa.array([d for _, d in some], pa.binary())], ["class", "data"])
+            for _, own in _sets(batch):
+                found.append((_class_of(own), make(own)))
+                if len(found) >= 256:
+                    yield close()
+        yield close()
 
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     return stage(texts.mapInArrow(run, "class long, data binary").dropDuplicates(["class"]), name, "lz4")

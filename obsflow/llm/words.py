@@ -36,7 +36,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(19, int(n - 1).bit_length())
         steps = np.full(size, _U(base), dtype=_U)
         steps[0] = _U(1)
         got = _powers[base] = np.cumprod(steps, dtype=_U)
@@ -85,7 +85,7 @@ class Chunk:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
 
-def chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
+def chunks(texts: pa.Array, limit: int = 1 << 18) -> Iterator[Chunk]:
     """Cut a batch between texts, at about ``limit`` bytes; a longer text is a chunk of its own. Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
