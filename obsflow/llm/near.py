@@ -20,7 +20,13 @@ class from the start. What remains is a join of classes:
    the searcher's own component are passed over. Surviving pairs are verified.
 
 No link between different components is lost, so components are exact. Pairs
-inside a component, which can't change it, aren't formed.
+inside a component, which can't change it, aren't formed up to here.
+
+4. *Links.* A link never leaves a component, so links are counted by a self-join
+   of each component's classes, in pairs of blocks; every pair of classes that
+   shares a shingle is compared, in one place. A document links with its copies
+   and with all documents of the classes that its own class links with. Only the
+   sums by class are written, not the pairs.
 
 Edge cases: null and empty texts have no shingles, link with nothing and are
 their own component. A null doc_id gets the smallest doc_id of its component,
@@ -49,6 +55,10 @@ BUCKET = 1_000_000
 BROADCAST_ROWS = 1_000_000
 #: Points of a block in a search area, about.
 BLOCK = 4096
+#: Classes of a block that links are counted in, where that takes up to SPREAD blocks; and shingles of a block beyond that.
+COUNTED, SPREAD, COUNTED_SHINGLES = 512, 8, 2_000_000
+#: Shingles counted in one matrix product.
+PRODUCT = 2048
 _ENTRY = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<i8")])
 
 
@@ -292,10 +302,88 @@ def _blocks(members: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.explode(pairs)).select("area", "p.i", "p.j", "own", "class", "n", "root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (its smallest doc_id) of every document (doc_id, text)."""
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each left set, how many shingles it shares with each right set."""
+    m = len(right)
+    tokens = np.concatenate(right)
+    by = np.argsort(tokens, kind="stable")
+    owner = np.repeat(np.arange(m), [len(x) for x in right])[by]
+    known, starts = np.unique(tokens[by], return_index=True)
+    sizes = np.diff(np.r_[starts, len(tokens)])
+    # Shingles that many sets have are counted by matrix products, and the others along their lists.
+    common = sizes * 16 >= m
+    column = np.cumsum(common) - 1
+    dense = np.flatnonzero(common)
+    for lo in range(0, len(left), COUNTED):
+        some = left[lo : lo + COUNTED]
+        at = [np.minimum(np.searchsorted(known, x), len(known) - 1) for x in some]
+        at = [i[known[i] == x] for i, x in zip(at, some, strict=True)]
+        total = np.zeros((len(some), m), np.float32)
+        columns = [column[i[common[i]]] for i in at]
+        for first in range(0, len(dense), PRODUCT):
+            part = dense[first : first + PRODUCT]
+            a, b = np.zeros((len(some), len(part)), np.float32), np.zeros((len(part), m), np.float32)
+            for k, c in enumerate(columns):
+                a[k, c[(c >= first) & (c < first + PRODUCT)] - first] = 1
+            for k, i in enumerate(part):
+                b[k, owner[starts[i] : starts[i] + sizes[i]]] = 1
+            total += a @ b
+        for k, i in enumerate(at):
+            i = i[~common[i]]
+            ends = np.cumsum(sizes[i])
+            lists = np.repeat(starts[i] - ends + sizes[i], sizes[i]) + np.arange(ends[-1] if len(ends) else 0)
+            yield total[k].astype(np.int64) + np.bincount(owner[lists], minlength=m)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, links) of each class in each pair of blocks; rows come sorted by component and pair of blocks."""
+    names = ("root", "i", "j", "own", "class", "n", "copies", "data")
+
+    def counts(rows: list[tuple]) -> pa.RecordBatch:
+        left = [r for r in rows if r[3] == r[1]]
+        right = left if rows[0][1] == rows[0][2] else [r for r in rows if r[3] == r[2]]
+        mine, theirs = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        if left and right:
+            sets = [[np.frombuffer(r[7], np.uint64) for r in side] for side in (left, right)]
+            n, copies = np.array([r[5] for r in right], np.int64), np.array([r[6] for r in right], np.int64)
+            for k, shared in enumerate(_shared_counts(*sets)):
+                linked = similar(shared, left[k][5], n)
+                if right is left:
+                    linked[k] = False
+                else:
+                    theirs[linked] += left[k][6]
+                mine[k] = copies[linked].sum()
+        rows, found = (left, mine) if right is left else (left + right, np.r_[mine, theirs])
+        return pa.RecordBatch.from_arrays([pa.array([r[4] for r in rows], pa.int64()), pa.array(found)], ["class", "links"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield counts(held)
+                held = []
+            held.append(row)
+    if held:
+        yield counts(held)
+
+
+def _degrees(docs: DataFrame, rows: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, links): how many documents of other classes a class with links has them with."""
+    members = roots.withColumnRenamed("node", "class").join(classes.select("class", "n", "copies"), "class")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("entries"))
+    k = F.greatest(F.ceil(F.col("entries") / COUNTED_SHINGLES), F.least(F.lit(SPREAD), F.ceil(F.col("of") / COUNTED))).cast("int")
+    members = stage(members.join(sizes.select("root", k.alias("k")), "root").withColumn("own", F.pmod(F.xxhash64("class"), F.col("k")).cast("int")), "near-members")
+    met = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
+    sets = _of_classes(docs, rows, members, lambda own: own.tobytes(), "near-sets")
+    dealt = members.withColumn("p", F.explode(met)).select("root", "p.i", "p.j", "own", "class", "n", "copies").join(sets, "class")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    counted = dealt.select("root", "i", "j", "own", "class", "n", "copies", "data").mapInArrow(_count, "class long, links long")
+    return stage(counted.groupBy("class").agg(F.sum("links").alias("links")), "near-degrees")
+
+
+def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, class) of every document, and (node, root) of every class that has a link."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     profile = stage(docs.mapInArrow(_profile, f"doc_id {kind}, n long, class long, part int, counts binary"), "near-profile")
     rows = profile.where("part is null").select("doc_id", "n", "class")
@@ -316,14 +404,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     points = _of_classes(docs, rows, members, point, "near-points")
     dealt = _blocks(members).join(points, "class").repartition("area", "i", "j").sortWithinPartitions("area", "i", "j")
     pairs = stage(dealt.select("area", "i", "j", "own", "class", "n", "root", "data").mapInArrow(_search, "a long, b long").distinct(), "near-pairs")
-    links = copies.unionByName(_verify(docs, rows, pairs))
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = classes.join(components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return rows, components(copies.unionByName(_verify(docs, rows, pairs)))
+
+
+def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The classes (class, least) with their component_id."""
+    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "root").select("class", "component_id")
+    return named.join(smallest, "root").drop("root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (its smallest doc_id) of every document (doc_id, text)."""
+    rows, roots = _resolved(docs.select("doc_id", "text"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    named = _named(classes, roots).select("class", "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.where("n > 0").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
 
 
+def near_links(docs: DataFrame) -> DataFrame:
+    """The columns of :func:`near_duplicates`, class_id (the smallest doc_id with an equal set) and links of every document.
+
+    Links are the other documents at the similarity, equal sets included.
+    """
+    docs = docs.select("doc_id", "text")
+    rows, roots = _resolved(docs)
+    classes = stage(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "near-classes")
+    named = _named(classes.drop("n"), roots).join(_degrees(docs, rows, roots, classes), "class", "left")
+    named = named.select("class", "component_id", F.col("least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    n, own = F.col("n").alias("n_shingles"), F.col("doc_id")
+    empty = rows.where("n = 0").select("doc_id", n, own.alias("component_id"), own.alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return rows.where("n > 0").join(named, "class").select("doc_id", n, "component_id", "class_id", "links").union(empty)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_links(table(spark, sf_dir, "documents"))

@@ -237,6 +237,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == _components({d: _shingles(t or "") for d, t in rows})
 
 
+@pytest.mark.parametrize("counted,spread", [(512, 8), (4, 3)])
+def test_links_equal_brute_force(spark, monkeypatch, counted, spread):
+    monkeypatch.setattr(near, "COUNTED", counted)
+    monkeypatch.setattr(near, "SPREAD", spread)
+    monkeypatch.setattr(near, "table", lambda *_: df)
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(n)) for n in (6, 60, 300)]
+    made = ["", None, "one", "one", *base, *base]
+    for b in base:
+        made += [_edited(rng, b, s) for s in (0.0, 0.01, 0.02, 0.03, 0.04) for _ in range(8)]
+    rows = [(i * 3, t) for i, t in enumerate(made)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = {d: _shingles(t or "") for d, t in rows}
+    near_ = lambda a, b: bool(a) and 9 * len(a & b) >= 4 * (len(a) + len(b))
+    want = {d: (min((e for e, t in sets.items() if t == s), default=d) if s else d, sum(near_(s, t) for e, t in sets.items() if e != d)) for d, s in sets.items()}
+    got = {r.doc_id: (r.class_id, r.links) for r in near.op6_jaccard_join(spark, "").collect()}
+    assert got == want
+    assert max(n for _, n in want.values()) > 10
+
+
 def test_count_tree_loses_nothing():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 400).astype(np.uint64)
