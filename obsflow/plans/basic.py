@@ -182,6 +182,12 @@ def s7_counter_delta(spark, sf_dir):
     return stats.counter_delta(rows, ["tenant_id", "source"], "total", "event_time").select("tenant_id", "source", "n", "delta")
 
 
+@query(f"with {COUNTER.replace(' where n%4=0', '')} select tenant_id, source, n, case when total<p then total else total-p end delta from (select *, coalesce(lag(total) over (partition by tenant_id,source order by event_time),0) p from c) where case when total<p then total else total-p end>0")
+def s7_counter_delta_all(spark, sf_dir):
+    rows = events(spark, sf_dir).select("tenant_id", "source", "event_time", "n", ((F.col("n") * 7) % 1000).cast("long").alias("total"))
+    return stats.counter_delta(rows, ["tenant_id", "source"], "total", "event_time").select("tenant_id", "source", "n", "delta")
+
+
 @query("""with p as (select tenant_id, source, event_time, epoch_us(event_time)/1e6 x, least(greatest(metric_value/1000,0),1) y, event_id from ev where metric_value is not null),
  q as (select *, list(x) over w xs, list(y) over w ys from p window w as (partition by tenant_id, source order by event_time rows 11 preceding)),
  r as (select event_id, y, len(xs) m, list_sum([a-xs[1] for a in xs]) sx, list_sum(ys) sy, list_sum([(xs[i]-xs[1])*ys[i] for i in range(1,len(xs)+1)]) sxy, list_sum([(a-xs[1])*(a-xs[1]) for a in xs]) sxx from q),

@@ -133,6 +133,12 @@ def j2_incident_counts(spark, sf_dir):
     return E.incident_counts(inc, fz.where("source = 'svc-1' and n % 50 = 0")).select("tenant_id", "incident_id", "events")
 
 
+@query(f"with {CAND}, {FZ} select tenant_id, incident_id, coalesce(count(distinct fz.event_id),0) events from inc left join fz using (tenant_id, incident_id) group by all")
+def j2_incident_counts_all(spark, sf_dir):
+    fz, inc = frozen(spark, sf_dir)
+    return E.incident_counts(inc, fz).select("tenant_id", "incident_id", "events")
+
+
 NEAR = "nr as (select s.incident_id, m.* from (select tenant_id, incident_id, min(event_time) a, max(event_time) b from fz group by all) s join mk m on m.tenant_id=s.tenant_id and m.changed_at between s.a-interval 15 minute and s.b+interval 5 minute)"
 
 

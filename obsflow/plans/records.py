@@ -226,8 +226,17 @@ def s5_rejected_points(spark, sf_dir):
 
 @query("select event_id, case when n%2=0 then 'deployment.completed' else 'feature_flag.changed' end event_type, case when n%4=0 then 'C'||n else 'CHG-'||event_id end change_id from ev where n%5=0")
 def s6_changes_to_events(spark, sf_dir):
+    return _changes(events(spark, sf_dir).where("n % 5 = 0"))
+
+
+@query("select event_id, case when n%2=0 then 'deployment.completed' else 'feature_flag.changed' end event_type, case when n%4=0 then 'C'||n else 'CHG-'||event_id end change_id from ev")
+def s6_changes_to_events_all(spark, sf_dir):
+    return _changes(events(spark, sf_dir))
+
+
+def _changes(ev):
     n = F.col("n")
-    rows = events(spark, sf_dir).where("n % 5 = 0").select("tenant_id", "event_id", "source", F.when(n % 2 == 0, "deployment").otherwise("feature_flag").alias("kind"), F.lit(None).cast("string").alias("status"), "tags", F.col("event_time").alias("changed_at"), F.when(n % 4 == 0, F.concat(F.lit("C"), n.cast("string"))).alias("change_id"), F.lit("v1").alias("version"), F.lit(None).cast("string").alias("rollback_of"))
+    rows = ev.select("tenant_id", "event_id", "source", F.when(n % 2 == 0, "deployment").otherwise("feature_flag").alias("kind"), F.lit(None).cast("string").alias("status"), "tags", F.col("event_time").alias("changed_at"), F.when(n % 4 == 0, F.concat(F.lit("C"), n.cast("string"))).alias("change_id"), F.lit("v1").alias("version"), F.lit(None).cast("string").alias("rollback_of"))
     return ingest.changes_to_events(rows, "2030-01-01")[0].select("event_id", "event_type", X.tag("ctl.change_id").alias("change_id"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from obsflow.functions import exprs as X
 from obsflow.operators import cardinality, changes, evidence, folds, lineage, shaping, stats
 from obsflow.operators.intervals import interval_join
+from obsflow.plans import registry, views
 from obsflow.schema import EVENT, CardinalityRule, Policy, Pressure, Protection, ShapingConfig, ShapingRule
 from obsflow.streaming.pipeline import KeyedSpacing, dedup_stream, parquet_sink, run_pipeline, windowed_stats
 
@@ -27,6 +28,24 @@ def test_drop_tag_at_threshold_two(spark):
     assert [r.event_id for r in found.collect()] == ["b"]
 
 
+def test_counts_of_incidents_with_and_without_events(spark):
+    inc = spark.createDataFrame([("t", "full"), ("t", "none"), ("u", "full")], "tenant_id string, incident_id string")
+    fz = spark.createDataFrame([("t", "full", s, e) for s, e in (("svc-0", "e1"), ("svc-2", "e2"), ("svc-1", "e3"), ("svc-1", "e3"))], "tenant_id string, incident_id string, source string, event_id string")
+    got = {(r.tenant_id, r.incident_id): r.events for r in evidence.incident_counts(inc, fz).collect()}
+    assert got == {("t", "full"): 3, ("t", "none"): 0, ("u", "full"): 0}
+
+
+def test_whole_queries_cover_all_events(spark):
+    q, small = registry.QUERIES, "/root/testdata/sf0.001"
+    all_ = views.events(spark, small)
+    assert q["s6_changes_to_events_all"](spark, small).count() == all_.count()
+    assert {r.n % 4 for r in q["s7_counter_delta_all"](spark, small).collect()} == {0, 1, 2, 3}
+    frozen = {(r.tenant_id, r.incident_id): r.events for r in q["j1_freeze"](spark, small).collect()}
+    got = {(r.tenant_id, r.incident_id): r.events for r in q["j2_incident_counts_all"](spark, small).collect()}
+    assert got == frozen and sum(got.values()) > 0
+    spark.catalog.clearCache()
+
+
 def test_pressure_has_a_floor(spark):
     cfg = ShapingConfig("c", pressure=Pressure(True, 0.7, 0.9, 0.5, 0.2), rules=(ShapingRule("r", sample_rate=0.5, min_sample_rate=0.1),))
     row = shaping.shape(events(spark, [("a", 0, "x", None, None)]), cfg, 0.95).collect()[0]
