@@ -142,19 +142,25 @@ def explicit_rollback(nodes: DataFrame) -> DataFrame:
 #: Families of relations in the order in which the cap admits them.
 ORDER = ("change-near-incident", "shared-correlation", "shared-trace", "same-source-sequence", "latency-precedes-error", "recovery-signal", "change-precedes-error", "structured-change-precedes-error", "explicit-rollback-of", "recovery-after-rollback")
 
+#: Relations of an incident to its runs, by the kind of the run's node.
+RUNS = {"replay": "evaluated-by-replay", "cost-simulation": "evaluated-by-cost-simulation"}
+
 
 def cap_edges(edges: DataFrame, cap: int = 2000) -> DataFrame:
-    """Distinct edges, at most ``cap`` of an incident, in the order of relation, from and to; captures don't count."""
-    free = edges.where("relation = 'captured-in'")
-    rows = edges.where("relation != 'captured-in'").dropDuplicates([*KEY, "from", "to", "relation"])
+    """Distinct edges, at most ``cap`` of an incident, in the order of relation, from and to; captures and runs don't count."""
+    exempt = F.col("relation").isin("captured-in", *RUNS.values())
+    free = edges.where(exempt)
+    rows = edges.where(~exempt).dropDuplicates([*KEY, "from", "to", "relation"])
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ORDER)), F.col("relation")), F.lit(0))
     w = W.partitionBy(*KEY).orderBy(rank, "relation", "from", "to")
     return free.unionByName(rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap).drop("_k"))
 
 
-def evidence_graph(incidents: DataFrame, ev: DataFrame, markers: DataFrame | None = None, cap: int = 2000) -> tuple[DataFrame, DataFrame]:
+def evidence_graph(incidents: DataFrame, ev: DataFrame, markers: DataFrame | None = None, cap: int = 2000, replays: DataFrame | None = None, costs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of every incident. ``ev`` are frozen events, ``markers`` changes near an incident; both carry incident_id.
 
+    ``replays`` and ``costs`` are runs of incidents: tenant_id, incident_id, run_id. Runs of other incidents make nothing.
+
     Correlation and trace ids make edges and are never exported.
     """
     root = F.concat(F.lit("incident:"), "incident_id")
@@ -172,6 +178,11 @@ def evidence_graph(incidents: DataFrame, ev: DataFrame, markers: DataFrame | Non
         near = own.select(*KEY, root.alias("from"), F.col("node").alias("to"), F.lit("change-near-incident").alias("relation"), F.lit(RELATED).alias("assessment"))
         for part in (near, marker_precedes_error(m, ev), explicit_rollback(m), recovery_after_rollback(m, ev)):
             edges = edges.unionByName(part)
+    for node_kind, prefix, runs in (("replay", "replay:", replays), ("cost-simulation", "cost:", costs)):
+        if runs is not None:
+            own = runs.join(incidents.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, F.concat(F.lit(prefix), "run_id").alias("id"), "run_id")
+            nodes = nodes.union(own.select(*KEY, "id", F.lit(node_kind), "run_id", none, none, none))
+            edges = edges.unionByName(own.select(*KEY, root.alias("from"), F.col("id").alias("to"), F.lit(RUNS[node_kind]).alias("relation"), F.lit(RELATED).alias("assessment")))
     return nodes, cap_edges(edges, cap)
 
 

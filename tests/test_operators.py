@@ -35,6 +35,19 @@ def test_counts_of_incidents_with_and_without_events(spark):
     assert got == {("t", "full"): 3, ("t", "none"): 0, ("u", "full"): 0}
 
 
+def test_graph_has_the_runs_of_its_incidents(spark):
+    key = "tenant_id string, incident_id string"
+    inc = spark.createDataFrame([("t", "i"), ("u", "i")], key)
+    fz = events(spark, [("a", 0, "x", None, None)]).withColumn("incident_id", F.lit("i"))
+    replays = spark.createDataFrame([("t", "i", "r1"), ("t", "i", "r2"), ("t", "other", "r3")], f"{key}, run_id string")
+    costs = spark.createDataFrame([("t", "i", "c1"), ("v", "i", "c2")], f"{key}, run_id string")
+    nodes, edges = evidence.evidence_graph(inc, fz, cap=0, replays=replays, costs=costs)
+    made = {(r.tenant_id, r.id, r.kind) for r in nodes.where("kind in ('replay', 'cost-simulation')").collect()}
+    assert made == {("t", "replay:r1", "replay"), ("t", "replay:r2", "replay"), ("t", "cost:c1", "cost-simulation")}
+    got = {(r["from"], r.to, r.relation, r.assessment) for r in edges.where("relation like 'evaluated%'").collect()}
+    assert got == {("incident:i", f"replay:r{k}", "evaluated-by-replay", "related") for k in (1, 2)} | {("incident:i", "cost:c1", "evaluated-by-cost-simulation", "related")}
+
+
 def test_whole_queries_cover_all_events(spark):
     q, small = registry.QUERIES, "/root/testdata/sf0.001"
     all_ = views.events(spark, small)
