@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from obsflow.functions import exprs as X
+from obsflow.operators.changes import changes_near
 
 
 def _sha(c: Column) -> Column:
@@ -100,11 +101,22 @@ def rendezvous(keys: DataFrame, nodes: list[tuple[str, str, str, str]], local: t
     return keys.withColumn("node", F.array_max(F.array(*options))["node"])
 
 
-def bundle(incidents: DataFrame, members: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The chosen incidents' rows of every member table."""
+def bundle(incidents: DataFrame, members: dict[str, DataFrame], by_pair: dict[str, DataFrame] | None = None, markers: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The chosen incidents' rows of every member table.
+
+    ``by_pair`` are tables by (tenant_id, source, event_type), as schemas and drifts: an incident takes the rows of
+    its events' pairs. ``markers`` are changes: it takes those near its events. Both need the member ``events``.
+    """
     key = ["tenant_id", "incident_id"]
     chosen = incidents.select(*key).distinct()
-    return {"incidents": incidents} | {name: df.join(chosen, key, "left_semi") for name, df in members.items()}
+    out = {"incidents": incidents} | {name: df.join(chosen, key, "left_semi") for name, df in members.items()}
+    if by_pair:
+        pairs = out["events"].select(*key, "source", "event_type").distinct()
+        out |= {name: df.join(pairs, ["tenant_id", "source", "event_type"]) for name, df in by_pair.items()}
+    if markers is not None:
+        spans = out["events"].groupBy(*key).agg(F.min("event_time").alias("first_at"), F.max("event_time").alias("last_at"))
+        out["changes"] = changes_near(spans, markers)
+    return out
 
 
 def manifest(members: dict[str, DataFrame]) -> DataFrame:

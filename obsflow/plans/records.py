@@ -12,7 +12,7 @@ from obsflow.operators import replay as P
 from obsflow.operators import schemas as S
 from obsflow.plans.basic import POLICY, SHADOW, query
 
-from obsflow.plans.incident import CAND, EDGE, FZ, GBASE, frozen, near_markers
+from obsflow.plans.incident import CAND, EDGE, FZ, GBASE, frozen, markers, near_markers
 from obsflow.plans.views import ERR, events
 from obsflow.sources import export, ingest
 
@@ -313,6 +313,25 @@ def s17_bundle(spark, sf_dir):
     return L.bundle(inc.where("category = 'latency'"), {"events": fz.drop("n")})["events"].select("tenant_id", "incident_id", "event_id")
 
 
+def whole_bundle(spark, sf_dir):
+    """All members of all incidents' bundle; a replay and a cost run of each incident."""
+    fz, inc = frozen(spark, sf_dir)
+    shape = described(spark, sf_dir)
+    # Staged, since the plans of the members are large.
+    members = {"events": fz.drop("n"), "replays": stage(P.replay_totals(P.replay(fz, POLICY, SHADOW)), "bundle-replays"), "costs": stage(P.cost_simulation(fz, POLICY, SHADOW), "bundle-costs")}
+    by_pair = {"schemas": stage(S.schema_registry(shape), "bundle-schemas"), "drifts": stage(S.schema_drifts(shape), "bundle-drifts")}
+    return L.bundle(inc, members, by_pair, markers(spark, sf_dir))
+
+
+@query()
+def s17_bundle_all(spark, sf_dir):
+    out = None
+    for name, df in sorted(whole_bundle(spark, sf_dir).items()):
+        rows = df.groupBy("tenant_id", "incident_id").agg(F.lit(name).alias("member"), F.count(F.lit(1)).alias("rows"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @query()
 def s18_manifest(spark, sf_dir):
     fz, inc = frozen(spark, sf_dir)

@@ -48,6 +48,19 @@ def test_graph_has_the_runs_of_its_incidents(spark):
     assert got == {("incident:i", f"replay:r{k}", "evaluated-by-replay", "related") for k in (1, 2)} | {("incident:i", "cost:c1", "evaluated-by-cost-simulation", "related")}
 
 
+def test_bundle_selects_by_pair_and_near_changes(spark):
+    key = "tenant_id string, incident_id string"
+    inc = spark.createDataFrame([("t", "i")], key)
+    fz = events(spark, [("a", 0, "x", None, None), ("b", 60, "y", None, None)]).withColumn("incident_id", F.lit("i"))
+    fz = fz.union(events(spark, [("c", 0, "z", None, None)]).withColumn("incident_id", F.lit("left out")))
+    table = spark.createDataFrame([(t, "api", e, "1") for t, e in (("t", "x"), ("t", "y"), ("t", "z"), ("u", "x"))], "tenant_id string, source string, event_type string, schema_version string")
+    near = [("t", f"c{s}", T0 + timedelta(seconds=s)) for s in (-901, -900, 360, 361)] + [("u", "other", T0)]
+    got = lineage.bundle(inc, {"events": fz}, {"schemas": table}, spark.createDataFrame(near, "tenant_id string, change_id string, changed_at timestamp"))
+    assert {r.event_id for r in got["events"].collect()} == {"a", "b"}
+    assert {(r.tenant_id, r.incident_id, r.event_type) for r in got["schemas"].collect()} == {("t", "i", "x"), ("t", "i", "y")}
+    assert {(r.incident_id, r.change_id) for r in got["changes"].collect()} == {("i", "c-900"), ("i", "c360")}
+
+
 def test_whole_queries_cover_all_events(spark):
     q, small = registry.QUERIES, "/root/testdata/sf0.001"
     all_ = views.events(spark, small)
