@@ -232,3 +232,30 @@ def retry_delay_ms(attempt: Column, base: Column, most: Column) -> Column:
 def overlay(low: Column, high: Column) -> Column:
     """Both maps; where they share a key, the second's value."""
     return F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(high, k)), high)
+
+
+def one_decimal(v: Column) -> Column:
+    """A number that isn't negative with one decimal, rounded by its exact binary value, ties to even.
+
+    Whether ``20 v`` is above an odd whole number ``m`` is asked as ``16 v - m``
+    against ``-4 v``: both sides are exact where they are close, so no rounding
+    of the product decides.
+    """
+    near = F.rint(v * 10)
+    odd = lambda c: F.when(F.pmod(c, F.lit(2.0)) == 0, 0).otherwise(1)
+    above, below = (16 * v - (2 * near + 1)), (16 * v - (2 * near - 1))
+    up = F.when(above > -4 * v, 1).when((above == -4 * v) & (odd(near) == 1), 1).otherwise(0)
+    down = F.when(below < -4 * v, 1).when((below == -4 * v) & (odd(near) == 1), 1).otherwise(0)
+    return _tenths((near + up - down).cast("long"))
+
+
+def _tenths(n: Column) -> Column:
+    text = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(2)), F.lit("0"))
+    return F.concat(F.left(text, F.length(text) - 1), F.lit("."), F.right(text, F.lit(1)))
+
+
+def duration_text(seconds: int) -> str:
+    """Whole seconds as hours, minutes and seconds, leaving out leading zeros: ``45s``, ``1m0s``, ``2h0m5s``."""
+    hours, rest = divmod(seconds, 3600)
+    minutes, rest = divmod(rest, 60)
+    return (f"{hours}h" if hours else "") + (f"{minutes}m" if hours or minutes else "") + f"{rest}s"

@@ -31,7 +31,7 @@ def detect_incidents(df: DataFrame, latency_ms: float = 1000.0, errors: int = 5,
     slow = X.high_latency(latency_ms)
     burst = ~slow & X.is_error() & (F.col("recent_errors") >= errors)
     rows = rows.withColumn("category", F.when(slow, "latency").when(burst, "errors")).where("category is not null")
-    reason = F.when(slow, F.format_string("latency threshold breached: %.1fms >= %.1fms", "metric_value", F.lit(float(latency_ms)))).otherwise(F.format_string(f"error threshold breached: %d errors within {window}s", "recent_errors"))
+    reason = F.when(slow, F.concat(F.lit("latency threshold breached: "), X.one_decimal(F.col("metric_value")), F.lit(f"ms >= {latency_ms:.1f}ms"))).otherwise(F.concat(F.lit("error threshold breached: "), F.col("recent_errors").cast("string"), F.lit(f" errors within {X.duration_text(window)}")))
     rows = spaced(rows.withColumn("reason", reason), ["tenant_id", "source", "category"], "event_time", "event_id", cooldown)
     at = F.col("event_time")
     return rows.select(
@@ -240,21 +240,37 @@ def features(nodes: DataFrame, hypotheses_: DataFrame) -> DataFrame:
 WEIGHTS = {"source": 0.30, "type": 0.25, "hypothesis": 0.35, "change": 0.10}
 
 
-def compare(feats: DataFrame) -> DataFrame:
-    """Similarity of all pairs of a tenant's incidents that share a feature, by an inverted index."""
-    sizes = feats.groupBy(*KEY, "family").agg(F.count(F.lit(1)).alias("n"))
-    wide = sizes.groupBy(*KEY).agg(*(F.coalesce(F.max(F.when(F.col("family") == f, F.col("n"))), F.lit(0)).alias(f"n_{f}") for f in WEIGHTS))
-    side = lambda name: wide.select("tenant_id", F.col("incident_id").alias(name), *(F.col(f"n_{f}").alias(f"{name}_{f}") for f in WEIGHTS))
-    a, b = (feats.select("tenant_id", F.col("incident_id").alias(x), "family", "feature") for x in ("left", "right"))
-    shared = a.join(b, ["tenant_id", "family", "feature"]).where("left < right").groupBy("tenant_id", "left", "right").agg(*(F.count_if(F.col("family") == f).alias(f"s_{f}") for f in WEIGHTS))
-    rows = shared.join(side("left"), ["tenant_id", "left"]).join(side("right"), ["tenant_id", "right"])
+def compare(feats: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Similarity of a tenant's incidents that share a feature: all pairs, or the given ones (tenant_id, left, right).
+
+    Incidents with equal features are one set, and sets are compared by an
+    inverted index; only what comes out is laid out over the pairs of incidents.
+    """
+    own = feats.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("family", "feature"))).alias("features"))
+    own = own.withColumn("set", F.sha2(F.to_json("features").cast("binary"), 256))
+    members = own.select(*KEY, "set")
+    sets = own.groupBy("tenant_id", "set").agg(F.first("features").alias("features"))
+    count = lambda f: F.size(F.filter("features", lambda x: x["family"] == f))
+    side = lambda name: sets.select("tenant_id", F.col("set").alias(f"set_{name}"), *(count(f).alias(f"{name}_{f}") for f in WEIGHTS))
+    spread = sets.select("tenant_id", "set", F.explode("features").alias("_f")).select("tenant_id", "set", "_f.family", "_f.feature")
+    a, b = (spread.withColumnRenamed("set", f"set_{x}") for x in ("left", "right"))
+    shared = a.join(b, ["tenant_id", "family", "feature"]).where("set_left <= set_right").groupBy("tenant_id", "set_left", "set_right").agg(*(F.count_if(F.col("family") == f).alias(f"s_{f}") for f in WEIGHTS))
+    rows = shared.join(side("left"), ["tenant_id", "set_left"]).join(side("right"), ["tenant_id", "set_right"])
     total = F.lit(0.0)
     for f, weight in WEIGHTS.items():
         union = F.col(f"left_{f}") + F.col(f"right_{f}") - F.col(f"s_{f}")
         total = total + F.when(union > 0, F.col(f"s_{f}") / union).otherwise(0.0) * weight
     rows = rows.withColumn("similarity", F.round(F.round(total, 9), 3))  # the first rounding takes away the order of the sum
     status = F.when(F.col("similarity") >= 0.70, "strong_overlap").when(F.col("similarity") >= 0.40, "partial_overlap").when(F.col("similarity") > 0, "limited_overlap").otherwise("insufficient_evidence")
-    return rows.select("tenant_id", "left", "right", *(f"s_{f}" for f in WEIGHTS), "similarity", status.alias("status"))
+    rows = rows.select("tenant_id", "set_left", "set_right", *(f"s_{f}" for f in WEIGHTS), "similarity", status.alias("status"))
+    first, second = (members.select("tenant_id", F.col("incident_id").alias(x), F.col("set").alias(f"set_{x}")) for x in ("one", "two"))
+    if pairs is None:
+        laid = rows.join(first.withColumnRenamed("set_one", "set_left"), ["tenant_id", "set_left"]).join(second.withColumnRenamed("set_two", "set_right"), ["tenant_id", "set_right"])
+        laid = laid.where("set_left != set_right or one < two").withColumn("left", F.least("one", "two")).withColumn("right", F.greatest("one", "two"))
+    else:
+        laid = pairs.select("tenant_id", "left", "right").join(first.withColumnRenamed("one", "left"), ["tenant_id", "left"]).join(second.withColumnRenamed("two", "right"), ["tenant_id", "right"])
+        laid = laid.withColumn("set_left", F.least("set_one", "set_two")).withColumn("set_right", F.greatest("set_one", "set_two")).join(rows, ["tenant_id", "set_left", "set_right"])
+    return laid.select("tenant_id", "left", "right", *(f"s_{f}" for f in WEIGHTS), "similarity", "status")
 
 
 def recommend(costs: DataFrame, replays: DataFrame) -> DataFrame:
