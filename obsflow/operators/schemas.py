@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from obsflow.functions import exprs as X
+from obsflow.operators.numbering import numbered
 
 KEY = ["tenant_id", "source", "event_type", "schema_version"]
 DEEPEST, MOST_FIELDS, MOST_PATHS = 5, 512, 2048
@@ -29,31 +30,45 @@ def _kind(v: Column) -> Column:
     )
 
 
-def fields(df: DataFrame) -> DataFrame:
-    """A row for each path of each event: its columns, path, type. Only objects are walked into, five levels deep."""
-    own = [c for c in df.columns]
-    pair = lambda path, kind: F.struct(F.lit(path).alias("path"), F.lit(kind).alias("type"))
-    fixed = F.array_compact(F.array(F.when(F.col("metric_value").isNotNull(), pair("metric.value", "number")), F.when(X.filled(F.col("metric_unit")).isNotNull(), pair("metric.unit", "string"))))
-    tags = F.transform(F.array_sort(F.map_keys("tags")), lambda k: F.struct(F.concat(F.lit("tags."), k).alias("path"), F.lit("string").alias("type")))
-    out = df.withColumn("_f", F.explode(F.concat(fixed, F.coalesce(tags, F.expr("cast(array() as array<struct<path:string,type:string>>)"))))).select(*own, "_f.path", "_f.type")
-    level = df.where(F.length("payload") > 0).withColumn("_v", F.expr("try_parse_json(payload)")).withColumn("_path", F.lit("payload"))
-    broken = level.where("_v is null").select(*own, F.lit("payload").alias("path"), F.lit("string").alias("type"))
-    level = level.where("_v is not null")
-    out = out.union(broken)
+_FIELD = "array<struct<keys:array<string>,type:string>>"
+
+
+def _payload_fields(value: Column) -> tuple[Column, Column]:
+    """The paths below a payload as (keys, type), parents before children and keys in order; and whether deeper ones were left out.
+
+    Only objects are walked into. Text that isn't JSON is one string.
+    """
+    level = F.array(F.struct(F.array(F.lit("payload")).alias("keys"), value.alias("value")))
+    found = []
     for _ in range(DEEPEST + 1):
-        level = level.withColumn("_t", _kind(F.col("_v")))
-        out = out.union(level.select(*own, "_path", "_t"))
-        children = level.where("_t = 'object'").select(*own, "_path", F.explode(F.expr("cast(_v as map<string, variant>)")).alias("_k", "_c"))
-        level = children.select(*own, F.concat("_path", F.lit("."), "_k").alias("_path"), F.col("_c").alias("_v"))
-    return out
+        found.append(F.transform(level, lambda n: F.struct(n["keys"].alias("keys"), _kind(n["value"]).alias("type"))))
+        objects = F.filter(level, lambda n: _kind(n["value"]) == "object")
+        level = F.flatten(F.transform(objects, lambda n: F.transform(F.map_entries(n["value"].cast("map<string,variant>")), lambda e: F.struct(F.concat(n["keys"], F.array(e["key"])).alias("keys"), e["value"].alias("value")))))
+    walked = F.array_sort(F.concat(*found))
+    broken = F.array(F.struct(F.array(F.lit("payload")).alias("keys"), F.lit("string").alias("type")))
+    return F.when(value.isNull(), broken).otherwise(walked), F.coalesce(value.isNotNull() & (F.size(level) > 0), F.lit(False))
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """One row for each event: KEY, sorted fields (path, type), fingerprint and whether fields were cut."""
-    rows = fields(df.select("event_id", "event_time", *KEY, "tags", "payload", "metric_value", "metric_unit", "schema_url"))
-    grouped = rows.groupBy("event_id", "event_time", *KEY, "schema_url").agg(F.array_sort(F.collect_list(F.struct("path", "type"))).alias("fields"))
-    cut = grouped.withColumn("truncated", F.size("fields") > MOST_FIELDS).withColumn("fields", F.slice("fields", 1, MOST_FIELDS))
-    return cut.withColumn("fingerprint", fingerprint())
+    """One row for each event: KEY, sorted fields (path, type), fingerprint and whether fields were cut.
+
+    Fields are taken in the order metric, tags, payload up to MOST_FIELDS, and
+    sorted after that. An event without any has an empty array.
+    """
+    name = lambda path, kind: F.struct(F.array(F.lit(path)).alias("keys"), F.lit(kind).alias("type"))
+    fixed = F.array_compact(F.array(F.when(F.col("metric_value").isNotNull(), name("metric.value", "number")), F.when(X.filled(F.col("metric_unit")).isNotNull(), name("metric.unit", "string"))))
+    tags = F.transform(F.array_sort(F.map_keys("tags")), lambda k: F.struct(F.array(F.concat(F.lit("tags."), k)).alias("keys"), F.lit("string").alias("type")))
+    none = F.expr(f"cast(array() as {_FIELD})")
+    rows = df.select("event_id", "event_time", *KEY, "schema_url", F.concat(fixed, F.coalesce(tags, none)).alias("_own"), F.when(F.length("payload") > 0, F.col("payload")).alias("_payload"))
+    rows = rows.withColumn("_value", F.expr("try_parse_json(_payload)"))
+    walked, deeper = _payload_fields(F.col("_value"))
+    room = MOST_FIELDS - F.size("_own")
+    rows = rows.withColumn("_below", F.when(F.col("_payload").isNotNull() & (room > 0), walked).otherwise(none)).withColumn("_deeper", deeper)
+    json = F.col("_value").isNotNull() & (room > 0)
+    cut = (room < 0) | (json & ((F.size("_below") >= room) | F.col("_deeper")))
+    told = F.transform(F.slice(F.concat("_own", "_below"), 1, MOST_FIELDS), lambda f: F.struct(F.array_join(f["keys"], ".").alias("path"), f["type"].alias("type")))
+    rows = rows.select("event_id", "event_time", *KEY, "schema_url", F.array_sort(told).alias("fields"), F.coalesce(cut, F.lit(False)).alias("truncated"))
+    return rows.withColumn("fingerprint", fingerprint())
 
 
 def fingerprint(c: str = "fields") -> Column:
@@ -77,7 +92,7 @@ def semantic_findings(rows: DataFrame) -> DataFrame:
 
 def observations(described: DataFrame) -> DataFrame:
     """Descriptions numbered within their version: obs_no from 1."""
-    return described.withColumn("obs_no", F.row_number().over(W.partitionBy(*KEY).orderBy("event_time", "event_id")))
+    return numbered(described, KEY, "event_time", "event_id", "obs_no")
 
 
 def paths(described: DataFrame) -> DataFrame:
@@ -86,10 +101,16 @@ def paths(described: DataFrame) -> DataFrame:
 
 
 def schema_registry(described: DataFrame) -> DataFrame:
-    """State of each path of each version: first type, seen and conflict counts, required, first and last seen."""
+    """State of each path of each version: first type, seen and conflict counts, required, first and last seen.
+
+    Counts by path and type combine before they shuffle; no events are numbered.
+    """
     total = described.groupBy(*KEY).agg(F.count(F.lit(1)).alias("observations"))
-    rows = paths(described).withColumn("_first", F.first("type").over(W.partitionBy(*KEY, "path").orderBy("obs_no")))
-    out = rows.groupBy(*KEY, "path").agg(F.min_by("type", "obs_no").alias("type"), F.count(F.lit(1)).alias("seen"), F.count_if(F.col("type") != F.col("_first")).alias("conflicts"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"), F.min("obs_no").alias("_born"))
+    rows = described.withColumn("_f", F.explode("fields")).select(*KEY, "_f.path", "_f.type", F.struct("event_time", "event_id").alias("_at"))
+    kinds = rows.groupBy(*KEY, "path", "type").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_born"), F.max("_at").alias("_last"))
+    first = F.min(F.struct("_born", "type", "n")).alias("_f")
+    out = kinds.groupBy(*KEY, "path").agg(first, F.sum("n").alias("seen"), F.max("_last").alias("_last"))
+    out = out.select(*KEY, "path", F.col("_f.type").alias("type"), "seen", (F.col("seen") - F.col("_f.n")).alias("conflicts"), F.col("_f._born.event_time").alias("first_seen"), F.col("_last.event_time").alias("last_seen"), F.col("_f._born").alias("_born"))
     out = out.withColumn("_k", F.row_number().over(W.partitionBy(*KEY).orderBy("_born", "path"))).where(F.col("_k") <= MOST_PATHS).drop("_k", "_born")
     out = out.join(total, KEY)
     return out.withColumn("required", (F.col("observations") >= FLOOR) & (F.col("seen") * 100 >= F.col("observations") * PERCENT))
