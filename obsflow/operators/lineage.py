@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from obsflow.functions import exprs as X
 from obsflow.operators.changes import changes_near
+from obsflow.operators.numbering import numbered
+from obsflow.operators.tables import validate
 
 
 def _sha(c: Column) -> Column:
@@ -19,8 +21,13 @@ def merkle_root(df: DataFrame, keys: list[str], order: list[str], leaf: str) ->
 
     A round halves every group; the largest group sets the number of rounds.
     """
-    rows = df.select(*keys, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long").alias("_i"), F.col(leaf).alias("root"))
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    if dict(df.dtypes)[order[0]] == "timestamp" and len(order) == 2:
+        rows = numbered(df, keys, *order, "_i")
+    else:
+        rows = df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    rows = rows.select(*keys, (F.col("_i") - 1).cast("long").alias("_i"), F.col(leaf).alias("root"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(sizes, keys)
     most = rows.agg(F.max("_n")).collect()[0][0] or 0
     while most > 1:
         pair = F.sort_array(F.collect_list(F.struct("_i", "root")))
@@ -38,18 +45,33 @@ def seal_records(ev: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
     A record's hash covers its payload and place; the previous hash is kept beside it.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
-    rows = ev.withColumn("sequence", F.row_number().over(w)).withColumn("payload_sha256", _sha(X.canonical_text()))
+    rows = numbered(ev, keys, *order, "sequence").withColumn("payload_sha256", _sha(X.canonical_text()))
     rows = rows.withColumn("record_hash", _sha(F.concat_ws("|", *keys, F.col("sequence").cast("string"), "payload_sha256")))
-    return rows.withColumn("previous_record_hash", F.coalesce(F.lag("record_hash").over(w), F.lit("")))
+    return _with_previous(rows, keys, {"record_hash": "previous_record_hash"}, {"record_hash": F.lit("")})
+
+
+#: Records of a block in which each looks at the one before.
+BLOCK = 4096
+
+
+def _with_previous(rows: DataFrame, keys: list[str], names: dict[str, str], empty: dict[str, Column]) -> DataFrame:
+    """Adds columns of the record before (by sequence): inside blocks of sequences, and for a block's first one from the last before the block."""
+    rows = rows.withColumn("_block", F.floor(F.col("sequence") / BLOCK))
+    last = rows.groupBy(*keys, "_block").agg(F.max_by(F.struct(*names), "sequence").alias("_last"))
+    last = last.withColumn("_carried", F.lag("_last").over(W.partitionBy(*keys).orderBy("_block"))).drop("_last")
+    inside = W.partitionBy(*keys, "_block").orderBy("sequence")
+    rows = rows.withColumn("_before", F.lag(F.struct(*names)).over(inside)).join(last, [*keys, "_block"])
+    before = F.coalesce("_before", "_carried")
+    return rows.select(*(c for c in rows.columns if c not in ("_block", "_before", "_carried")), *(F.coalesce(before[a], empty[a]).alias(b) for a, b in names.items()))
+
+
 
 
 def verify_chain(records: DataFrame, keys: list[str]) -> DataFrame:
     """Records that break the chain, with the reason: payload, record hash, link or sequence."""
-    w = W.partitionBy(*keys).orderBy("sequence")
     rows = records.withColumn("_p", _sha(X.canonical_text())).withColumn("_h", _sha(F.concat_ws("|", *keys, F.col("sequence").cast("string"), "payload_sha256")))
-    rows = rows.withColumn("_before", F.coalesce(F.lag("record_hash").over(w), F.lit(""))).withColumn("_seq", F.coalesce(F.lag("sequence").over(w), F.lit(0)) + 1)
-    why = F.when(F.col("_p") != F.col("payload_sha256"), "payload").when(F.col("_h") != F.col("record_hash"), "record_hash").when(F.col("_before") != F.col("previous_record_hash"), "link").when(F.col("_seq") != F.col("sequence"), "sequence")
+    rows = _with_previous(rows, keys, {"record_hash": "_link", "sequence": "_seq"}, {"record_hash": F.lit(""), "sequence": F.lit(0).cast("long")})
+    why = F.when(F.col("_p") != F.col("payload_sha256"), "payload").when(F.col("_h") != F.col("record_hash"), "record_hash").when(F.col("_link") != F.col("previous_record_hash"), "link").when(F.col("_seq") + 1 != F.col("sequence"), "sequence")
     return rows.withColumn("reason", why).where("reason is not null").select(*keys, "sequence", "reason")
 
 
@@ -73,8 +95,9 @@ def verify_segments(seals: DataFrame, records: DataFrame, keys: list[str], size:
 
 def quorum_audit(acks: DataFrame, quorum: int, zones: int = 1, regions: int = 1, clouds: int = 1) -> DataFrame:
     """Whether each record reached enough distinct nodes, zones, regions and clouds."""
-    distinct = lambda c: F.count_distinct(c).alias(f"{c}s")
-    rows = acks.groupBy("sequence").agg(F.count_distinct("node_id").alias("nodes"), distinct("zone"), distinct("region"), distinct("cloud"))
+    distinct = lambda c, name: F.size(F.collect_set(c)).cast("long").alias(name)
+    # The members of a quorum are few, so sets of their names combine before the shuffle and no row is expanded.
+    rows = acks.groupBy("sequence").agg(distinct("node_id", "nodes"), distinct("zone", "zones"), distinct("region", "regions"), distinct("cloud", "clouds"))
     return rows.withColumn("durable", (F.col("nodes") >= quorum) & (F.col("zones") >= zones) & (F.col("regions") >= regions) & (F.col("clouds") >= clouds))
 
 
@@ -88,17 +111,27 @@ def delivery_accounting(offered: DataFrame, accepted: DataFrame, delivered: Data
     return out.agg(*(F.count_if(F.col("fate") == f).alias(f) for f in ("rejected", "delivered", "retained", "lost")), F.coalesce(F.sum(F.when(F.col("_d") > 1, F.col("_d") - 1)), F.lit(0)).alias("duplicates"))
 
 
-def rendezvous(keys: DataFrame, nodes: list[tuple[str, str, str, str]], local: tuple[str, str, str]) -> DataFrame:
-    """The node of each key: nearest tier first (zone, region, cloud, any), then the largest hash of key and node.
+def rendezvous(keys: DataFrame, nodes: list[tuple[str, str, str, str]], local: tuple[str, str, str], policy: str = "locality", states: dict[str, dict] | None = None, stale_after: float = 30.0, max_pressure: float = 0.95) -> DataFrame:
+    """The node of each key: nearest tier first (zone, region, cloud, any), then the largest hash of key and node, then the name.
 
     ``nodes`` are (id, cloud, region, zone): a short list of the mesh's members.
+    Under another policy than ``locality`` all nodes are one tier. ``states``
+    says of a node whether it is ``ready`` (if not told, yes), ``draining``
+    (no), ``local`` (no), its ``pressure`` (0) and ``age`` in seconds (0); a node
+    that is not ready, draining, at the pressure bound or, unless local, older
+    than ``stale_after`` takes no keys. Where none is left the node is null.
     """
     cloud, region, zone = local
     options = []
     for name, c, r, z in nodes:
-        tier = 0 if (c, r, z) == local else 1 if (c, r) == (cloud, region) else 2 if c == cloud else 3
-        options.append(F.struct(F.lit(-tier).alias("tier"), X.hash64_hex(F.concat(F.col("key"), F.lit("|" + name))).alias("hash"), F.lit(name).alias("node")))
-    return keys.withColumn("node", F.array_max(F.array(*options))["node"])
+        now = (states or {}).get(name, {})
+        stale = not now.get("local", False) and now.get("age", 0.0) > stale_after
+        if not now.get("ready", True) or now.get("draining", False) or now.get("pressure", 0.0) >= max_pressure or stale:
+            continue
+        tier = 0 if (c, r, z) == local else 1 if region and (c, r) == (cloud, region) else 2 if cloud and c == cloud else 3
+        tier = tier if policy == "locality" else 0
+        options.append(F.struct(F.lit(tier).alias("tier"), F.translate(X.hash64_hex(F.concat(F.col("key"), F.lit("|" + name))), "0123456789abcdef", "fedcba9876543210").alias("least"), F.lit(name).alias("node")))
+    return keys.withColumn("node", F.array_min(F.array(*options))["node"] if options else F.lit(None).cast("string"))
 
 
 def bundle(incidents: DataFrame, members: dict[str, DataFrame], by_pair: dict[str, DataFrame] | None = None, markers: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -143,10 +176,14 @@ def verify_bundle(members: dict[str, DataFrame], expected: DataFrame) -> DataFra
 
 
 def import_bundle(members: dict[str, DataFrame], tenant: str, existing: DataFrame, digest: str, imported: DataFrame) -> dict[str, DataFrame]:
-    """The bundle under another tenant, without incidents that it already has; nothing if this archive was imported before."""
+    """The bundle under another tenant, without incidents that it already has; nothing if this archive was imported before.
+
+    Of the member ``events`` only valid ones come in.
+    """
     fresh = imported.where(F.col("digest") == digest).limit(1).count() == 0
     out = {}
     for name, df in members.items():
         rows = df.withColumn("tenant_id", F.lit(tenant)).join(existing.select("tenant_id", "incident_id"), ["tenant_id", "incident_id"], "left_anti")
+        rows = validate(rows)[0] if name == "events" else rows
         out[name] = rows.withColumn("imported_from", F.lit(digest)).where(F.lit(fresh))
     return out
