@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from obsflow.functions import exprs as X
 from obsflow.operators import cardinality as K
 from obsflow.operators.folds import throttle
+from obsflow.operators.tables import normalize
 from obsflow.schema import CONTROL, Policy
 
 SECONDS_PER_MONTH = 30 * 24 * 3600
@@ -24,8 +25,11 @@ def _split(c: str = "tenant_id") -> tuple[Column, Column]:
 
 
 def replay(ev: DataFrame, active: Policy, shadow: Policy | None = None) -> DataFrame:
-    """For each frozen event: changed, dropped tags, quarantined, reported findings and shadow differences."""
-    rows = _scoped(ev)
+    """For each frozen event: changed, dropped tags, quarantined, reported findings and shadow differences.
+
+    Events are normalized first, as they were when they came in.
+    """
+    rows = _scoped(normalize(ev).drop("failed"))
     found = K.decisions(rows, active).where("act is not null")
     act = found.groupBy("tenant_id", "event_id").agg(F.count_if(F.col("act").isin("drop_tag", "quarantine")).alias("dropped"), F.bool_or(F.col("act") == "quarantine").alias("quarantined"))
     reported = throttle(found, ["tenant_id", "source", "event_type", "dimension", "act"]).groupBy("tenant_id", "event_id").agg(F.count(F.lit(1)).alias("findings"))
@@ -45,7 +49,9 @@ def replay_totals(results: DataFrame) -> DataFrame:
 
 
 def _profile(ev: DataFrame, name: str) -> DataFrame:
-    return ev.groupBy("tenant_id").agg(F.sum(X.canonical_bytes()).alias(f"{name}_bytes"), F.count_distinct(F.sha2(X.series_id().cast("binary"), 256)).alias(f"{name}_series"))
+    # Bytes are those of the event, whose tenant is the scope's first part.
+    rows = ev.withColumn("_scope", F.col("tenant_id")).withColumn("tenant_id", _split()[0])
+    return rows.groupBy("_scope").agg(F.sum(X.canonical_bytes()).alias(f"{name}_bytes"), F.count_distinct(F.sha2(X.series_id().cast("binary"), 256)).alias(f"{name}_series")).withColumnRenamed("_scope", "tenant_id")
 
 
 def cost_simulation(ev: DataFrame, active: Policy, shadow: Policy | None = None, per_gb: float = 0.0, per_1000_series: float = 0.0, control: str = CONTROL) -> DataFrame:

@@ -173,16 +173,16 @@ def w3_sliding_error_count(spark, sf_dir):
     return stats.sliding_error_count(events(spark, sf_dir)).select("event_id", "recent_errors")
 
 
-COUNTER = "c as (select tenant_id, source, event_time, n, cast((n*7)%1000 as bigint) total from ev where n%4=0)"
+COUNTER = "c as (select tenant_id, source, event_time, n, cast((n*7)%1000 as bigint) total from ev)"
 
 
 @query(f"with {COUNTER} select tenant_id, source, n, case when total<p then total else total-p end delta from (select *, coalesce(lag(total) over (partition by tenant_id,source order by event_time),0) p from c) where case when total<p then total else total-p end>0")
 def s7_counter_delta(spark, sf_dir):
-    rows = events(spark, sf_dir).where("n % 4 = 0").select("tenant_id", "source", "event_time", "n", ((F.col("n") * 7) % 1000).cast("long").alias("total"))
+    rows = events(spark, sf_dir).select("tenant_id", "source", "event_time", "n", ((F.col("n") * 7) % 1000).cast("long").alias("total"))
     return stats.counter_delta(rows, ["tenant_id", "source"], "total", "event_time").select("tenant_id", "source", "n", "delta")
 
 
-@query(f"with {COUNTER.replace(' where n%4=0', '')} select tenant_id, source, n, case when total<p then total else total-p end delta from (select *, coalesce(lag(total) over (partition by tenant_id,source order by event_time),0) p from c) where case when total<p then total else total-p end>0")
+@query(f"with {COUNTER} select tenant_id, source, n, case when total<p then total else total-p end delta from (select *, coalesce(lag(total) over (partition by tenant_id,source order by event_time),0) p from c) where case when total<p then total else total-p end>0")
 def s7_counter_delta_all(spark, sf_dir):
     rows = events(spark, sf_dir).select("tenant_id", "source", "event_time", "n", ((F.col("n") * 7) % 1000).cast("long").alias("total"))
     return stats.counter_delta(rows, ["tenant_id", "source"], "total", "event_time").select("tenant_id", "source", "n", "delta")

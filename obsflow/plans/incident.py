@@ -94,7 +94,7 @@ CAND = f"""cand as (select *, case when {HIGH} then 'latency' else 'errors' end
  walk as (select tenant_id, source, category, min(epoch_us(event_time)) us from cand group by all union all
   select w.tenant_id, w.source, w.category, (select min(epoch_us(c.event_time)) from cand c where c.tenant_id=w.tenant_id and c.source=w.source and c.category=w.category and epoch_us(c.event_time)>=w.us+600000000) from walk w where w.us is not null),
  inc as (select c.tenant_id, 'AUTO-'||epoch_ms(c.event_time)||'-'||c.source||'-'||c.category incident_id, c.source, c.category, c.event_id, c.event_time frozen_to, c.event_time-interval 15 minute frozen_from,
-  case when c.category='latency' then printf('latency threshold breached: %.1fms >= %.1fms', c.metric_value, 1000.0) else printf('error threshold breached: %d errors within 60s', c.recent) end reason
+  case when c.category='latency' then printf('latency threshold breached: %.1fms >= %.1fms', c.metric_value, 1000.0) else printf('error threshold breached: %d errors within 1m0s', c.recent) end reason
   from walk w join cand c on w.us=epoch_us(c.event_time) and w.tenant_id=c.tenant_id and w.source=c.source and w.category=c.category)"""
 FZ = "fz as (select i.incident_id, e.* from inc i join ev e on e.tenant_id=i.tenant_id and e.event_time between i.frozen_from and i.frozen_to)"
 
@@ -127,10 +127,10 @@ def j1_freeze(spark, sf_dir):
     return frozen(spark, sf_dir)[0].groupBy("tenant_id", "incident_id").agg(F.count(F.lit(1)).alias("events"), F.min("n").alias("first_n"), F.max("n").alias("last_n"))
 
 
-@query(f"with {CAND}, {FZ} select tenant_id, incident_id, coalesce(count(distinct fz.event_id) filter (fz.source='svc-1' and fz.n%50=0),0) events from inc left join fz using (tenant_id, incident_id) group by all")
+@query(f"with {CAND}, {FZ} select tenant_id, incident_id, count(distinct fz.event_id) events from inc left join fz using (tenant_id, incident_id) group by all")
 def j2_incident_counts(spark, sf_dir):
     fz, inc = frozen(spark, sf_dir)
-    return E.incident_counts(inc, fz.where("source = 'svc-1' and n % 50 = 0")).select("tenant_id", "incident_id", "events")
+    return E.incident_counts(inc, fz).select("tenant_id", "incident_id", "events")
 
 
 @query(f"with {CAND}, {FZ} select tenant_id, incident_id, coalesce(count(distinct fz.event_id),0) events from inc left join fz using (tenant_id, incident_id) group by all")

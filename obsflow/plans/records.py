@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from obsflow.functions import exprs as X
-from obsflow.llm.common import stage
 from obsflow.operators import evidence as E
 from obsflow.operators import lineage as L
 from obsflow.operators import replay as P
 from obsflow.operators import schemas as S
 from obsflow.plans.basic import POLICY, SHADOW, query
-
+from obsflow.plans.control import ACT, RUN
 from obsflow.plans.incident import CAND, EDGE, FZ, GBASE, frozen, markers, near_markers
-from obsflow.plans.views import ERR, events
+from obsflow.plans.views import ERR, TAGS, events
 from obsflow.sources import export, ingest
+from obsflow.staging import stage
 
 VERSION = ["tenant_id", "source", "event_type", "schema_version"]
 #: DuckDB: fields of the view's events; its payloads are flat objects.
@@ -25,7 +25,7 @@ FLD = """fl as (select tenant_id,source,event_type,schema_version,event_id,event
  fn as (select fl.*, ono from fl join nb on eid=event_id),
  fk as (select *, first_value(typ) over w ftyp, row_number() over w kk, lead(ono) over w nx from fn window w as (partition by tenant_id,source,event_type,schema_version,path order by ono)),
  tt as (select tenant_id,source,event_type,schema_version,count(*) total from ev group by all),
- rg as (select tenant_id,source,event_type,schema_version,path,arg_min(typ,ono) typ,count(*) seen,count_if(typ<>ftyp) conflicts,any_value(total) observations, any_value(total)>=20 and count(*)*100>=any_value(total)*95 required, max(event_time) last_seen from fk join tt using (tenant_id,source,event_type,schema_version) group by tenant_id,source,event_type,schema_version,path)"""
+ rg as (select tenant_id,source,event_type,schema_version,path,arg_min(typ,ono) typ,count(*) seen,count_if(typ<>ftyp) conflicts,any_value(total) observations, any_value(total)>=20 and count(*)*100>=any_value(total)*95 required, min(event_time) first_seen, max(event_time) last_seen from fk join tt using (tenant_id,source,event_type,schema_version) group by tenant_id,source,event_type,schema_version,path)"""
 
 
 def described(spark, sf_dir):
@@ -49,9 +49,9 @@ def d28_semantic_findings(spark, sf_dir):
     return S.semantic_findings(rows.withColumn("path", path)).groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {FLD} select tenant_id,source,event_type,schema_version,path,typ as type,seen,conflicts,observations,required from rg")
+@query(f"with {FLD} select tenant_id,source,event_type,schema_version,path,typ as type,seen,conflicts,observations,required,epoch_us(first_seen) first_us,epoch_us(last_seen) last_us from rg")
 def a13_schema_registry(spark, sf_dir):
-    return S.schema_registry(described(spark, sf_dir)).select(*VERSION, "path", "type", "seen", "conflicts", "observations", "required")
+    return S.schema_registry(described(spark, sf_dir)).select(*VERSION, "path", "type", "seen", "conflicts", "observations", "required", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
 
 
 @query(f"with {FLD} select tenant_id,source,event_type,schema_version,path,ono obs_no from fk where kk=1 and ono>1")
@@ -78,12 +78,12 @@ def w12_schema_url_changes(spark, sf_dir):
     return S.schema_url_changes(rows).select("event_id", "previous_url", "schema_url")
 
 
-DRIFT = f"{FLD}, {MISS}, dr as (select tenant_id,source,event_type,schema_version,'field_added' kind,path,'info' severity,count(*) occurrences from fk where kk=1 and ono>1 group by all union all select tenant_id,source,event_type,schema_version,'type_changed',path,'breaking',count(*) from fk where typ<>ftyp group by all union all select tenant_id,source,event_type,schema_version,'required_field_missing',path,'breaking',occurrences from ms)"
+DRIFT = f"{FLD}, {MISS}, dr as (select tenant_id,source,event_type,schema_version,'field_added' kind,path,'info' severity,typ as type,count(*) occurrences from fk where kk=1 and ono>1 group by all union all select tenant_id,source,event_type,schema_version,'type_changed',path,'breaking',ftyp||'>'||typ,count(*) from fk where typ<>ftyp group by all union all select tenant_id,source,event_type,schema_version,'required_field_missing',path,'breaking','',occurrences from ms)"
 
 
-@query(f"with {DRIFT} select * from dr")
+@query(f"with {DRIFT} select *, sha256(concat_ws('|',tenant_id,source,event_type,schema_version,kind,path,type)) signature from dr")
 def a14_schema_drifts(spark, sf_dir):
-    return S.schema_drifts(described(spark, sf_dir)).select(*VERSION, "kind", "path", "severity", "occurrences")
+    return S.schema_drifts(described(spark, sf_dir)).select(*VERSION, "kind", "path", "severity", "type", "occurrences", "signature")
 
 
 @query(f"with {DRIFT} select tenant_id,source,event_type,schema_version, case when bool_or(severity='breaking') then 'breaking' else 'healthy' end health from dr group by all")
@@ -109,27 +109,72 @@ def w14_newest_version(spark, sf_dir):
     return S.newest_version(S.schema_registry(described(spark, sf_dir))).select("tenant_id", "source", "event_type", "schema_version")
 
 
-@query()
+#: DuckDB: the running counts of frozen events, each incident apart, and what both policies decide of them.
+SCOPED = f"""{CAND}, {FZ}, {RUN[RUN.index('hs as'):].replace('from tr)', 'from tr)')}"""
+SCOPED = SCOPED.replace("hs as", "tr as (select f.tenant_id||chr(31)||f.incident_id tenant_id, f.source, f.event_type, f.event_id, f.event_time, f.n, t.k, t.v, date_trunc('hour', f.event_time) hr from fz f join tg t using (event_id)), hs as", 1)
+SCOPED += f""", {ACT.replace('dc as (', 'dc as materialized (')},
+ ds as materialized (select *, case when observed>=threshold or projected>=threshold then act when dangerous and observed>=greatest(3,threshold//10) then 'allow' end decided from (select *, case when k='request_id' then 25 when k='user_id' then 30 else 40 end threshold, case when k in ('request_id','user_id') then 'drop_tag' else 'allow' end act, k in ('user_id','request_id') dangerous from pj))"""
+THROTTLED = """fnd as materialized (select tenant_id, source, event_type, k, decided, event_id, epoch_us(event_time) us from dc where decided is not null),
+ wk as (select tenant_id, source, event_type, k, decided, min(us) us from fnd group by all union all select w.tenant_id, w.source, w.event_type, w.k, w.decided, (select min(c.us) from fnd c where c.tenant_id=w.tenant_id and c.source=w.source and c.event_type=w.event_type and c.k=w.k and c.decided=w.decided and c.us>=w.us+60000000) from wk w where w.us is not null)"""
+REPLAYED = f"""{SCOPED}, {THROTTLED},
+ rf as (select tenant_id, event_id, count(*) findings from fnd join wk using (tenant_id, source, event_type, k, decided, us) group by all),
+ rd as (select tenant_id, event_id, count_if(decided in ('drop_tag','quarantine')) dropped, coalesce(bool_or(decided='quarantine'),false) quarantined from dc group by all),
+ rs as (select tenant_id, event_id, count(*) shadow_diffs from (select *, coalesce(decided,'allow') a, case when observed>=st or projected>=st then sa else 'allow' end b from (select *, case when k='request_id' then 25 when k='user_id' then 30 else 40 end st, case when k in ('request_id','user_id') then 'drop_tag' else 'allow' end sa from dc)) where a<>b group by all),
+ rp as (select f.tenant_id, f.incident_id, f.event_id, coalesce(dropped,0)>0 or coalesce(quarantined,false) changed, coalesce(dropped,0) dropped, coalesce(quarantined,false) quarantined, coalesce(findings,0) findings, coalesce(shadow_diffs,0) shadow_diffs
+  from fz f left join rd on rd.tenant_id=f.tenant_id||chr(31)||f.incident_id and rd.event_id=f.event_id left join rf on rf.tenant_id=f.tenant_id||chr(31)||f.incident_id and rf.event_id=f.event_id left join rs on rs.tenant_id=f.tenant_id||chr(31)||f.incident_id and rs.event_id=f.event_id)"""
+TOTALS = "select tenant_id, incident_id, count(*) events, count_if(changed) changed, cast(sum(dropped) as bigint) dropped, count_if(quarantined) quarantined, cast(sum(findings) as bigint) findings, cast(sum(shadow_diffs) as bigint) shadow_diffs from rp group by all"
+
+
+@query(f"with {REPLAYED} select * from rp")
 def d16_replay(spark, sf_dir):
     return P.replay(frozen(spark, sf_dir)[0], POLICY, SHADOW)
 
 
-@query(f"with {CAND}, {FZ} select tenant_id, incident_id, count(*) events from fz group by all")
+@query(f"with {REPLAYED} {TOTALS}")
 def a12_replay_totals(spark, sf_dir):
-    return P.replay_totals(P.replay(frozen(spark, sf_dir)[0], POLICY)).select("tenant_id", "incident_id", "events")
+    return P.replay_totals(P.replay(frozen(spark, sf_dir)[0], POLICY, SHADOW))
+
+
+def _profile_sql(name: str, tags: str) -> str:
+    """DuckDB: bytes and series of each incident with the tags of a table (scope, event_id, k, v)."""
+    return f"""p{name} as (select scope, sum(octet_length(encode('event_id='||event_id||chr(10)||'tenant_id='||tenant_id||chr(10)||'source='||source||chr(10)||'event_type='||event_type||chr(10)||'event_time='||epoch_us(event_time)||chr(10)||coalesce(ts,'')
+  ||coalesce('payload='||payload||chr(10),'')||coalesce('metric_value='||cast(cast(metric_value as decimal(28,6)) as varchar)||chr(10),'')||coalesce('metric_unit='||metric_unit||chr(10),'')||'schema_version='||schema_version||chr(10)||'correlation_id='||correlation_id||chr(10)))) {name}_bytes,
+  count(distinct source||'|'||event_type||coalesce(ss,'')) {name}_series from (select f.*, f.tenant_id||chr(31)||f.incident_id scope, g.ts, g.ss from fz f left join (select scope, event_id, string_agg('tag.'||k||'='||v||chr(10),'' order by k) ts, string_agg('|'||k||'='||v,'' order by k) filter (not starts_with(k,'ctl.')) ss from {tags} group by all) g on g.scope=f.tenant_id||chr(31)||f.incident_id and g.event_id=f.event_id) group by scope)"""
+
+
+COSTS = f"""{SCOPED},
+ t0 as (select tenant_id scope, event_id, k, v from dc),
+ held as (select tenant_id scope, event_id, string_agg(k, ',' order by k) dims from dc where decided='quarantine' group by all),
+ ta as (select tenant_id scope, event_id, k, v from dc where decided is null or decided not in ('drop_tag','quarantine') union all select scope, event_id, 'ctl.quarantined', 'true' from held union all select scope, event_id, 'ctl.quarantine_dimensions', dims from held),
+ tb as (select tenant_id scope, event_id, k, v from ds where decided is null or decided <> 'drop_tag'),
+ {_profile_sql('baseline', 't0')}, {_profile_sql('active', 'ta')}, {_profile_sql('shadow', 'tb')},
+ cs as (select f.tenant_id, f.incident_id, f.events, f.window_seconds, cast(baseline_bytes as bigint) baseline_bytes, baseline_series, cast(active_bytes as bigint) active_bytes, active_series, coalesce(ca,0) active_changed, cast(shadow_bytes as bigint) shadow_bytes, shadow_series, coalesce(cb,0) shadow_changed
+  from (select tenant_id, incident_id, tenant_id||chr(31)||incident_id scope, count(*) events, greatest((epoch_us(max(event_time))-epoch_us(min(event_time)))/1e6,1) window_seconds from fz group by all) f join pbaseline using (scope) join pactive using (scope) join pshadow using (scope)
+  left join (select tenant_id scope, count(distinct event_id) ca from dc where decided in ('drop_tag','quarantine') group by all) using (scope) left join (select tenant_id scope, count(distinct event_id) cb from ds where decided='drop_tag' group by all) using (scope))"""
+COST = ["tenant_id", "incident_id", "events", "window_seconds", "baseline_bytes", "baseline_series", "active_bytes", "active_series", "active_changed", "shadow_bytes", "shadow_series", "shadow_changed"]
 
 
-@query(f"with {CAND}, {FZ} select tenant_id, incident_id, count(*) events, greatest((epoch_us(max(event_time))-epoch_us(min(event_time)))/1e6,1) window_seconds, count(distinct event_id) baseline_series from fz group by all")
+@query(f"with {COSTS} select * from cs")
 def a11_cost_simulation(spark, sf_dir):
-    return P.cost_simulation(frozen(spark, sf_dir)[0], POLICY, SHADOW).select("tenant_id", "incident_id", "events", "window_seconds", "baseline_series")
+    return P.cost_simulation(frozen(spark, sf_dir)[0], POLICY, SHADOW).select(*COST)
 
 
-@query()
+_MONTH = ", ".join(f"round({n}_bytes*(2592000/window_seconds)/1073741824, 9) {n}_gb_month, round({n}_bytes*(2592000/window_seconds)/1073741824*2.5+{n}_series/1000*8.0, 6) {n}_cost_month" for n in ("baseline", "active", "shadow"))
+
+
+@query(f"with {COSTS} select tenant_id, incident_id, {_MONTH} from cs")
 def d17_cost_pricing(spark, sf_dir):
-    return P.cost_simulation(frozen(spark, sf_dir)[0], POLICY, SHADOW, per_gb=2.5, per_1000_series=8.0)
+    out = P.cost_simulation(frozen(spark, sf_dir)[0], POLICY, SHADOW, per_gb=2.5, per_1000_series=8.0)
+    return out.select("tenant_id", "incident_id", *(x for n in ("baseline", "active", "shadow") for x in (F.round(f"{n}_gb_month", 9).alias(f"{n}_gb_month"), F.round(f"{n}_cost_month", 6).alias(f"{n}_cost_month"))))
 
 
-@query()
+def _saved_sql(what: str) -> str:
+    share = f"(active_{what}-shadow_{what})/active_{what}*100"
+    return f"case when abs({share})<0.05 then 0.0 else round({share},1) end {what}_saved"
+
+
+@query(f"""with {COSTS}, fq as (select tenant_id, count_if(decided='quarantine') q from dc group by all), sv as (select tenant_id, incident_id, {_saved_sql('bytes')}, {_saved_sql('series')} from cs where active_bytes>0 and active_series>0)
+ select sv.tenant_id, sv.incident_id, 'c1' run_id, bytes_saved, series_saved, 'r1' replay_id, coalesce(q,0)>0 review_quarantined from sv left join fq on fq.tenant_id=sv.tenant_id||chr(31)||sv.incident_id where bytes_saved>=5 or series_saved>=5""")
 def d24_recommend(spark, sf_dir):
     fz = frozen(spark, sf_dir)[0]
     now = F.timestamp_micros(F.lit(1704067200000000))
@@ -169,7 +214,13 @@ def a17_graph_summary_runs(spark, sf_dir):
     return E.graph_summary(*run_graph(spark, sf_dir)).select("tenant_id", "incident_id", "nodes", "edges", "supporting", "contradicting", "related")
 
 
-@query()
+#: DuckDB: the canonical text of every event.
+CANON = """cn as (select e.event_id, 'event_id='||e.event_id||chr(10)||'tenant_id='||e.tenant_id||chr(10)||'source='||e.source||chr(10)||'event_type='||e.event_type||chr(10)||'event_time='||epoch_us(e.event_time)||chr(10)
+ ||coalesce(string_agg('tag.'||t.k||'='||t.v||chr(10),'' order by t.k),'')||coalesce('payload='||any_value(e.payload)||chr(10),'')||coalesce('metric_value='||cast(cast(any_value(e.metric_value) as decimal(28,6)) as varchar)||chr(10),'')||coalesce('metric_unit='||any_value(e.metric_unit)||chr(10),'')
+ ||'schema_version='||any_value(e.schema_version)||chr(10)||'correlation_id='||any_value(e.correlation_id)||chr(10) txt from ev e left join tg t using (event_id) group by e.event_id,e.tenant_id,e.source,e.event_type,e.event_time)"""
+
+
+@query(f"with {CANON}, mr as (select tenant_id, source, list(sha256(txt) order by event_time, event_id) l from ev join cn using (event_id) group by all union all select tenant_id, source, list_transform(range(0, len(l), 2), lambda i: sha256(unhex(l[i+1])||unhex(l[least(i+2, len(l))]))) from mr where len(l)>1) select tenant_id, source, l[1] root from mr where len(l)=1")
 def a16_merkle_root(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("leaf", F.sha2(X.canonical_text().cast("binary"), 256))
     return L.merkle_root(rows, ["tenant_id", "source"], ["event_time", "event_id"], "leaf")
@@ -178,7 +229,8 @@ def a16_merkle_root(spark, sf_dir):
 SEALED = ["tenant_id", "source"]
 
 
-@query()
+@query("""with sq as (select tenant_id, source, n, payload, row_number() over (partition by tenant_id, source order by event_time, event_id) as sequence from ev), kp as (select *, coalesce(lag(sequence) over (partition by tenant_id, source order by sequence),0) p from sq where n%150<>11)
+ select tenant_id, source, sequence, case when n%100=7 and payload<>'{}' then 'payload' else 'link' end reason from kp where (n%100=7 and payload<>'{}') or p<>sequence-1""")
 def w15_verify_chain(spark, sf_dir):
     records = L.seal_records(events(spark, sf_dir), SEALED, ["event_time", "event_id"])
     broken = records.withColumn("payload", F.when(F.col("n") % 100 == 7, "{}").otherwise(F.col("payload"))).where("n % 150 != 11")
@@ -256,9 +308,9 @@ def s5_rejected_points(spark, sf_dir):
     return _metrics(spark, sf_dir)[1]
 
 
-@query("select event_id, case when n%2=0 then 'deployment.completed' else 'feature_flag.changed' end event_type, case when n%4=0 then 'C'||n else 'CHG-'||event_id end change_id from ev where n%5=0")
+@query("select event_id, case when n%2=0 then 'deployment.completed' else 'feature_flag.changed' end event_type, case when n%4=0 then 'C'||n else 'CHG-'||event_id end change_id from ev")
 def s6_changes_to_events(spark, sf_dir):
-    return _changes(events(spark, sf_dir).where("n % 5 = 0"))
+    return _changes(events(spark, sf_dir))
 
 
 @query("select event_id, case when n%2=0 then 'deployment.completed' else 'feature_flag.changed' end event_type, case when n%4=0 then 'C'||n else 'CHG-'||event_id end change_id from ev")
@@ -272,22 +324,33 @@ def _changes(ev):
     return ingest.changes_to_events(rows, "2030-01-01")[0].select("event_id", "event_type", X.tag("ctl.change_id").alias("change_id"))
 
 
-@query("select tenant_id||'|'||source as key, event_id, 3 headers from ev")
+#: DuckDB: an event's tags as JSON text, its time as JSON has it, and its envelope.
+_TAGS_JSON = "'{'||concat_ws(','," + ",".join(f"'\"{t}\":'||to_json(tag_{t})" for t in TAGS) + ")||'}'"
+_TIME_JSON = "'\"'||strftime(event_time,'%Y-%m-%dT%H:%M:%S.%g')||'Z\"'"
+JSON = f"""js as (select *, '{{'||concat_ws(',','"event_id":'||to_json(event_id),'"tenant_id":'||to_json(tenant_id),'"source":'||to_json(source),'"event_type":'||to_json(event_type),'"event_time":'||{_TIME_JSON},'"tags":'||{_TAGS_JSON},
+ '"payload":'||to_json(payload),'"metric_value":'||cast(metric_value as varchar),'"metric_unit":'||to_json(metric_unit),'"schema_version":'||to_json(schema_version),'"correlation_id":'||to_json(correlation_id))||'}}' envelope, {_TAGS_JSON} tags_json from ev)"""
+
+
+@query(f"with {JSON} select tenant_id||'|'||source as key, envelope as \"value\", 'event_id='||event_id||',tenant_id='||tenant_id||',schema_version='||schema_version headers from js")
 def s10_kafka_rows(spark, sf_dir):
-    return export.to_kafka_rows(events(spark, sf_dir)).select("key", F.get_json_object("value", "$.event_id").alias("event_id"), F.size("headers").alias("headers"))
+    headers = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), ",")
+    return export.to_kafka_rows(events(spark, sf_dir)).select("key", "value", headers.alias("headers"))
 
 
-@query()
+@query(f"with {JSON} select tenant_id, event_id, 1717200000000000 captured_us, epoch_us(event_time) event_us, source, event_type, envelope from js")
 def s9_capture(spark, sf_dir):
-    return export.capture(events(spark, sf_dir), "2024-06-01")
+    out = export.capture(events(spark, sf_dir), "2024-06-01T00:00:00Z")
+    return out.select("tenant_id", "event_id", F.unix_micros("captured_at").alias("captured_us"), F.unix_micros("event_time").alias("event_us"), "source", "event_type", "envelope")
 
 
-@query()
+@query(f"with {JSON} select tenant_id||':'||event_id idempotency_key, envelope body from js")
 def s11_http_json(spark, sf_dir):
     return export.export_http_json(events(spark, sf_dir))
 
 
-@query()
+@query("""with atr as (select e.event_id, '['||coalesce(string_agg('{"key":'||to_json(t.k)||',"value":{"stringValue":'||to_json(t.v)||'}}', ',' order by t.k),'')||']' a from ev e left join tg t using (event_id) group by all)
+ select tenant_id, source, case when metric_value is not null then 'metrics' else 'logs' end signal, event_id, case when metric_value is not null then '{"name":'||to_json(event_type)||',"unit":'||to_json(metric_unit)||',"gauge":{"dataPoints":[{"timeUnixNano":"'||(epoch_us(event_time)*1000)||'","asDouble":'||cast(metric_value as varchar)||',"attributes":'||a||'}]}}'
+ else '{"timeUnixNano":"'||(epoch_us(event_time)*1000)||'","severityText":'||to_json(coalesce(lower(nullif(trim(tag_severity),'')), case when contains(event_type,'error') then 'error' end, ''))||',"body":{"stringValue":'||to_json(coalesce(payload,event_type))||'},"attributes":'||a||'}' end item from ev join atr using (event_id)""")
 def s12_otlp(spark, sf_dir):
     return export.export_otlp(events(spark, sf_dir))
 
@@ -297,20 +360,20 @@ def s13_prometheus(spark, sf_dir):
     return export.export_prom(events(spark, sf_dir), ("environment",))
 
 
-@query()
+@query(f"with {JSON} select event_id, '{{\"time\":'||(epoch_ms(event_time)//1000)||'.'||lpad(cast(epoch_ms(event_time)%1000 as varchar),3,'0')||',\"source\":'||to_json(source)||',\"sourcetype\":'||to_json(event_type)||',\"event\":{{'||concat_ws(',','\"event_id\":'||to_json(event_id),'\"tenant_id\":'||to_json(tenant_id),'\"tags\":'||tags_json,'\"payload\":'||to_json(payload),'\"metric_value\":'||cast(metric_value as varchar))||'}}}}' body from js")
 def s14_hec(spark, sf_dir):
     return export.export_hec(events(spark, sf_dir))
 
 
-@query(f"select event_id, payload message, case when {ERR} then 'error' else 'info' end status, source service from ev")
+@query(f"select event_id, payload message, case when {ERR} then 'error' else 'info' end status, source service, (select string_agg(t.k||':'||t.v, ',' order by t.k) from tg t where t.event_id=ev.event_id) ddtags from ev")
 def s15_datadog(spark, sf_dir):
-    return export.export_dd(events(spark, sf_dir)).drop("ddtags")
+    return export.export_dd(events(spark, sf_dir))
 
 
-@query(f"with {CAND}, {FZ} select tenant_id, incident_id, event_id from fz where incident_id like '%-latency'")
+@query(f"with {CAND}, {FZ} select tenant_id, incident_id, event_id from fz")
 def s17_bundle(spark, sf_dir):
     fz, inc = frozen(spark, sf_dir)
-    return L.bundle(inc.where("category = 'latency'"), {"events": fz.drop("n")})["events"].select("tenant_id", "incident_id", "event_id")
+    return L.bundle(inc, {"events": fz.drop("n")})["events"].select("tenant_id", "incident_id", "event_id")
 
 
 def whole_bundle(spark, sf_dir):
@@ -332,7 +395,22 @@ def s17_bundle_all(spark, sf_dir):
     return out
 
 
-@query()
+def _manifest_sql(member: str, rows: str, fields: list[tuple[str, str]]) -> str:
+    """DuckDB: a member's line of the manifest; fields are (name, JSON) in the order of names."""
+    json = "'{'||concat_ws(','," + ",".join(f"'\"{n}\":'||{x}" for n, x in fields) + ")||'}'"
+    words = ",".join(f"cast(sum(cast('0x'||substr(h,{1 + 8 * i},8) as bigint)) as varchar)" for i in range(8))
+    return f"select '{member}' member, count(*) \"rows\", cast(sum(octet_length(encode(j))) as bigint) bytes, sha256(concat_ws('|',{words})) digest from (select j, sha256(j) h from (select {json} j from {rows}))"
+
+
+_text = lambda c: (c, f"to_json({c})")
+_time = lambda c: (c, _TIME_JSON.replace("event_time", c))
+_MEMBERS = " union all ".join([
+    _manifest_sql("events", "(select *, event_time captured_at from fz)", [_time("captured_at"), _text("correlation_id"), _text("event_id"), _time("event_time"), _text("event_type"), _text("incident_id"), _text("metric_unit"), ("metric_value", "cast(metric_value as varchar)"), ("n", "n"), _text("payload"), _text("schema_version"), _text("source"), ("tags", _TAGS_JSON), _text("tenant_id")]),
+    _manifest_sql("incidents", "(select *, 'Automatic incident: '||source title from inc)", [_text("category"), _text("event_id"), _time("frozen_from"), _time("frozen_to"), _text("incident_id"), _text("reason"), _text("source"), _text("tenant_id"), _text("title")]),
+])
+
+
+@query(f"with {CAND}, {FZ} {_MEMBERS}")
 def s18_manifest(spark, sf_dir):
     fz, inc = frozen(spark, sf_dir)
     return L.manifest(L.bundle(inc, {"events": fz}))

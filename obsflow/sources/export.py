@@ -50,8 +50,8 @@ def export_prom(df: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
 
 
 def export_hec(df: DataFrame) -> DataFrame:
-    """Splunk-HEC-shaped envelopes."""
-    body = F.struct((F.unix_millis("event_time") / 1000).alias("time"), F.col("source").alias("source"), F.col("event_type").alias("sourcetype"), F.struct(*(c for c in ("event_id", "tenant_id", "tags", "payload", "metric_value"))).alias("event"))
+    """Log-collector envelopes: seconds with milliseconds, source, type and event."""
+    body = F.struct((F.unix_millis("event_time").cast("decimal(20,0)") / 1000).cast("decimal(20,3)").alias("time"), F.col("source").alias("source"), F.col("event_type").alias("sourcetype"), F.struct(*(c for c in ("event_id", "tenant_id", "tags", "payload", "metric_value"))).alias("event"))
     return df.select("event_id", F.to_json(body).alias("body"))
 
 
