@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsflow.llm import mixing, near, packing, pii, quality
-from obsflow.llm.common import shared_dir, stage, table
+from obsflow.llm.common import shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id (operator 6).
-
-    Documents without a doc_id can't be named by a decision and stay.
-    """
-    groups = near.near_duplicates(docs)
-    keep = stage(groups.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct(), "pipeline-keep")
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near duplicates: that with the smallest doc_id (operator 6)."""
+    return near.keep_one(docs).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,46 +2,37 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from obsflow.staging import shared_dir, stage
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["BATCH", "bounded_broadcast", "map_batches", "shared_dir", "stage", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+#: Rows of an Arrow batch that goes to Python.
+BATCH = 512
 
-    Only a local session may leave it unset (tests do); it then gets a folder
-    of its own. On a cluster an unset folder is an error, because a
-    machine-local one would lose tables with the machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    own = os.path.join(tempfile.gettempdir(), f"obsflow-{os.getuid()}-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` over batches of ``BATCH`` rows at most.
 
-    This cuts the lineage at files that every executor can reach, so that a
-    lost executor costs only the tasks it was running.
+    Rows are whole texts, so that many fit beside an executor's heap. A session
+    that asks for smaller batches keeps them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/obsflow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH:
+        df.sparkSession.conf.set(name, str(BATCH))
+    return df.mapInArrow(run, schema)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:

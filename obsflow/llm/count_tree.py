@@ -1,44 +1,22 @@
 """An R-tree over count vectors, searched by a bound on shared tokens.
 
-A document's distinct shingles are hashed into groups; the counts by group are
-its point. Two documents share at most the sum of coordinate minima, and a
-node's upper corner bounds that sum for all points below it.
+A set's hashes are dealt to groups; the counts by group are its point. Two sets
+share at most the sum of coordinate minima, and a node's upper corner bounds
+that sum for all points below it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 #: Coordinates of the points that the tree is built on.
 COARSE = 64
 #: Entries of a leaf, and children of a node.
 FAN = 16
-#: Most groups of a point.
-FINEST = 1 << 15
-
-
-def groups_of(n: int) -> int:
-    """Groups for a document of ``n`` shingles: a power of two, at least COARSE."""
-    return min(max(COARSE, 1 << (max(n, 1) - 1).bit_length()), FINEST)
-
-
-def point(shingles: np.ndarray) -> bytes:
-    """Counts by group: one byte each, or four where a count needs more."""
-    size = groups_of(len(shingles))
-    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    """The counts of :func:`point`."""
-    return np.frombuffer(data, np.uint8 if len(data) == groups_of(n) else np.uint32)
-
-
-def fold(counts: np.ndarray, size: int) -> np.ndarray:
-    """The same point on fewer groups: a group is the hash's low bits, so groups add up."""
-    return counts if len(counts) == size else counts.reshape(-1, size).sum(axis=0)
+#: Most groups of the finer points, and most cells of a tree's finer points.
+FINEST, CELLS = 1 << 14, 1 << 24
+#: Searchers that go down the tree together.
+TOGETHER = 64
 
 
 def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,21 +24,27 @@ def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 9 * shared >= 4 * (a + b)
 
 
+def points(sets: list[np.ndarray], groups: int) -> np.ndarray:
+    """Each set's counts by group (a power of two): the low bits of a hash are its group."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    group = (np.concatenate(sets) & np.uint64(groups - 1)).astype(np.int64)
+    return np.bincount(owner * groups + group, minlength=len(sets) * groups).reshape(-1, groups).astype(np.int32)
+
+
 class CountTree:
-    """Points packed by size and then by their widest coordinates, level upon level."""
+    """Points packed by size and then by their widest coordinates, level upon level. No set is empty."""
 
-    def __init__(self, n: np.ndarray, labels: np.ndarray, points: list[np.ndarray]):
-        self.n, self.labels, self.points = n, labels, points
-        self.coarse = np.array([fold(p, COARSE) for p in points], dtype=np.int32).reshape(len(points), COARSE)
-        self.order = self._packed(np.arange(len(n)))
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.n = np.array([len(s) for s in sets], dtype=np.int64)
+        self.coarse = points(sets, COARSE)
+        self.order = self._packed(np.arange(len(sets)))
         self.levels = []
-        low, high, top = n[self.order], n[self.order], self.coarse[self.order]
-        first, last = labels[self.order], labels[self.order]
+        low, high, top = self.n[self.order], self.n[self.order], self.coarse[self.order]
         while True:
             cuts = np.arange(0, len(low), FAN)
             low, high, top = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(top, cuts, axis=0)
-            first, last = np.minimum.reduceat(first, cuts), np.maximum.reduceat(last, cuts)
-            self.levels.append((low, high, top, first, last))
+            self.levels.append((low, high, top))
             if len(low) == 1:
                 break
         self.levels.reverse()
@@ -80,24 +64,42 @@ class CountTree:
             todo += [part[half:], part[:half]]
         return np.concatenate(done)
 
-    def near(self, n: int, label: int, counts: np.ndarray) -> Iterator[int]:
-        """Entries with another label whose bound allows the similarity."""
-        coarse = fold(counts, COARSE).astype(np.int32)
-        nodes = np.zeros(1, dtype=np.int64)
-        for depth, (low, high, top, first, last) in enumerate(self.levels):
-            least = np.maximum(low[nodes], -(-4 * n // 5))
-            fits = (4 * low[nodes] <= 5 * n) & (5 * high[nodes] >= 4 * n) & ~((first[nodes] == label) & (last[nodes] == label))
-            nodes, least = nodes[fits], least[fits]
-            nodes = nodes[similar(np.minimum(top[nodes], coarse).sum(axis=1), n, least)]
-            if not len(nodes):
-                return
+    def _down(self, who: np.ndarray, n: np.ndarray, coarse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(searcher, entry) pairs that the bound allows at every level."""
+        nodes = np.zeros(len(who), dtype=np.int64)
+        for depth, (low, high, top) in enumerate(self.levels):
+            size = n[who]
+            fits = (4 * low[nodes] <= 5 * size) & (5 * high[nodes] >= 4 * size)
+            who, nodes, size = who[fits], nodes[fits], size[fits]
+            fits = similar(np.minimum(top[nodes], coarse[who]).sum(axis=1), size, np.maximum(low[nodes], -(-4 * size // 5)))
+            who, nodes = who[fits], nodes[fits]
             below = len(self.levels[depth + 1][0]) if depth + 1 < len(self.levels) else len(self.order)
             nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
-            nodes = nodes[nodes < below]
+            who = np.repeat(who, FAN)
+            who, nodes = who[nodes < below], nodes[nodes < below]
         rows = self.order[nodes]
-        rows = rows[(self.labels[rows] != label) & (4 * self.n[rows] <= 5 * n) & (5 * self.n[rows] >= 4 * n)]
-        rows = rows[similar(np.minimum(self.coarse[rows], coarse).sum(axis=1), n, self.n[rows])]
-        for i in rows:
-            size = min(len(counts), len(self.points[i]))
-            if similar(np.minimum(fold(counts, size), fold(self.points[i], size)).sum(dtype=np.int64), n, self.n[i]):
-                yield int(i)
+        fits = (4 * self.n[rows] <= 5 * n[who]) & (5 * self.n[rows] >= 4 * n[who])
+        who, rows = who[fits], rows[fits]
+        fits = similar(np.minimum(self.coarse[rows], coarse[who]).sum(axis=1), n[who], self.n[rows])
+        return who[fits], rows[fits]
+
+    def pairs(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(searcher, entry) pairs that the bound allows, sorted: no pair that is similar is missing."""
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        coarse = self.coarse if sets is self.sets else points(sets, COARSE)
+        groups = COARSE
+        while groups < min(FINEST, int(self.n.max())) and 2 * groups * (len(sets) + len(self.sets)) <= CELLS:
+            groups *= 2
+        fine: list[np.ndarray] = []
+        found = []
+        for lo in range(0, len(sets), TOGETHER):
+            who, rows = self._down(np.arange(lo, min(lo + TOGETHER, len(sets))), n, coarse)
+            # The finer bound pays where few pairs are left; many are counted faster all at once.
+            if groups > COARSE and 0 < len(who) * 8 <= TOGETHER * len(self.sets):
+                fine = fine or [points(sets, groups), points(self.sets, groups)]
+                shared = np.concatenate([np.minimum(fine[0][who[k : k + 4096]], fine[1][rows[k : k + 4096]]).sum(axis=1) for k in range(0, len(who), 4096)])
+                fits = similar(shared, n[who], self.n[rows])
+                who, rows = who[fits], rows[fits]
+            order = np.lexsort((rows, who))
+            found.append((who[order], rows[order]))
+        return np.concatenate([w for w, _ in found]), np.concatenate([r for _, r in found])

@@ -4,33 +4,35 @@ A document's set is its distinct shingles of five lower-cased words, as 64-bit
 hashes; documents link at a Jaccard similarity of 0.8. Equal sets are one
 class from the start. What remains is a join of classes:
 
-1. *Routing.* Two sets that share 8/9 of their mean size must share one of
-   their rarest ``n - ceil(0.8 n) + 1`` shingles, in any common order. The
+1. *Routing.* Two sets that are similar share ``m`` of their rarest
+   ``n - ceil(0.8 n) + m`` shingles, in any common order and for any ``m``. The
    order is by how often a shingle's cell of a fixed-size count table occurs
    in the corpus, then by hash. Documents are dealt to buckets by these
-   shingles, and shingles that a single class has are gone after that.
-2. *Copies.* Within each shingle every class is paired with a center, the class
-   that shares most of its rare shingles, and pairs that share much are
-   verified; then once more with what is still apart. Large groups of near
-   copies thereby become components without forming all pairs.
-3. *R-tree join.* Shingles whose classes are in one component are done. The
-   others put their classes into areas, one for each largest component. In an
-   area, blocks of points are packed into R-trees; points of other components
-   are searched with the bound of summed coordinate minima, and whole nodes of
-   the searcher's own component are passed over. Surviving pairs are verified.
-
-No link between different components is lost, so components are exact. Pairs
-inside a component, which can't change it, aren't formed up to here.
-
-4. *Links.* A link never leaves a component, so links are counted by a self-join
-   of each component's classes, in pairs of blocks; every pair of classes that
-   shares a shingle is compared, in one place. A document links with its copies
-   and with all documents of the classes that its own class links with. Only the
-   sums by class are written, not the pairs.
+   shingles, and shingles that a single class has are gone after that; so are
+   classes that share fewer than ``m`` (see :func:`_must_share`).
+2. *Areas.* Each shingle has a center, that class of its classes which shares
+   most of its rare shingles. The classes that meet at the shingles of one
+   center are its area. Two classes that share a rare shingle both are in the
+   area of its center, so no link is lost; near copies have few centers between
+   them, so a class is in few areas.
+3. *R-tree join.* The classes of an area meet in pairs of blocks. A block's
+   count vectors are packed into an R-tree; the points of the other block are
+   searched in it, all at once, with the bound of summed coordinate minima.
+   Surviving pairs are verified on the sets in the same task. A pair that
+   shares several areas counts in the smallest.
+
+What leaves a task is one row for each class of a pair of blocks: the number of
+documents that it links with, and the smallest class that verified links lead
+to. So all links are searched, verified and counted, and no list of pairs is
+written; components follow from the second.
 
 Edge cases: null and empty texts have no shingles, link with nothing and are
 their own component. A null doc_id gets the smallest doc_id of its component,
-null if there is none. Repeated rows each get a row. Empty tables give none.
+null if there is none. Repeated rows each get a row; rows that share a doc_id
+but not a text are documents of their own. Texts are never cut: a very long one
+has as many shingles as it has, and blocks are cut by shingles too. Ties between
+centers go to the larger class. Empty tables give none. Other columns than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -42,24 +44,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm.common import bounded_broadcast, stage, table
+from obsflow.llm.common import bounded_broadcast, map_batches, stage, table
 from obsflow.llm.components import components
-from obsflow.llm.count_tree import CountTree, point, similar, unpack
+from obsflow.llm.count_tree import CountTree, similar
 from obsflow.llm.words import chunks, mix, shingles
 
 #: Cells of the count table (its size doesn't depend on the corpus), in parts.
 CELLS, PARTS = 1 << 20, 16
 #: Routed entries of a bucket, about; cells with more than that in the corpus, and with four times the mean, are salted.
-BUCKET = 1_000_000
-#: Wanted documents are broadcast by id up to so many, and else joined by shuffle.
+BUCKET = 500_000
+#: Wanted documents and areas of several blocks are broadcast up to so many, and else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Points of a block in a search area, about.
-BLOCK = 4096
-#: Classes of a block that links are counted in, where that takes up to SPREAD blocks; and shingles of a block beyond that.
-COUNTED, SPREAD, COUNTED_SHINGLES = 512, 8, 2_000_000
-#: Shingles counted in one matrix product.
-PRODUCT = 2048
-_ENTRY = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<i8")])
+#: Shingles with more classes than this are joined to their centers by broadcast.
+HOT = 100_000
+#: Classes and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Classes, and shingles, that are counted in one matrix product.
+ROWS, PRODUCT = 512, 2048
+#: Classes that a task of the routing step remembers, so as to send their copies on once.
+REMEMBERED = 100_000
+#: Similar sets of n shingles share more than n / STRICT of their routed ones: the routed part grows by that, and chance meetings go.
+STRICT = 40
+_ENTRY = np.dtype([("token", "<u8"), ("class", "<i8"), ("n", "<u4")])
+
+
+def _must_share(n):
+    """How many of their routed shingles a set of ``n`` and a similar one share: that of the smallest set that can be similar."""
+    return 4 * n // 5 // STRICT + 1
 
 
 def _class_of(own: np.ndarray) -> int:
@@ -76,26 +87,21 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (n, class), and at the end the task's counts by cell."""
+    """A row for each document (doc_id, key, n, class), and at the end the task's counts by cell."""
     counts = np.zeros(CELLS, dtype=np.int64)
-    names = ["doc_id", "n", "class", "part", "counts"]
+    names = ["doc_id", "key", "n", "class", "part", "counts"]
     kind = pa.int64()
     for batch in batches:
         kind = batch.column("doc_id").type
-        n, classes, held = [], [], []
+        n, classes = [], []
         for _, own in _sets(batch):
             n.append(len(own))
             classes.append(_class_of(own))
-            held.append(own >> np.uint64(44))
-            if sum(map(len, held[-64:])) > 1 << 17:
-                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=CELLS)
-                held = []
-        if held:
-            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=CELLS)
+            np.add.at(counts, (own >> np.uint64(44)).astype(np.int64), 1)
         rows = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
     parts = [x.tobytes() for x in counts.reshape(PARTS, -1)]
-    yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, kind), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, kind), *(pa.nulls(PARTS, pa.int64()) for _ in range(3)), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names)
 
 
 def _cell_counts(rows: DataFrame) -> np.ndarray:
@@ -120,7 +126,7 @@ def _route(order, hot, buckets: int):
         all_ = np.concatenate(held)
         salted = cells[(all_["token"] >> np.uint64(44)).astype(np.int64)]
         salt = np.where(salted, all_["class"].view(np.uint64), np.uint64(0))
-        to = (mix(all_["token"] + salt) % np.uint64(buckets)).astype(np.int64)
+        to = (mix(all_["token"] + salt) % np.uint64(buckets)).astype(np.int32)
         by = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.r_[True, to[by][1:] != to[by][:-1]])
         data = [x.tobytes() for x in np.split(all_[by], cuts[1:])]
@@ -135,16 +141,16 @@ def _route(order, hot, buckets: int):
                 name = _class_of(own)
                 if not len(own) or name in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(name)
                 n = len(own)
-                rare = np.argsort(rank[(own >> np.uint64(44)).astype(np.int64)], kind="stable")[: n - -(-4 * n // 5) + 1]
+                rare = np.argsort(rank[(own >> np.uint64(44)).astype(np.int64)], kind="stable")[: n - -(-4 * n // 5) + n // STRICT + 1]
                 entries = np.empty(len(rare), _ENTRY)
                 entries["token"], entries["class"], entries["n"] = own[rare], name, n
                 held.append(entries)
                 size += len(rare)
-                if size >= 250_000:
+                if size >= 100_000:
                     yield pack(held, salted)
                     held, size = [], 0
         if held:
@@ -167,139 +173,69 @@ def _shared(hot):
         fresh = np.ones(len(rows), dtype=bool)
         fresh[1:] = rows[1:] != rows[:-1]
         rows = rows[fresh]
-        follows = (rows["token"][1:] == rows["token"][:-1]) & (5 * rows["n"][:-1] >= 4 * rows["n"][1:])
+        n = rows["n"].astype(np.int64)
+        follows = (rows["token"][1:] == rows["token"][:-1]) & (5 * n[:-1] >= 4 * n[1:])
         keep = salted[(rows["token"] >> np.uint64(44)).astype(np.int64)]
         keep[1:] |= follows
         keep[:-1] |= follows
         rows = rows[keep]
         for lo in range(0, len(rows), 100_000):
             part = rows[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c]).view(np.int64)) for c in ("token", "class", "n")], ["token", "class", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[c].astype(np.uint64).view(np.int64)) for c in ("token", "class", "n")], ["token", "class", "n"])
 
     return run
 
 
-def _of_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, make, name: str) -> DataFrame:
-    """(class, data) with ``make`` of the set of each wanted class, from one document of each."""
-    wanted = stage(rows.join(classes.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), f"{name}-ids")
-    wanted = bounded_broadcast(wanted, wanted.count(), BROADCAST_ROWS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, bytes]] = []
-
-        def close() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["class", "data"])
-            found.clear()
-            return out
-
-        for batch in batches:
-            for _, own in _sets(batch):
-                found.append((_class_of(own), make(own)))
-                if len(found) >= 256:
-                    yield close()
-        yield close()
-
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    return stage(texts.mapInArrow(run, "class long, data binary").dropDuplicates(["class"]), name, "lz4")
-
-
-def _verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sets have the similarity."""
-    both = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
-    sets = _of_classes(docs, rows, both, lambda own: own.tobytes(), "near-sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
-                keep.append(bool(similar(shared, len(a), len(b))))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with_sets = pairs.join(sets.select(F.col("class").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("data").alias("y")), "b")
-    return stage(with_sets.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that the R-tree bound allows, area by area; rows come sorted by area and pair of blocks."""
-
-    def join(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        left = [r for r in rows if r[3] == r[1]]  # of block i: searchers
-        right = left if rows[0][1] == rows[0][2] else [r for r in rows if r[3] == r[2]]
-        if not left or not right:
-            return
-        tree = CountTree(np.array([r[5] for r in right], np.int64), np.array([r[6] for r in right], np.int64), [unpack(r[7], r[5]) for r in right])
-        for r in left:
-            for k in tree.near(r[5], r[6], unpack(r[7], r[5])):
-                a, b = r[4], right[k][4]
-                if a < b or right is not left:
-                    yield min(a, b), max(a, b)
-
-    def groups() -> Iterator[list[tuple]]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("area", "i", "j", "own", "class", "n", "root", "data")), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    yield held
-                    held = []
-                held.append(row)
-        if held:
-            yield held
-
-    found: set[tuple[int, int]] = set()
-    for rows in groups():
-        found.update(join(rows))
-        if len(found) > 50_000:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], _PAIRS)
-            found = set()
-    yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], _PAIRS)
+def _areas(shared: DataFrame) -> DataFrame:
+    """(area, class, n): every class in the area of each of its shingles' centers."""
+    # How much of its rare shingles a class shares: an original shares all, an edited copy few.
+    held = shared.groupBy("class").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("of"))
+    enough = F.col("held") > F.floor(F.floor(4 * F.col("of") / 5) / STRICT)  # _must_share
+    rows = stage(shared.join(held.where(enough).select("class", (F.col("held") / F.col("of")).alias("ties")), "class"), "near-rows")
+    centers = rows.groupBy("token").agg(F.max(F.struct("ties", "class"))["class"].alias("area"), F.count(F.lit(1)).alias("of"))
+    centers = stage(centers.where("of > 1"), "near-centers")
+    hot = centers.where(F.col("of") > HOT)
+    n_hot = hot.count()
+    met = rows.join(centers.where(F.col("of") <= HOT), "token")
+    if n_hot:
+        met = met.unionByName(rows.join(bounded_broadcast(hot, n_hot, BROADCAST_ROWS), "token"))
+    return stage(met.select("area", "class", "n").distinct(), "near-areas")
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _blocks(members: DataFrame) -> DataFrame:
+    """(class, places): the areas of each class, with the number of their blocks and the class's own block."""
+    sizes = members.groupBy("area").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    many = stage(sizes.where("k > 1"), "near-many")
+    rows = members.join(bounded_broadcast(many, many.count(), BROADCAST_ROWS), "area", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    own = F.pmod(F.xxhash64("class"), F.col("k")).cast("int").alias("own")
+    return rows.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("area", own, "k"))).alias("places"))
 
 
-def _with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The entries with their class's component and its number of classes."""
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    known = roots.join(sizes, "root").select(F.col("node").alias("class"), "root", "members")
-    return shared.join(known, "class", "left").select("token", "class", "n", "ties", F.coalesce("root", "class").alias("root"), F.coalesce("members", F.lit(1)).alias("members"))
+_PLACES = "places array<struct<area:long,own:int,k:int>>"
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each shingle's center with classes of other components, where they share much.
+def _dealt(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The columns of _JOINED and data (the set) of every class, for each pair of blocks that it takes part in.
 
-    The center is of the largest component, and of that the class that shares most.
+    Sets are made from one document of each class, where that is found, and move once.
     """
-    center = rows.groupBy("token").agg(F.max(F.struct("members", "ties", "class", "n", "root")).alias("center"))
-    pairs = rows.join(center, "token").where("center.root != root and 5 * center.n >= 4 * n and 5 * n >= 4 * center.n")
-    pairs = pairs.groupBy(F.least("center.class", "class").alias("a"), F.greatest("center.class", "class").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max("n").alias("n"))
-    return stage(pairs.where("20 * common >= n").select("a", "b"), "near-stars")
-
-
-def _areas(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(area, class, n, root): where classes of several components meet at a shingle."""
-    rows = _with_roots(shared, roots)
-    open_ = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("members", "root")).alias("most"))
-    open_ = open_.where("low != high").select("token", F.col("most.root").alias("area"))
-    return stage(rows.join(open_, "token").select("area", "class", "n", "root").distinct(), "near-areas")
+    chosen = rows.groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("d"), F.count(F.lit(1)).alias("copies"))
+    wanted = _blocks(members).join(chosen, "class").select(F.col("d.doc_id").alias("_id"), F.col("d.key").alias("_key"), "class", "copies", "places")
+    wanted = stage(wanted, "near-wanted")
+    wanted = bounded_broadcast(wanted, wanted.count(), BROADCAST_ROWS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("class").to_pylist()
+            found = [(i, own.tobytes()) for i, own in _sets(batch) if _class_of(own) == names[i]]
+            kept = batch.select(["class", "copies", "places"]).take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for _, x in found], pa.binary())], ["class", "copies", "places", "data"])
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """A row for each pair of blocks that a member takes part in; no block of the area's own component meets another."""
-    own = F.col("root") == F.col("area")
-    sizes = members.groupBy("area").agg(F.sum(own.cast("long")).alias("mine"), F.sum((~own).cast("long")).alias("others"))
-    rows = members.join(sizes, "area")
-    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
-    rows = rows.withColumn("r", blocks("others")).withColumn("k", F.when(F.col("mine") > 0, blocks("mine")).otherwise(0).cast("int"))
-    # Blocks of other components are 0 to r - 1 and search; the component's own are r to r + k - 1.
-    at = F.when(own, F.col("r") + F.pmod(F.xxhash64("class"), F.col("k"))).otherwise(F.pmod(F.xxhash64("class"), F.col("r"))).cast("int")
-    rows = rows.withColumn("own", at)
-    searched = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
-    searching = F.transform(F.sequence(F.col("own"), F.col("r") + F.col("k") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
-    met = F.transform(F.sequence(F.lit(0), F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
-    pairs = F.when(F.col("root") == F.col("area"), searched).otherwise(F.array_distinct(F.concat(searching, met)))
-    return rows.withColumn("p", F.explode(pairs)).select("area", "p.i", "p.j", "own", "class", "n", "root")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))).select("text", "class", "copies", "places")
+    sets = map_batches(texts, run, f"class long, copies long, {_PLACES}, data binary")
+    met = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), p["k"] - 1), lambda x: F.struct(p["area"].alias("area"), F.least(x, p["own"]).alias("i"), F.greatest(x, p["own"]).alias("j"), p["own"].alias("own")))))
+    areas = F.transform("places", lambda p: p["area"]).alias("areas")
+    return sets.withColumn("p", F.explode(met)).select("p.area", "p.i", "p.j", "p.own", "class", "copies", areas, "data")
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -314,8 +250,8 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[
     common = sizes * 16 >= m
     column = np.cumsum(common) - 1
     dense = np.flatnonzero(common)
-    for lo in range(0, len(left), COUNTED):
-        some = left[lo : lo + COUNTED]
+    for lo in range(0, len(left), ROWS):
+        some = left[lo : lo + ROWS]
         at = [np.minimum(np.searchsorted(known, x), len(known) - 1) for x in some]
         at = [i[known[i] == x] for i, x in zip(at, some, strict=True)]
         total = np.zeros((len(some), m), np.float32)
@@ -335,76 +271,126 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[
             yield total[k].astype(np.int64) + np.bincount(owner[lists], minlength=m)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, links) of each class in each pair of blocks; rows come sorted by component and pair of blocks."""
-    names = ("root", "i", "j", "own", "class", "n", "copies", "data")
-
-    def counts(rows: list[tuple]) -> pa.RecordBatch:
-        left = [r for r in rows if r[3] == r[1]]
-        right = left if rows[0][1] == rows[0][2] else [r for r in rows if r[3] == r[2]]
-        mine, theirs = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
-        if left and right:
-            sets = [[np.frombuffer(r[7], np.uint64) for r in side] for side in (left, right)]
-            n, copies = np.array([r[5] for r in right], np.int64), np.array([r[6] for r in right], np.int64)
-            for k, shared in enumerate(_shared_counts(*sets)):
-                linked = similar(shared, left[k][5], n)
-                if right is left:
-                    linked[k] = False
-                else:
-                    theirs[linked] += left[k][6]
-                mine[k] = copies[linked].sum()
-        rows, found = (left, mine) if right is left else (left + right, np.r_[mine, theirs])
-        return pa.RecordBatch.from_arrays([pa.array([r[4] for r in rows], pa.int64()), pa.array(found)], ["class", "links"])
+def _verified(left: list[np.ndarray], right: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a of the left sets, b of the right ones) are similar; ``a`` is sorted."""
+    shared = np.zeros(len(a), np.int64)
+    cuts = np.searchsorted(a, np.arange(len(left) + 1))
+    if len(a) * 8 > len(left) * len(right):
+        for k, row in enumerate(_shared_counts(left, right)):
+            shared[cuts[k] : cuts[k + 1]] = row[b[cuts[k] : cuts[k + 1]]]
+    else:
+        for k in np.flatnonzero(np.diff(cuts)):
+            others = [right[i] for i in b[cuts[k] : cuts[k + 1]]]
+            flat, own = np.concatenate(others), left[k]
+            hits = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            ends = np.cumsum([len(x) for x in others])
+            shared[cuts[k] : cuts[k + 1]] = np.add.reduceat(hits.astype(np.int64), np.r_[0, ends[:-1]])
+    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    return similar(shared, n[a], m[b])
+
+
+def _met_before(area: int, left: list[list[int]], right: list[list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs share an area smaller than ``area``."""
+    out = np.zeros(len(a), bool)
+    lesser = [[[x for x in own if x < area] for own in side] for side in (left, right)]
+    known = sorted({x for own in lesser[0] for x in own} & {x for own in lesser[1] for x in own})
+    for lo in range(0, len(known), PRODUCT):
+        column = {x: k for k, x in enumerate(known[lo : lo + PRODUCT])}
+        sides = [np.zeros((len(side), len(column)), np.float32) for side in lesser]
+        for own, side in zip(sides, lesser, strict=True):
+            for k, areas in enumerate(side):
+                own[k, [column[x] for x in areas if x in column]] = 1
+        out |= (sides[0] @ sides[1].T)[a, b] > 0
+    return out
+
+
+def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest one that the links (a, b) lead to."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+_JOINED = ("area", "i", "j", "own", "class", "copies", "areas")
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, links, root, found) of each class in each pair of blocks; rows come sorted by area and pair of blocks.
+
+    ``found`` is how many verified pairs the tree's proposals held, on one row of each pair of blocks.
+    """
+
+    def joined(rows: list[tuple]) -> pa.RecordBatch | None:
+        area, i, j = rows[0][:3]
+        # Repeated rows of the document that a class was made from come next to each other.
+        rows = [r for k, r in enumerate(rows) if not k or r[4] != rows[k - 1][4]]
+        left = [r for r in rows if r[3] == i]
+        right = left if i == j else [r for r in rows if r[3] == j]
+        if not left or not right or len(rows) < 2:
+            return None
+        mine, theirs = [r[7] for r in left], [r[7] for r in right]
+        a, b = CountTree(theirs).pairs(mine)
+        if i == j:
+            a, b = a[a < b], b[a < b]
+        fresh = ~_met_before(area, [r[6] for r in left], [r[6] for r in right], a, b)
+        a, b = a[fresh], b[fresh]
+        good = _verified(mine, theirs, a, b)
+        a, b = a[good], b[good]
+        rows = left if i == j else left + right
+        b = b + (0 if i == j else len(left))
+        copies = np.array([r[5] for r in rows], np.int64)
+        links = np.bincount(a, copies[b], minlength=len(rows)) + np.bincount(b, copies[a], minlength=len(rows))
+        names = np.array([r[4] for r in rows], np.int64)
+        found = np.zeros(len(rows), np.int64)
+        found[0] = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(links.astype(np.int64)), pa.array(names[_lowest(len(rows), a, b)]), pa.array(found)], ["class", "links", "root", "found"])
 
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("data")]
+        for row in zip(*(batch.column(c).to_pylist() for c in _JOINED), sets, strict=True):
             if held and held[0][:3] != row[:3]:
-                yield counts(held)
+                out = joined(held)
+                if out is not None:
+                    yield out
                 held = []
             held.append(row)
     if held:
-        yield counts(held)
+        out = joined(held)
+        if out is not None:
+            yield out
+
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``key``, a hash that tells apart texts with one doc_id."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
 
-def _degrees(docs: DataFrame, rows: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, links): how many documents of other classes a class with links has them with."""
-    members = roots.withColumnRenamed("node", "class").join(classes.select("class", "n", "copies"), "class")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("entries"))
-    k = F.greatest(F.ceil(F.col("entries") / COUNTED_SHINGLES), F.least(F.lit(SPREAD), F.ceil(F.col("of") / COUNTED))).cast("int")
-    members = stage(members.join(sizes.select("root", k.alias("k")), "root").withColumn("own", F.pmod(F.xxhash64("class"), F.col("k")).cast("int")), "near-members")
-    met = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    sets = _of_classes(docs, rows, members, lambda own: own.tobytes(), "near-sets")
-    dealt = members.withColumn("p", F.explode(met)).select("root", "p.i", "p.j", "own", "class", "n", "copies").join(sets, "class")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    counted = dealt.select("root", "i", "j", "own", "class", "n", "copies", "data").mapInArrow(_count, "class long, links long")
-    return stage(counted.groupBy("class").agg(F.sum("links").alias("links")), "near-degrees")
 
+def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, n, class) of every document, (class, links, root, found) by pair of blocks, and (node, root) of every class that has a link.
 
-def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) of every document, and (node, root) of every class that has a link."""
+    ``docs`` is as :func:`keyed` makes it.
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    profile = stage(docs.mapInArrow(_profile, f"doc_id {kind}, n long, class long, part int, counts binary"), "near-profile")
-    rows = profile.where("part is null").select("doc_id", "n", "class")
+    profile = stage(map_batches(docs, _profile, f"doc_id {kind}, key long, n long, class long, part int, counts binary"), "near-profile")
+    rows = profile.where("part is null").select("doc_id", "key", "n", "class")
     counts = _cell_counts(profile.where("part is not null").select("part", "counts"))
     order = spark.sparkContext.broadcast(np.floor(4 * np.log2(counts + 1.0)).astype(np.uint8))
     hot = spark.sparkContext.broadcast((counts > BUCKET) & (counts > 4 * counts.mean()))
     buckets = int(counts.sum() // 5 // BUCKET) + 16
-    routed = docs.select("text").mapInArrow(_route(order, hot, buckets), "bucket long, entries binary").repartition(buckets, "bucket")
-    shared = stage(routed.mapInArrow(_shared(hot), "token long, class long, n long"), "near-shared")
-    # How much of its rare shingles a class shares: an original shares all, an edited copy few.
-    ties = shared.groupBy("class").agg((F.count(F.lit(1)) / F.max("n")).alias("ties"))
-    shared = stage(shared.join(ties, "class"), "near-shared")
-    copies = _verify(docs, rows, _stars(shared.withColumn("root", F.col("class")).withColumn("members", F.lit(1))))
-    again = _stars(_with_roots(shared, components(copies))).join(copies, ["a", "b"], "left_anti")
-    copies = stage(copies.union(_verify(docs, rows, stage(again, "near-stars"))), "near-copies")
-    # The R-tree join of what still meets.
-    members = _areas(shared, components(copies))
-    points = _of_classes(docs, rows, members, point, "near-points")
-    dealt = _blocks(members).join(points, "class").repartition("area", "i", "j").sortWithinPartitions("area", "i", "j")
-    pairs = stage(dealt.select("area", "i", "j", "own", "class", "n", "root", "data").mapInArrow(_search, "a long, b long").distinct(), "near-pairs")
-    return rows, components(copies.unionByName(_verify(docs, rows, pairs)))
+    routed = map_batches(docs.select("text"), _route(order, hot, buckets), "bucket int, entries binary").repartitionById(buckets, "bucket")
+    shared = stage(map_batches(routed, _shared(hot), "token long, class long, n long"), "near-shared")
+    members = _areas(shared)
+    dealt = _dealt(docs, rows, members).repartition("area", "i", "j").sortWithinPartitions("area", "i", "j", "class")
+    found = stage(map_batches(dealt.select(*_JOINED, "data"), _join, "class long, links long, root long, found long"), "near-links")
+    return rows, found, components(found.select(F.col("class").alias("a"), F.col("root").alias("b")).where("a != b"))
 
 
 def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -414,29 +400,36 @@ def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(smallest, "root").drop("root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (its smallest doc_id) of every document (doc_id, text)."""
-    rows, roots = _resolved(docs.select("doc_id", "text"))
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = _named(classes, roots).select("class", "component_id")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.where("n > 0").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty)
-
-
 def near_links(docs: DataFrame) -> DataFrame:
-    """The columns of :func:`near_duplicates`, class_id (the smallest doc_id with an equal set) and links of every document.
+    """doc_id, n_shingles, component_id (its smallest doc_id), class_id (the smallest doc_id with an equal set) and links of every document.
 
     Links are the other documents at the similarity, equal sets included.
     """
-    docs = docs.select("doc_id", "text")
-    rows, roots = _resolved(docs)
-    classes = stage(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "near-classes")
-    named = _named(classes.drop("n"), roots).join(_degrees(docs, rows, roots, classes), "class", "left")
-    named = named.select("class", "component_id", F.col("least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    rows, found, roots = join_classes(keyed(docs))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    named = _named(classes, roots).join(found.groupBy("class").agg(F.sum("links").alias("links")), "class", "left")
+    named = stage(named.select("class", "component_id", F.col("least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "near-named")
     n, own = F.col("n").alias("n_shingles"), F.col("doc_id")
     empty = rows.where("n = 0").select("doc_id", n, own.alias("component_id"), own.alias("class_id"), F.lit(0).cast("long").alias("links"))
     return rows.where("n > 0").join(named, "class").select("doc_id", n, "component_id", "class_id", "links").union(empty)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and all without words.
+
+    That is the row with the smallest doc_id (null last), and of rows that share
+    it the one with the smallest hash of its text; of equal rows one stays.
+    """
+    rows, _, roots = join_classes(keyed(docs))
+    named = rows.where("n > 0").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("d"))
+    first = stage(first.select(F.col("d.doc_id").alias("_id"), F.col("d.key").alias("_key")), "near-first")
+    named = docs.withColumn("_text_key", F.xxhash64("text"))
+    stay = named.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    stay = stay.dropDuplicates(["doc_id", "_text_key"])
+    wordless = named.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return stay.unionByName(wordless).drop("_text_key")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(table(spark, sf_dir, "documents"))

@@ -6,7 +6,9 @@ that a changed policy or an ablation reads the small ledger and no text.
 
 Edge cases: null text counts as empty (no words; fails ``few_words``). Empty
 tables give empty ledgers. Repeated rows each get a row. Columns of the input
-with the names of measurements are not read.
+with the names of measurements are not read. Very long texts are measured whole,
+each as a chunk of its own. Lines and runs of words count as equal where their
+64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm.common import table
+from obsflow.llm.common import map_batches, table
 from obsflow.llm.words import chunks, windows
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_marked_words")
@@ -104,7 +106,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     kept = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)]
     rows = docs.select(*kept, F.col("text").alias("text"))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    out = rows.mapInArrow(_measure, ", ".join([*fields, *(f"{m} long" for m in MEASURES)]))
+    out = map_batches(rows, _measure, ", ".join([*fields, *(f"{m} long" for m in MEASURES)]))
     clash = set(MEASURES) & set(keep)
     return out.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)), *(F.col(m).alias(f"measured_{m}" if m in clash else m) for m in MEASURES))
 
