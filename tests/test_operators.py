@@ -6,11 +6,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from obsflow.functions import exprs as X
-from obsflow.operators import cardinality, changes, evidence, folds, lineage, shaping, stats
+from obsflow.operators import cardinality, changes, evidence, folds, lineage, replay, schemas, shaping, stats
 from obsflow.operators.intervals import interval_join
+from obsflow.operators.numbering import numbered
 from obsflow.plans import registry, views
 from obsflow.schema import EVENT, CardinalityRule, Policy, Pressure, Protection, ShapingConfig, ShapingRule
-from obsflow.streaming.pipeline import KeyedSpacing, dedup_stream, parquet_sink, run_pipeline, windowed_stats
+from obsflow.streaming.pipeline import KeyedSpacing, decisions_once, dedup_stream, merge_batch, parquet_sink, run_pipeline, split_failures, windowed_stats, with_lateness
 
 T0 = datetime(2024, 1, 1)
 
@@ -210,3 +211,123 @@ def test_keyed_spacing_state():
     frame = lambda *s: pd.DataFrame({"event_time": pd.to_datetime(list(s), unit="s")})
     assert len(next(state.handleInputRows(("k",), iter([frame(0, 30, 60)]), None))) == 2
     assert len(next(state.handleInputRows(("k",), iter([frame(100, 125)]), None))) == 1
+
+
+def test_one_decimal_is_exact(spark):
+    values = [1374.05, 0.25, 0.75, 0.05, 0.15, 1000.0, 2.675, 1e12 + 0.25, 1e14 + 0.75, 999.95, 0.0, 123456.65] + [random.Random(i).uniform(0, 5000) for i in range(200)] + [i / 8 for i in range(100)] + [i / 20 for i in range(200)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.one_decimal(F.col("v")).alias("s")).collect()
+    assert [r.s for r in rows] == [f"{r.v:.1f}" for r in rows]
+    assert [X.duration_text(s) for s in (45, 60, 90, 3600, 7205)] == ["45s", "1m0s", "1m30s", "1h0m0s", "2h0m5s"]
+
+
+def test_rows_are_numbered_over_bins(spark):
+    rng = random.Random(4)
+    rows = [("k" if i % 3 else None, T0 + timedelta(seconds=rng.randrange(20_000)), i) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "k string, at timestamp, id long"), ["k"], "at", "id", "no", 600).collect()
+    want = {}
+    for k in ("k", None):
+        want |= {r[2]: n for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])), 1)}
+    assert {r.id: r.no for r in got} == want
+
+
+def test_endless_island_equals_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(folds, "FOLDED", 50)
+    monkeypatch.setattr(folds, "PIECE", 8)
+    rng = random.Random(9)
+    at = lambda t: T0 + timedelta(milliseconds=t)
+    rows, t = [], 0
+    for i in range(4000):
+        t += rng.choice((0, 1, 300, 900, 9_000, 40_000))
+        rows.append(("a", at(t), f"e{i:05d}"))
+    rows += [("b", at(1000 * s), f"f{s}") for s in (0, 30, 60, 200)]
+    got = {r.id for r in folds.spaced(spark.createDataFrame(rows, "k string, at timestamp, id string"), ["k"], "at", "id", 60).collect()}
+    want, last = set(), {}
+    for k, when, i in sorted(rows):
+        if k not in last or (when - last[k]).total_seconds() >= 60:
+            want.add(i)
+            last[k] = when
+    assert got == want and len(want) > 100
+
+
+def test_steady_source_of_many_errors(spark):
+    rows = spark.range(200_000).select(F.lit("k").alias("k"), F.timestamp_micros(F.col("id") * 500_000).alias("at"), F.col("id").cast("string").alias("id"))
+    assert folds.spaced(rows, ["k"], "at", "id", 60).count() == -(-200_000 // 120)
+
+
+def test_schema_bounds(spark):
+    import json
+
+    rows = events(spark, [("none", 0, "x", None, {}), ("tags", 1, "x", 2.0, {f"k{i:03d}": "v" for i in range(600)}), ("wide", 2, "x", None, {"a": "b"}), ("deep", 3, "x", None, {}), ("bad", 4, "x", None, {}), ("list", 5, "x", None, {})])
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}}
+    body = {"wide": json.dumps({f"p{i:03d}": i for i in range(600)}), "deep": json.dumps(deep), "bad": "{oops", "list": '{"z": [1, {"q": 2}], "y": null, "b.c": {"d": true}}'}
+    payload = F.lit(None).cast("string")
+    for k, v in body.items():
+        payload = F.when(F.col("event_id") == k, F.lit(v)).otherwise(payload)
+    got = {r.event_id: r for r in schemas.describe(rows.withColumn("payload", payload)).collect()}
+    paths = lambda k: [(f.path, f.type) for f in got[k].fields]
+    assert paths("none") == [] and not got["none"].truncated
+    assert len(paths("tags")) == 512 and ("metric.value", "number") in paths("tags") and ("tags.k509", "string") in paths("tags") and ("tags.k510", "string") not in paths("tags") and got["tags"].truncated
+    assert len(paths("wide")) == 512 and ("payload.p509", "number") in paths("wide") and ("payload.p510", "number") not in paths("wide") and got["wide"].truncated
+    assert paths("deep") == [("payload", "object"), ("payload.a", "object"), ("payload.a.b", "object"), ("payload.a.b.c", "object"), ("payload.a.b.c.d", "object"), ("payload.a.b.c.d.e", "object")] and got["deep"].truncated
+    assert paths("bad") == [("payload", "string")] and not got["bad"].truncated
+    assert paths("list") == [("payload", "object"), ("payload.b.c", "object"), ("payload.b.c.d", "boolean"), ("payload.y", "null"), ("payload.z", "array")]
+
+
+def test_rendezvous_eligibility(spark):
+    nodes = [("n1", "c1", "r1", "z1"), ("n2", "c1", "r1", "z2"), ("n3", "c1", "r2", "z9"), ("n4", "c2", "r9", "z9")]
+    keys = spark.range(200).select(F.col("id").cast("string").alias("key"))
+    of = lambda **more: {r.node for r in lineage.rendezvous(keys, nodes, ("c1", "r1", "z1"), **more).collect()}
+    assert of() == {"n1"}
+    assert of(states={"n1": {"draining": True}}) == {"n2"}
+    assert of(states={"n1": {"ready": False}, "n2": {"pressure": 0.99}}) == {"n3"}
+    assert of(states={n: {"age": 60.0} for n in ("n1", "n2", "n3")}) == {"n4"}
+    assert of(states={n: {"age": 60.0} for n in ("n1", "n2", "n3", "n4")}) == {None}
+    assert of(states={"n1": {"age": 60.0, "local": True}}) == {"n1"}
+    assert of(policy="any") == {"n1", "n2", "n3", "n4"}
+
+
+def test_compare_of_given_pairs(spark):
+    feats = [("t", i, f, x) for i, own in (("a", "pq"), ("b", "pq"), ("c", "qr"), ("d", "z")) for f, x in (("source", own[0]), ("type", own[-1]))]
+    df = spark.createDataFrame(feats, "tenant_id string, incident_id string, family string, feature string")
+    every = {(r.left, r.right): r.similarity for r in evidence.compare(df).collect()}
+    assert every == {("a", "b"): 0.55}
+    asked = spark.createDataFrame([("t", "b", "a"), ("t", "a", "d")], "tenant_id string, left string, right string")
+    assert {(r.left, r.right): r.similarity for r in evidence.compare(df, asked).collect()} == {("b", "a"): 0.55}
+
+
+def test_replay_normalizes_first(spark):
+    ev = events(spark, [("a", 0, " x ", None, {"user_id": "1"}), ("b", 1, "x", None, {"user_id": "2"})]).withColumn("incident_id", F.lit("i"))
+    policy = Policy("p", rules=(CardinalityRule(type="x", dimension="user_id", unique_threshold=2, action="quarantine"),))
+    assert {r.event_id: r.quarantined for r in replay.replay(ev, policy).collect()} == {"a": False, "b": True}
+
+
+def test_stream_restarts_write_each_batch_once(spark, tmp_path):
+    """Validation, deduplication against a store and decisions, over two runs of one stream."""
+    source, out, store = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "store")
+    events(spark, []).write.parquet(store)
+
+    def step(batch):
+        ok, _ = split_failures(batch)
+        return decisions_once(ok, spark.read.schema(EVENT).parquet(store))
+
+    def run():
+        stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+        run_pipeline(stream, step, {"out": parquet_sink(out)}, str(tmp_path / "checkpoint")).awaitTermination()
+
+    events(spark, [("a", 0, "x", None, {}), ("b", 1, "", None, {}), ("a", 0, "x", None, {})]).coalesce(1).write.mode("append").parquet(source)
+    run()
+    first = sorted(r.event_id for r in spark.read.parquet(out).collect())
+    events(spark, [("c", 2, "y", None, {})]).coalesce(1).write.mode("append").parquet(source)
+    run()
+    run()
+    assert first == ["a"] and sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["a", "c"]
+
+
+def test_late_events_and_merged_state(spark):
+    ev = events(spark, [("a", 0, "x", None, {}), ("b", 900, "x", None, {})])
+    on_time, late = with_lateness(ev, T0 + timedelta(seconds=900), 600)
+    assert [r.event_id for r in on_time.collect()] == ["b"] and [r.event_id for r in late.collect()] == ["a"]
+    state = spark.createDataFrame([("k", 1, "old", 5)], "k string, at long, status string, total long")
+    batch = spark.createDataFrame([("k", 2, "new", 1), ("l", 1, "l", 1)], "k string, at long, status string, total long")
+    got = {r.k: (r.status, r.total) for r in merge_batch(batch, state, ["k"], "at", {"status": "last", "total": "add"}).collect()}
+    assert got == {"k": ("new", 6), "l": ("l", 1)}

@@ -21,5 +21,5 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, DIR).columns
+    assert registry.QUERIES[name](spark, DIR).count() >= 0
     spark.catalog.clearCache()
