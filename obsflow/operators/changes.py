@@ -10,6 +10,7 @@ from obsflow.functions import exprs as X
 from obsflow.operators.intervals import interval_join
 from obsflow.operators.stats import p95
 from obsflow.schema import CONTROL
+from obsflow.staging import stage
 
 KINDS = ("deployment", "rollback", "release", "feature_flag", "configuration", "infrastructure")
 STATUSES = ("started", "completed", "failed", "rolled_back", "changed")
@@ -53,12 +54,21 @@ def merge_markers(markers: DataFrame) -> DataFrame:
     )
 
 
-def before_after(markers: DataFrame, ev: DataFrame, before: int = 900, after: int = 900) -> DataFrame:
-    """For each change and source: events, errors, error rate and p95 in [c-before, c) and in [c, c+after)."""
+#: Changes up to this many (each in a few time bins, some 100 bytes) are broadcast to the events.
+FEW = 100_000
+
+
+def before_after(markers: DataFrame, ev: DataFrame, before: int = 900, after: int = 900, few: bool = False, own: bool = False) -> DataFrame:
+    """For each change and source: events, errors, error rate and p95 in [c-before, c) and in [c, c+after).
+
+    ``few``: the changes were counted and are broadcast. ``own``: only each change's own source.
+    """
     spans = markers.select("tenant_id", "change_id", F.col("source").alias("change_source"), "changed_at")
     points = ev.select("tenant_id", "source", "event_time", "event_type", "tags", "metric_value", "metric_unit")
     end = F.col("changed_at") + _seconds(after) - _seconds(0.000001)
-    rows = interval_join(spans, points, ["tenant_id"], F.col("changed_at") - _seconds(before), end, F.col("event_time"), max(before, after))
+    keys = ["tenant_id", "source"] if own else ["tenant_id"]
+    spans = spans.withColumn("source", F.col("change_source")) if own else spans
+    rows = interval_join(spans, points, keys, F.col("changed_at") - _seconds(before), end, F.col("event_time"), max(before, after), few=few)
     past = F.col("event_time") < F.col("changed_at")
     made = []
     for name, side in (("before", past), ("after", ~past)):
@@ -111,11 +121,17 @@ def recovery_rollback(markers: DataFrame, seconds: int = 7200) -> DataFrame:
 
 
 def analyze_changes(markers: DataFrame, ev: DataFrame, before: int = 900, after: int = 900) -> DataFrame:
-    """Impact, blast radius and recovery of all changes at once."""
-    overall = blast_radius(assess(before_after(markers, ev, before, after)))
-    rolls = recovery_rollback(markers)
+    """Impact, blast radius and recovery of all changes at once.
+
+    Changes are made once; the events are read for each of the two windows, and
+    move only where changes are too many to broadcast.
+    """
+    markers = stage(markers, "change-markers")
+    few = markers.count() <= FEW
+    overall = blast_radius(assess(before_after(markers, ev, before, after, few)))
+    rolls = stage(recovery_rollback(markers), "change-rollbacks")
     at_roll = rolls.select("tenant_id", "change_id", F.col("change_source").alias("source"), F.col("rolled_at").alias("changed_at"))
-    after_roll = assess(before_after(at_roll, ev, before, 600)).where("source = change_source")
+    after_roll = assess(before_after(at_roll, ev, before, 600, few, own=True))
     calm = (F.col("after_error_rate") < 0.05) & ((F.col("after_p95") == 0) | (F.col("after_p95") < 500))
     recovered = after_roll.select("tenant_id", "change_id", ((F.col("assessment") == "improved") | calm).alias("recovered"))
     rows = markers.select("tenant_id", "change_id").join(overall, ["tenant_id", "change_id"], "left").join(rolls.select("tenant_id", "change_id", "rollback_id"), ["tenant_id", "change_id"], "left")

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def interval_join(spans: DataFrame, points: DataFrame, keys: list[str], start: Column, end: Column, at: Column, seconds: int, how: str = "inner") -> DataFrame:
+def interval_join(spans: DataFrame, points: DataFrame, keys: list[str], start: Column, end: Column, at: Column, seconds: int, how: str = "inner", few: bool = False) -> DataFrame:
     """Rows of ``spans`` (with start and end in it) and of ``points`` (with a time) where start <= time <= end.
 
     ``seconds`` is the bins' width: about the usual length of an interval.
-    Points carry the keys as ``_p_<key>``, which the result drops.
+    ``few`` says that the spans were counted and are few enough to broadcast, so
+    that points need no shuffle. Points carry the keys as ``_p_<key>``, which the result drops.
     """
     width = seconds * 1_000_000
     bin_of = lambda c: F.floor(F.unix_micros(c) / width)
@@ -29,4 +30,4 @@ def interval_join(spans: DataFrame, points: DataFrame, keys: list[str], start: C
     on = within
     for c in same:
         on = c & on
-    return left.join(right, on, how).drop("_start", "_end", "_bin", "_at", "_p_bin", *(f"_p_{k}" for k in keys))
+    return (F.broadcast(left) if few else left).join(right, on, how).drop("_start", "_end", "_bin", "_at", "_p_bin", *(f"_p_{k}" for k in keys))
