@@ -36,3 +36,11 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = f"{shared_dir(spark)}/obsflow/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a staged table that nothing later reads, so that rounds of a loop don't pile up."""
+    found = df.inputFiles()
+    if found:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(found[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
