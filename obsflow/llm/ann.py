@@ -2,27 +2,36 @@
 
 *Start.* Every row goes through ``TREES`` random-projection trees; hyperplanes
 come from a bounded sample, rows from all. Rows of a leaf are compared with one
-another and keep their ``DEGREE`` nearest. A leaf beyond ``LEAF`` rows is dealt
-into parts by hash, other parts for each tree, so no group is unbounded.
+another and keep their nearest. Leaves are small, so that the lists are only a
+start; a leaf beyond ``LEAF`` rows is dealt into parts by hash, other parts for
+each tree, so no group is unbounded.
 
 *Descent.* In each round every node is sent to its neighbours and its
 neighbours to it, with their vectors, by joins. A node compares all that it was
-sent and tells each the nearest of the others: neighbours of neighbours. Lists
-are merged, and rounds end when few entries change.
+sent and tells each the nearest of the others: neighbours of neighbours. A node
+that more than ``REVERSE`` others name is dealt into parts, each with its own
+neighbours and a share of the others, so none is left out. Lists are merged,
+and rounds go on until few entries change.
 
 *Search.* A query keeps a list of the nearest nodes seen. It expands the
 nearest nodes that it hasn't expanded, whose neighbours come with their
 vectors by a join, until a round brings nothing into the part of the list that
-counts. Lists found are then scored in double precision on the original vectors.
+counts; there is no bound on the rounds. Lists found are then scored in double
+precision on the original vectors.
 
 Nearness is the inner product. Vectors in messages are bytes with one scale, so
-that a node's neighbourhood is small; the last scoring is exact.
+that a node's neighbourhood is small; the last scoring is exact. What happens
+doesn't depend on the number of rows; a table that fits into one leaf is simply
+compared whole before the first round.
 
 Edge cases: rows whose vec_id or vector is null, or whose vector is all zero,
 holds null, NaN or infinite components, or has another length than most, take
-no part. Rows that repeat a vec_id count once, with the smallest vector. Ties
-go to the smaller vec_id. Empty tables give no rows; with few rows all are
-compared.
+no part (vectors of two lengths have no inner product). Finite components of
+any size do: vectors are divided by the largest component for all but the last
+scoring. Rows that repeat a vec_id count once, with the smallest vector. Ties
+go to the smaller vec_id. Empty tables give no rows; a query with fewer others
+gets them all. Columns other than vec_id and embedding are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,24 +44,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from obsflow.llm.common import stage, table
+from obsflow.llm.common import bounded_broadcast, discard, stage, table
 
 DEGREE = 64
 #: Neighbours that each tree gives a row to start from.
 FROM_TREE = 24
-#: Reverse neighbours of a node that a round sends it, nearest first; the join that follows finds the others by longer ways.
+#: Reverse neighbours of a part of a node.
 REVERSE = 512
 TREES = 8
-LEAF = 2000
+LEAF = 256
 #: Rows that hyperplanes are drawn from, and the fewest of them below a hyperplane.
-SAMPLE, FEWEST = 20_000, 40
-#: A node tells each neighbour at most so many others in a round.
+SAMPLE, FEWEST = 20_000, 16
+#: A node tells each neighbour at most so many others in a round; what it keeps back can come in the next.
 TELL = 8
-ROUNDS = 6
 #: Rounds end when less than this share of the entries changes.
 SETTLED = 0.05
-#: Nodes that a query expands in a round, and the rounds at most.
-EXPAND, STEPS = 24, 6
+#: Nodes that a query expands in a round.
+EXPAND = 24
+#: Nodes named by more than REVERSE others are broadcast up to so many, and else joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -64,24 +74,25 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (sizes[0]["n"] if sizes else 0))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A batch's vectors as a matrix."""
+def _matrix(column: pa.Array, largest: float) -> np.ndarray:
+    """A batch's vectors as a matrix, divided by ``largest``."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return (flat / largest).astype(np.float32).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
 def _short(x: np.ndarray) -> list[bytes]:
     """Each row as its scale and bytes."""
-    scale = np.abs(x).max(axis=1) / 127
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale.astype(np.float32), codes, strict=True)]
+    scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+    codes = np.rint(x / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
+    return [s.tobytes() + c.tobytes() for s, c in zip(scale, codes, strict=True)]
 
 
-def _long(rows: list[bytes]) -> np.ndarray:
-    """The matrix of what :func:`_short` made."""
-    data = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    return np.ascontiguousarray(data[:, 4:]).view(np.int8).astype(np.float32) * np.ascontiguousarray(data[:, :4]).view(np.float32)
+def _long(data: bytes, rows: int) -> np.ndarray:
+    """The matrix of what :func:`_short` made, row after row."""
+    flat = np.frombuffer(data, np.uint8).reshape(rows, -1)
+    return np.ascontiguousarray(flat[:, 4:]).view(np.int8).astype(np.float32) * np.ascontiguousarray(flat[:, :4]).view(np.float32)
 
 
 def _tops(scores: np.ndarray, k: int) -> np.ndarray:
@@ -172,29 +183,29 @@ def _best(k: int):
     return run
 
 
-def _start(rows: DataFrame, n: int, parts: int) -> DataFrame:
+def _start(rows: DataFrame, n: int, largest: float, parts: int) -> DataFrame:
     """Lists of neighbours inside the leaves of all trees."""
     spark = rows.sparkSession
     share = min(1.0, SAMPLE / max(n, 1))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding").toArrow()
-    sample = _matrix(drawn.column("embedding")) if drawn.num_rows else np.zeros((0, 0), np.float32)
-    trees = spark.sparkContext.broadcast(Trees(sample, n, TREES if n > LEAF else 1))
+    sample = _matrix(drawn.column("embedding"), largest) if drawn.num_rows else np.zeros((0, 0), np.float32)
+    trees = spark.sparkContext.broadcast(Trees(sample, n, TREES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trees.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
-                x = _matrix(batch.column("embedding"))
+                x = _matrix(batch.column("embedding"), largest)
                 if not len(x):
                     continue
                 vectors = pa.array([v.tobytes() for v in x], pa.binary())
                 for t in range(len(own.normal)):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(own.leaves(t, x)), batch.column("vec_id"), vectors], ["tree", "leaf", "id", "vector"])
 
-    dealt = stage(rows.select("vec_id", "embedding").mapInArrow(deal, "tree int, leaf long, id long, vector binary"), "ann-leaves")
-    sizes = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("pieces"))
-    dealt = dealt.join(F.broadcast(sizes), ["tree", "leaf"])  # at most TREES * SAMPLE / FEWEST rows
+    leaves = stage(rows.select("vec_id", "embedding").mapInArrow(deal, "tree int, leaf long, id long, vector binary"), "ann-leaves")
+    sizes = leaves.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("pieces"))
+    dealt = leaves.join(F.broadcast(sizes), ["tree", "leaf"])  # at most TREES * SAMPLE / FEWEST rows
     dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("tree", "id"), F.col("pieces")))
 
     def compare(group: pa.Table) -> pa.Table:
@@ -211,66 +222,86 @@ def _start(rows: DataFrame, n: int, parts: int) -> DataFrame:
         return pa.Table.from_batches([_pack(*_merge(np.concatenate(owners), np.concatenate(others), np.concatenate(scores), DEGREE))])
 
     found = dealt.select("tree", "leaf", "piece", "id", "vector").groupBy("tree", "leaf", "piece").applyInArrow(compare, _LISTS)
-    return stage(found.repartition(parts, "id").mapInArrow(_best(DEGREE), _LISTS), "ann-lists")
+    lists = stage(found.repartition(parts, "id").mapInArrow(_best(DEGREE), _LISTS), "ann-lists")
+    discard(leaves)
+    return lists
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(center, member, score) both ways for every entry, and how near the member's farthest neighbour is."""
+    """(center, member, back) both ways for every entry."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        owner, other, score = _unpack([batch])
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[owner, other]), pa.array(np.r_[other, owner]), pa.array(np.r_[score, score]), pa.array(np.r_[np.zeros(len(owner), bool), np.ones(len(owner), bool)])], ["center", "member", "score", "back"])
-
-
-def neighbourhoods(lists: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
-    """Each node's neighbours and (nearest first, bounded) reverse neighbours, with their vectors: center, members, least, vectors.
-
-    ``least`` is the score that a candidate must beat to enter the member's own list.
+        owner, other, _ = _unpack([batch])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[owner, other]), pa.array(np.r_[other, owner]), pa.array(np.r_[np.zeros(len(owner), bool), np.ones(len(owner), bool)])], ["center", "member", "back"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each center and part: center, members, least, vectors. Rows come sorted by center, part and member."""
+
+    def pack(rows: pa.RecordBatch) -> pa.RecordBatch:
+        center, part, member = (np.asarray(rows.column(c)) for c in ("center", "part", "member"))
+        new = np.ones(len(center), bool)
+        new[1:] = (center[1:] != center[:-1]) | (part[1:] != part[:-1])
+        fresh = new.copy()
+        fresh[1:] |= member[1:] != member[:-1]
+        heads = np.flatnonzero(new[fresh])
+        cuts = np.r_[heads, int(fresh.sum())]
+        least = np.asarray(rows.column("least"))[fresh]
+        column = rows.column("vector")
+        data = np.frombuffer(column.buffers()[2], np.uint8)[np.frombuffer(column.buffers()[1], np.int32)[column.offset] :]
+        width = len(column[0].as_buffer())
+        vectors = data[: len(center) * width].reshape(-1, width)[fresh]
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(center[fresh][heads]), cut(member[fresh]), cut(least), cut(vectors)], ["center", "members", "least", "vectors"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        center, part = np.asarray(batch.column("center")), np.asarray(batch.column("part"))
+        heads = np.flatnonzero((center[1:] != center[:-1]) | (part[1:] != part[:-1])) + 1
+        if held and (held[-1].column("center")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (center[0], part[0]):
+            heads = np.r_[0, heads]
+        if len(heads):
+            whole = [*held, batch.slice(0, int(heads[-1]))]
+            yield pack(pa.concat_batches([b for b in whole if b.num_rows]))
+            held = [batch.slice(int(heads[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pack(pa.concat_batches(held))
+
+
+def neighbourhoods(lists: DataFrame, rows: DataFrame, largest: float, parts: int) -> DataFrame:
+    """Each node's neighbours and reverse neighbours, with their vectors: center, members, least, vectors.
+
+    ``least`` is the score that a candidate must beat to enter the member's own
+    list. A node with many reverse neighbours has several rows.
     """
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(_short(_matrix(batch.column("embedding"))), pa.binary())], ["member", "vector"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(_short(_matrix(batch.column("embedding"), largest)), pa.binary())], ["member", "vector"])
 
     def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             full = [np.frombuffer(s, np.float32) for s in batch.column("scores").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([float(s[-1]) if len(s) >= DEGREE else -np.inf for s in full], pa.float32())], ["member", "least"])
 
-    edges = lists.mapInArrow(_edges, "center long, member long, score float, back boolean")
+    edges = lists.mapInArrow(_edges, "center long, member long, back boolean")
+    hubs = edges.where("back").groupBy(F.col("center").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / REVERSE).cast("int").alias("pieces"))
+    hubs = stage(hubs.where("pieces > 1"), "ann-hubs")
+    n_hubs = hubs.count()
+    edges = edges.withColumn("part", F.lit(0))
+    if n_hubs:
+        dealt = edges.join(bounded_broadcast(hubs, n_hubs, BROADCAST_ROWS), F.col("center") == F.col("_c"), "left")
+        own = F.when(F.col("back"), F.array(F.pmod(F.xxhash64("member"), F.col("pieces")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
+        edges = dealt.withColumn("part", F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0))).otherwise(own)))
     vectors = rows.mapInArrow(shorten, "member long, vector binary").join(lists.mapInArrow(farthest, "member long, least float"), "member", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
-    sent = edges.join(vectors, "member").select("center", "member", "score", "back", "least", "vector")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[tuple] = []
-
-        def close() -> None:
-            back = sorted((r for r in held if r[3]), key=lambda r: (-r[2], r[1]))[:REVERSE]
-            members = {r[1]: r for r in [*back, *(r for r in held if not r[3])]}
-            rows_ = [members[m] for m in sorted(members)]
-            out.append((held[0][0], np.array([r[1] for r in rows_], np.int64).tobytes(), np.array([r[4] for r in rows_], np.float32).tobytes(), b"".join(r[5] for r in rows_)))
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3))], ["center", "members", "least", "vectors"])
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("center", "member", "score", "back", "least", "vector")), strict=True):
-                if held and held[0][0] != row[0]:
-                    close()
-                    held = []
-                    if len(out) >= 500:
-                        yield flush()
-                        out = []
-                held.append(row)
-        if held:
-            close()
-            yield flush()
-
-    packed = sent.repartition(parts, "center").sortWithinPartitions("center").mapInArrow(gather, "center long, members binary, least binary, vectors binary")
-    return packed
+    sent = edges.join(vectors, "member").select("center", "part", "member", "least", "vector")
+    return sent.repartition(parts, "center", "part").sortWithinPartitions("center", "part", "member").mapInArrow(_gather, "center long, members binary, least binary, vectors binary")
 
 
 def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +313,7 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(ids) < 2:
                 continue
             bar = np.frombuffer(least, np.float32)
-            size = len(vectors) // len(ids)
-            x = _long([vectors[i : i + size] for i in range(0, len(vectors), size)])
+            x = _long(vectors, len(ids))
             s = x @ x.T
             np.fill_diagonal(s, -np.inf)
             top = _tops(s, TELL)
@@ -298,24 +328,32 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _pack(*_merge(owner, np.concatenate(others), np.concatenate(scores), DEGREE))
 
 
-def build(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The graph of usable rows: lists (id, others, scores; nearest first) and neighbourhoods with vectors."""
-    n = rows.count()
-    parts = max(8, n // 8_000)
-    lists = _start(rows, n, parts)
-    for r in range(ROUNDS):
-        near = stage(neighbourhoods(lists, rows, parts), "ann-near")
-        if n <= LEAF or r == ROUNDS - 1:
-            break
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fresh) of each pair of lists: how many entries of the one aren't in the other."""
+    for batch in batches:
+        counts = [int((~np.isin(np.frombuffer(a, np.int64), np.frombuffer(b or b"", np.int64))).sum()) for a, b in zip(batch.column("others").to_pylist(), batch.column("before").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["fresh"])
+
+
+def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The graph of usable rows: lists (id, others, scores; nearest first), neighbourhoods with vectors, and the rounds of descent."""
+    n, largest = rows.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))).collect()[0]
+    largest = largest or 1.0
+    parts = max(8, n // 4_000)
+    lists = _start(rows, n, largest, parts)
+    done = 0
+    while True:
+        near = stage(neighbourhoods(lists, rows, largest, parts), "ann-near")
         told = near.mapInArrow(_tell, _LISTS)
         merged = stage(told.unionByName(lists).repartition(parts, "id").mapInArrow(_best(DEGREE), _LISTS), "ann-lists")
-        changed = merged.join(lists.select("id", F.col("others").alias("_before")), "id").where(F.col("others") != F.col("_before"))
-        fresh = changed.select(F.sum(F.size(F.array_except(F.split(F.regexp_replace(F.hex("others"), "(.{16})", "$1,"), ","), F.split(F.regexp_replace(F.hex("_before"), "(.{16})", "$1,"), ",")))).alias("n")).collect()[0]["n"] or 0
-        lists = merged
+        both = merged.join(lists.select("id", F.col("others").alias("before")), "id", "left").where("before is null or others != before")
+        fresh = both.select("others", "before").mapInArrow(_entries, "fresh long").agg(F.sum("fresh")).collect()[0][0] or 0
+        # All that comes later starts from the merged lists.
+        discard(near)
+        discard(lists)
+        lists, done = merged, done + 1
         if fresh < SETTLED * n * DEGREE:
-            near = stage(neighbourhoods(lists, rows, parts), "ann-near")
-            break
-    return lists, near
+            return lists, stage(neighbourhoods(lists, rows, largest, parts), "ann-near"), done
 
 
 def search(lists: DataFrame, near: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -324,6 +362,7 @@ def search(lists: DataFrame, near: DataFrame, queries: DataFrame, k: int) -> Dat
     Queries are rows of the index and start at their own node.
     """
     beam = 2 * k
+    largest = queries.agg(F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))).collect()[0][0] or 1.0
     parts = max(8, queries.count() // 2_000)
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,8 +371,7 @@ def search(lists: DataFrame, near: DataFrame, queries: DataFrame, k: int) -> Dat
             owners, others, scores = [], [], []
             for query, vector, members, vectors in zip(*(batch.column(c).to_pylist() for c in ("query_id", "vector", "members", "vectors")), strict=True):
                 ids = np.frombuffer(members, np.int64)
-                size = len(vectors) // len(ids)
-                s = _long([vectors[i : i + size] for i in range(0, len(vectors), size)]) @ np.frombuffer(vector, np.float32)
+                s = _long(vectors, len(ids)) @ np.frombuffer(vector, np.float32)
                 owners.append(np.full(len(ids), query))
                 others.append(ids)
                 scores.append(s)
@@ -347,13 +385,15 @@ def search(lists: DataFrame, near: DataFrame, queries: DataFrame, k: int) -> Dat
             return
         owner, other, score = _unpack(state)
         owner, other, score = _merge(owner, other, score, beam)
-        old = {q: np.frombuffer(d, np.int64) for b in state for q, d in zip(b.column("id").to_pylist(), b.column("done").to_pylist(), strict=True) if d is not None}
+        old = {q: (np.frombuffer(d, np.int64), o[: 8 * k]) for b in state for q, o, d in zip(*(b.column(c).to_pylist() for c in ("id", "others", "done")), strict=True) if d is not None}
         packed = _pack(owner, other, score)
         done, todo = [], []
         for q, o in zip(packed.column("id").to_pylist(), packed.column("others").to_pylist(), strict=True):
-            seen = old.get(q, np.zeros(0, np.int64))
+            seen, before = old[q]
             ids = np.frombuffer(o, np.int64)
-            fresh = ids[~np.isin(ids, seen)][:EXPAND]
+            # A query is settled when what it expanded brought nothing into the part that counts.
+            settled = len(seen) and o[: 8 * k] == before
+            fresh = ids[:0] if settled else ids[~np.isin(ids, seen)][:EXPAND]
             todo.append(fresh.tolist())
             done.append(np.r_[seen, fresh].tobytes())
         yield pa.RecordBatch.from_arrays([*packed.columns, pa.array(done, pa.binary()), pa.array(todo, pa.list_(pa.int64()))], [*_LIST, "done", "todo"])
@@ -361,21 +401,17 @@ def search(lists: DataFrame, near: DataFrame, queries: DataFrame, k: int) -> Dat
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([v.tobytes() for v in _matrix(batch.column("embedding"))], pa.binary())], ["query_id", "vector"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([v.tobytes() for v in _matrix(batch.column("embedding"), largest)], pa.binary())], ["query_id", "vector"])
 
     vectors = stage(queries.mapInArrow(plain, "query_id long, vector binary"), "ann-queries")
     schema = f"{_LISTS}, done binary, todo array<long>"
     own = lists.join(queries.select(F.col("vec_id").alias("id")), "id", "left_semi").withColumn("done", F.lit(b"").cast("binary"))
     state = stage(own.repartition(parts, "id").mapInArrow(fold, schema), "ann-state")
-    for _ in range(STEPS):
-        before = state
+    while state.where("size(todo) > 0").limit(1).count():
         ahead = state.select(F.col("id").alias("query_id"), F.explode("todo").alias("center")).join(vectors, "query_id")
         found = ahead.join(near.select("center", "members", "vectors"), "center").select("query_id", "vector", "members", "vectors").mapInArrow(widen, _LISTS)
         both = state.select(*_LIST, "done").unionByName(found.withColumn("done", F.lit(None).cast("binary")))
         state = stage(both.repartition(parts, "id").mapInArrow(fold, schema), "ann-state")
-        better = state.join(before.select("id", F.col("others").alias("_before")), "id").where(F.expr(f"substring(others, 1, {8 * k}) != substring(_before, 1, {8 * k})"))
-        if not better.limit(1).count():
-            break
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,6 +433,6 @@ def nearest(rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usable(table(spark, sf_dir, "embeddings"))
-    lists, near = build(rows)
+    lists, near, _ = build(rows)
     queries = rows.where("vec_id % 20 = 0")
     return nearest(rows, search(lists, near, queries, 20), 20)
