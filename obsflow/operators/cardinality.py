@@ -2,7 +2,8 @@
 
 Counts are exact up to 16 distinct values of a key in an hour; beyond that they
 are the estimate of a 64-register HyperLogLog. Running counts follow
-(event_time, event_id) inside each hourly key.
+(event_time, event_id) inside each hourly key. A key's hour is one window's
+work up to ``HOT`` events, and beyond that is cut into slices of time.
 """
 
 from __future__ import annotations
@@ -112,14 +113,68 @@ def observe(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Adds observed and projected after each event."""
     so_far = W.partitionBy(*keys).orderBy("event_time", "event_id").rowsBetween(W.unboundedPreceding, 0)
     rows = running_hll(running_distinct(rows, keys), keys)
+    return _judged(rows.withColumn("_samples", F.count(F.lit(1)).over(so_far)).withColumn("_since", F.min("event_time").over(so_far)))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("observed", F.when(F.col("exact") <= EXACT, F.col("exact")).otherwise(F.col("sketched")))
-    rows = rows.withColumn("projected", project(F.col("observed"), F.count(F.lit(1)).over(so_far), F.min("event_time").over(so_far), F.col("event_time")))
-    return rows.drop("exact", "sketched")
+    rows = rows.withColumn("projected", project(F.col("observed"), F.col("_samples"), F.col("_since"), F.col("event_time")))
+    return rows.drop("exact", "sketched", "_samples", "_since")
+
+
+#: Events of a (tenant, source, type, hour) beyond which its keys are counted in slices of time; and seconds of a slice.
+HOT, SLICE = 1_000_000, 1
+ORDER = ["event_time", "event_id"]
+
+
+def observe_sliced(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """What :func:`observe` adds, for keys with many events in an hour.
+
+    Every running figure is its value at the begin of a slice of time and what
+    the slice adds. What a slice begins with comes from tables by key and slice,
+    so no task needs more than the rows of a slice and the list of slices.
+    """
+    idx, rank = registers(F.col("value"))
+    rows = rows.withColumn("_slice", F.floor(F.unix_micros("event_time") / (SLICE * 1_000_000))).withColumn("_idx", idx).withColumn("_rank", rank)
+    earlier = lambda *by: W.partitionBy(*keys, *by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    inside = lambda *by: W.partitionBy(*keys, *by, "_slice").orderBy(*ORDER)
+    # A value counts once: at its first row of the first slice that has it.
+    seen = rows.select(*keys, "value", "_slice").distinct().withColumn("_known", F.count(F.lit(1)).over(earlier("value")) > 0)
+    # A register's largest rank before a slice.
+    ranks = rows.groupBy(*keys, "_idx", "_slice").agg(F.max("_rank").alias("_m")).withColumn("_carried", F.coalesce(F.max("_m").over(earlier("_idx")), F.lit(0))).drop("_m")
+    rows = rows.withColumn("_again", F.row_number().over(inside("value"))).join(seen, [*keys, "value", "_slice"])
+    rows = rows.withColumn("_first", ((F.col("_again") == 1) & ~F.col("_known")).cast("int"))
+    before = F.coalesce(F.max("_rank").over(inside("_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_before", before).join(ranks, [*keys, "_idx", "_slice"]).withColumn("_before", F.greatest("_before", "_carried"))
+    up = F.col("_rank") > F.col("_before")
+    rows = rows.withColumn("_ds", F.when(up, F.pow(F.lit(2.0), -F.col("_rank")) - F.pow(F.lit(2.0), -F.col("_before"))).otherwise(0.0)).withColumn("_dz", F.when(up & (F.col("_before") == 0), 1).otherwise(0))
+    sums = ("_first", "_ds", "_dz", "_one")
+    rows = rows.withColumn("_one", F.lit(1)).drop("_again", "_known", "_before", "_carried", "_idx", "_rank")
+    starts = rows.groupBy(*keys, "_slice").agg(*(F.sum(c).alias(f"{c}_n") for c in sums), F.min("event_time").alias("_t"))
+    starts = starts.select(*keys, "_slice", *(F.coalesce(F.sum(f"{c}_n").over(earlier()), F.lit(0)).alias(f"{c}_s") for c in sums), F.min("_t").over(W.partitionBy(*keys)).alias("_since"))
+    so_far = inside().rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{c}_i": F.sum(c).over(so_far) for c in sums}).join(starts, [*keys, "_slice"])
+    of = lambda c: F.col(f"{c}_s") + F.col(f"{c}_i")
+    rows = rows.withColumns({"exact": of("_first"), "sketched": estimate(REGISTERS + of("_ds"), REGISTERS - of("_dz")), "_samples": of("_one")})
+    return _judged(rows).drop("_slice", *sums, *(f"{c}_{x}" for c in sums for x in "is"))
+
+
+def observed(df: DataFrame) -> DataFrame:
+    """Tag rows with observed and projected; hours with many events of one kind are counted in slices."""
+    hour = [*KEY[:3], F.date_trunc("hour", "event_time").alias("hour")]
+    # An event has each dimension once, so no key has more rows than its hour has events.
+    hot = df.groupBy(*hour).count().where(F.col("count") > HOT).select(*KEY[:3], "hour")
+    if not hot.limit(1).count():
+        return observe(tag_rows(df))
+    on = [*KEY[:3], "hour"]
+    marked = df.withColumn("hour", F.date_trunc("hour", "event_time"))
+    cool, rest = (marked.join(hot, on, how).select(*df.columns) for how in ("left_anti", "left_semi"))
+    return observe(tag_rows(cool)).unionByName(observe_sliced(tag_rows(rest)))
 
 
 def decisions(df: DataFrame, policy: Policy) -> DataFrame:
     """For each event and tag: threshold, observed, projected, and ``act`` (null without a finding)."""
-    rows = observe(tag_rows(df))
+    rows = observed(df)
     threshold, action = X.decision(policy, F.col("dimension"))
     rows = rows.withColumn("threshold", threshold).withColumn("_act", action)
     crossed = (F.col("observed") >= F.col("threshold")) | (F.col("projected") >= F.col("threshold"))

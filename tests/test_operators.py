@@ -141,6 +141,16 @@ def test_running_estimate_equals_registers(spark):
         assert got[i] == max(1, round(raw))
 
 
+def test_slices_of_a_hot_hour_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"e{i:04d}", rng.randrange(0, 40), "x" if i % 4 else "y", None, {"user_id": str(rng.randrange(60)), "k": str(i % 7)}) for i in range(600)]
+    policy = Policy("p", "1", 12, "drop_tag", ("user_id",))
+    ask = lambda: sorted(tuple(r) for r in cardinality.decisions(events(spark, rows), policy).select("event_id", "dimension", "observed", "projected", "act", "reason").fillna("").collect())
+    plain = ask()
+    monkeypatch.setattr(cardinality, "HOT", 200)
+    assert ask() == plain and len({r[2] for r in plain}) > 20
+
+
 def test_interval_join_equals_all_pairs(spark):
     rng = random.Random(5)
     spans = [(rng.choice("ab"), i, rng.randrange(5000), rng.randrange(900)) for i in range(60)]
