@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -114,3 +115,27 @@ class KeyedSpacing(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+def spaced_stream(stream: DataFrame, keys: list[str], seconds: int, time: str = "event_time") -> DataFrame:
+    """A stream's events spaced by ``seconds`` within each key, as :class:`KeyedSpacing` does it, by grouped state.
+
+    A key's state is one number, and goes when nothing came for four spacings (a minute at least).
+    """
+    width = seconds * 1_000_000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = pd.concat(list(frames)).sort_values(time)
+        last = state.get[0] if state.exists else None
+        keep = []
+        for us in held[time].astype("datetime64[us]").astype("int64"):
+            keep.append(last is None or us - last >= width)
+            last = us if keep[-1] else last
+        state.update((int(last),))
+        state.setTimeoutDuration(max(width // 1000 * 4, 60_000))
+        yield held[keep]
+
+    return stream.groupBy(*keys).applyInPandasWithState(step, stream.schema, "us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
