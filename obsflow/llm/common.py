@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsflow.staging import shared_dir, stage
+from obsflow.staging import discard, shared_dir, stage
 
-__all__ = ["BATCH", "bounded_broadcast", "map_batches", "shared_dir", "stage", "table"]
+__all__ = ["BATCH", "bounded_broadcast", "discard", "map_batches", "shared_dir", "stage", "table"]
 
 
 #: Rows of an Arrow batch that goes to Python.

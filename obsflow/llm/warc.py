@@ -7,15 +7,21 @@ the text writer ends each with the record separator, so every part file is an
 archive.
 
 Reading: Spark splits the files at every occurrence of the version line, also
-those inside payloads. A piece's offset is the sum of the sizes before it.
-Each piece that parses as a header is a candidate record and names the offset
-of its successor. Pointer jumping from the start of each file keeps the
-candidates that the chain reaches; every other piece is payload and is joined
+those inside payloads. A piece's offset is the sum of the sizes before it, first
+inside blocks of ``PIECES`` pieces and then over blocks, so that no task needs a
+whole file. Each piece that parses as a header is a candidate record and names
+the offset of its successor. Candidates of a block that follow one another are
+a run; pointer jumping over the runs' exits, from the start of each file, finds
+where the chain enters runs, and what comes after an entry is reachable. Every
+other piece is payload, also one that looks like a whole record, and is joined
 to the record before it.
 
 Edge cases: null html is an empty payload. Null page_ids and urls are written
 as empty and come back null. Repeated rows each get a record; rows that tie in
 payload and largest page_id are all responses. Empty tables give no records.
+A very long payload is one string, as a record is one row; it is never cut.
+Columns of the input other than page_id, url and html are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -36,8 +42,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: A date of our own: archives of equal pages are equal.
 DATE = "2024-01-01T00:00:00Z"
-#: Repeated digests up to this many rows (under 100 MB) are broadcast.
+#: Repeated digests, and pieces of payloads, up to this many rows (under 100 MB) are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Pieces of a block inside an archive.
+PIECES = 1024
 
 
 def sha1_base32(data: Column) -> Column:
@@ -96,65 +104,79 @@ def _header(name: str) -> Column:
 
 
 def _pieces(spark: SparkSession, path: str, of_payload: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """The archives cut at every version line.
+    """The archives cut at every version line: a row for each piece, with its text.
 
-    file, offset of the line, head (null if no header follows), successor, and
-    what ``of_payload`` makes of the payload where the piece holds all of it;
-    else ``value`` has the piece itself.
+    file, split and nth name the piece; ``block`` is its group of PIECES pieces.
+    ``head`` is null if no header follows; ``span`` is how far the header says
+    that the record reaches. Where the piece holds exactly that it is ``whole``
+    and has what ``of_payload`` makes of its payload.
     """
     raw = spark.read.option("lineSep", VERSION).text(path)
-    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
     ends = F.instr("value", END)
     raw = raw.withColumn("head", F.when(ends > 0, F.substring("value", F.lit(1), ends + 1)))
     length = F.regexp_extract("head", r"(?m)^Content-Length: ([0-9]{1,18})$", 1)
     raw = raw.withColumn("body", F.when(length != "", length.cast("long")))
-    span = F.octet_length("head") + 2 + F.col("body") + len(END)
-    raw = raw.withColumn("size", F.octet_length("value").cast("long")).withColumn("span", span)
-    whole = F.coalesce((F.col("size") == F.col("span")) & F.col("value").endswith(END), F.lit(False))
-    payload = F.substring("value", F.length("head") + 3, F.length("value") - F.length("head") - 2 - len(END))
-    made = [F.when(F.col("whole"), f(payload)).alias(name) for name, f in of_payload.items()]
-    raw = raw.withColumn("whole", whole).select("file", "block", "nth", "size", "span", "head", "whole", F.when(~F.col("whole"), F.col("value")).alias("value"), *made)
-    raw = stage(raw, "warc-pieces")
+    raw = raw.withColumn("size", F.octet_length("value").cast("long")).withColumn("span", F.octet_length("head") + 2 + F.col("body") + len(END))
+    raw = raw.withColumn("whole", F.coalesce((F.col("size") == F.col("span")) & F.col("value").endswith(END), F.lit(False)))
+    made = [F.when(F.col("whole"), f(_payload())).alias(name) for name, f in of_payload.items()]
+    return stage(raw.select("file", "split", "nth", F.expr(f"nth div {PIECES}").alias("block"), "size", "span", "head", "whole", "value", *made), "warc-pieces")
+
+
+def _payload() -> Column:
+    """What follows the header in ``value``, without the separator."""
+    return F.substring("value", F.length("head") + 3, F.length("value") - F.length("head") - 2 - len(END))
+
+
+def _before(blocks: DataFrame, value: Column, name: str) -> DataFrame:
+    """Blocks (file, split, block, ...) with an aggregate over the blocks before each in its file."""
+    return blocks.withColumn(name, value.over(W.partitionBy("file").orderBy("split", "block").rowsBetween(W.unboundedPreceding, -1)))
+
+
+_BLOCK = ["file", "split", "block"]
+
+
+def _offsets(pieces: DataFrame) -> DataFrame:
+    """file, split, block, nth, offset, successor (null for what is no candidate) and whole of every piece."""
     step = F.col("size") + len(VERSION)
-    blocks = raw.groupBy("file", "block").agg(F.sum(step).alias("n"))
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, 0)
-    blocks = blocks.select("file", "block", (F.sum("n").over(before) - F.col("n")).alias("before"))
-    inside = W.partitionBy("file", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
+    blocks = _before(pieces.groupBy(*_BLOCK).agg(F.sum(step).alias("n")), F.sum("n"), "before").select(*_BLOCK, F.coalesce("before", F.lit(0)).alias("before"))
+    inside = W.partitionBy(*_BLOCK).orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
     # A file begins with the version line: its first piece is empty and stands at minus the line's length.
-    at = F.col("before") + F.sum(step).over(inside) - step - len(VERSION)
-    rows = raw.join(blocks, ["file", "block"]).withColumn("offset", at).where("offset >= 0")
-    return rows.select("file", "offset", (F.col("offset") + len(VERSION) + F.col("span")).alias("successor"), "head", "whole", "value", *of_payload)
+    rows = pieces.select(*_BLOCK, "nth", "size", "span", "whole").join(blocks, _BLOCK)
+    rows = rows.withColumn("offset", F.col("before") + F.sum(step).over(inside) - step - len(VERSION)).where("offset >= 0")
+    return stage(rows.select(*_BLOCK, "nth", "offset", (F.col("offset") + len(VERSION) + F.col("span")).alias("successor"), "whole"), "warc-index")
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
-    """The (file, offset) that the chain from offset 0 of each file reaches.
-
-    ``candidates`` has file, offset and successor. Candidates that follow one
-    another make a run, and the first pointers lead out of the run. In each
-    round every pointer is replaced by the pointer of what it points to, and
-    what known entries point to becomes known; so the rounds are the logarithm
-    of the number of breaks in a file. A run is reached from its first entry on.
+    """The rows of ``candidates`` that the chain from offset 0 of each file reaches.
+
+    ``candidates`` has file, split, block, offset and successor. Candidates of a
+    block that follow one another make a run; from any of them the chain leaves
+    by the run's exit. Only entries, which are exits of other runs or a file's
+    start, need pointers: in each round every pointer is replaced by the pointer
+    of what it points to, and what known entries point to becomes known. So the
+    rounds are the logarithm of the number of runs in a file.
     """
-    order = W.partitionBy("file").orderBy("offset")
+    order = W.partitionBy(*_BLOCK).orderBy("offset")
     follows = F.coalesce(F.lag("successor").over(order) == F.col("offset"), F.lit(False))
-    runs = candidates.select("file", "offset", "successor", (~follows).cast("int").alias("new"))
-    runs = runs.withColumn("run", F.sum("new").over(order))
-    runs = stage(runs.withColumn("exit", F.max("successor").over(W.partitionBy("file", "run"))), "warc-runs")
-    jump = runs.select("file", "offset", "exit")
-    known = runs.where("offset = 0").select("file", "offset")
+    runs = candidates.withColumn("run", F.sum((~follows).cast("int")).over(order))
+    runs = stage(runs.withColumn("exit", F.max("successor").over(W.partitionBy(*_BLOCK, "run"))), "warc-runs")
+    targets = runs.select("file", F.col("exit").alias("offset")).union(runs.select("file", F.lit(0).cast("long").alias("offset"))).distinct()
+    entries = stage(runs.join(targets, ["file", "offset"], "left_semi").select(*_BLOCK, "run", "offset", "exit"), "warc-entries")
+    jump = entries.select("file", "offset", "exit")
+    known = entries.where("offset = 0").select("file", "offset")
     size = known.count()
     while size:
         ahead = known.join(jump, ["file", "offset"]).select("file", F.col("exit").alias("offset"))
-        ahead = ahead.join(runs.select("file", "offset"), ["file", "offset"])
-        known = stage(known.union(ahead).distinct(), "warc-known")
+        known = stage(known.union(ahead.join(entries.select("file", "offset"), ["file", "offset"])).distinct(), "warc-known")
         grown = known.count()
         if grown == size:
             break
         size = grown
         onward = jump.select("file", F.col("offset").alias("exit"), F.col("exit").alias("next"))
         jump = stage(jump.join(onward, ["file", "exit"]).select("file", "offset", F.col("next").alias("exit")), "warc-jump")
-    entries = known.join(runs, ["file", "offset"]).groupBy("file", "run").agg(F.min("offset").alias("entry"))
-    return runs.join(entries, ["file", "run"]).where("offset >= entry").select("file", "offset")
+    first = known.join(entries, ["file", "offset"]).groupBy(*_BLOCK, "run").agg(F.min("offset").alias("entry"))
+    return runs.join(first, [*_BLOCK, "run"]).where("offset >= entry").select(*candidates.columns)
 
 
 def read_archives(spark: SparkSession, path: str, of_payload: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -163,21 +185,29 @@ def read_archives(spark: SparkSession, path: str, of_payload: dict[str, Callable
     By default that is the payload itself.
     """
     of_payload = of_payload or {"payload": lambda p: p}
-    pieces = stage(_pieces(spark, path, of_payload), "warc-index")
-    records = reachable(pieces.where("successor is not null")).withColumn("begins", F.lit(True))
-    rows = pieces.join(records, ["file", "offset"], "left")
-    upto = W.partitionBy("file").orderBy("offset").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("record", F.max(F.when(F.col("begins"), F.col("offset"))).over(upto))
-    sound = rows.where("begins and whole").select("head", *of_payload)
-    # The others are in pieces: the version line stood inside the payload.
-    broken = rows.where("not coalesce(begins and whole, false)").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
-    broken = broken.where("record is not null").select(F.array_join(F.transform("parts", lambda x: x["value"]), VERSION).alias("value"))
-    broken = broken.withColumn("head", F.substring("value", F.lit(1), F.instr("value", END) + 1))
-    payload = F.substring("value", F.length("head") + 3, F.length("value") - F.length("head") - 2 - len(END))
-    broken = broken.select("head", *(f(payload).alias(name) for name, f in of_payload.items()))
+    pieces = _pieces(spark, path, of_payload)
+    index = _offsets(pieces)
+    reached = stage(reachable(index.where("successor is not null")).select(*_BLOCK, "nth", "offset", "whole"), "warc-reached")
+    name = ["file", "split", "nth"]
+    sound = pieces.join(reached.where("whole").select(*name), name, "left_semi").select("head", *of_payload)
+    # The others are in pieces: a version line stood inside the payload. Each goes to the last record that begins before it.
+    begins = reached.select(*name, F.lit(True).alias("begins"))
+    last = _before(reached.groupBy(*_BLOCK).agg(F.max("offset").alias("last")).join(index.select(*_BLOCK).distinct(), _BLOCK, "right"), F.max("last"), "carried").select(*_BLOCK, "carried")
+    inside = W.partitionBy(*_BLOCK).orderBy("offset").rowsBetween(W.unboundedPreceding, 0)
+    parts = index.join(begins, name, "left").join(last, _BLOCK, "left")
+    parts = parts.withColumn("record", F.coalesce(F.max(F.when(F.col("begins"), F.col("offset"))).over(inside), F.col("carried")))
+    parts = stage(parts.where("record is not null and not coalesce(begins and whole, false)").select(*name, "offset", "record"), "warc-parts")
+    n = parts.count()
+    rows = sound
+    if n:
+        broken = pieces.select(*name, "value").join(bounded_broadcast(parts, n, BROADCAST_ROWS), name)
+        broken = broken.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
+        broken = broken.select(F.array_join(F.transform("parts", lambda x: x["value"]), VERSION).alias("value"))
+        broken = broken.withColumn("head", F.substring("value", F.lit(1), F.instr("value", END) + 1))
+        rows = sound.union(broken.select("head", *(f(_payload()).alias(name) for name, f in of_payload.items())))
     page = lambda name: F.regexp_extract(_header(name), "^<urn:page:(-?[0-9]*)>$", 1)
     number = lambda c: F.when(c != "", c).cast("long")
-    return sound.union(broken).select(
+    return rows.select(
         number(page("WARC-Record-ID")).alias("page_id"), _header("WARC-Target-URI").alias("url"), _header("WARC-Type").alias("record_type"),
         number(page("WARC-Refers-To")).alias("refers_to"), F.substring(_header("WARC-Payload-Digest"), 6, 32).alias("declared_digest"),
         _header("X-Payload-Length").cast("long").alias("declared_bytes"), *of_payload,
