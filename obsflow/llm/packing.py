@@ -17,6 +17,9 @@ tokens before them in their queue, and the table of queues.
 Edge cases: null text is empty and its document is the end token alone; null
 sources are a queue. Repeated rows are packed each. An empty table gives no
 pieces. Of more than ``QUEUES`` sources the smallest share the last queue.
+Sources of one size are queues in the order of their names. Very long texts are
+tokenized whole and cut into as many pieces as they need. Columns other than
+doc_id, source and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from obsflow.llm import tokens
-from obsflow.llm.common import bounded_broadcast, stage, table
+from obsflow.llm.common import BATCH, bounded_broadcast, map_batches, stage, table
 
 WINDOW = 2048
 #: The id at the end of every document.
@@ -48,13 +51,13 @@ PARTS = 1 << 16
 
 def _tokenize(path: str, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
+        task, coder = TaskContext.get().partitionId(), tokens.encoder(path, width)
         before: dict[str | None, int] = {}
         end = np.array([END_ID], dtype=width).tobytes()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                ids = [x + end for x in tokens.encode(batch.column("text").to_pylist(), path, width)]
+            for lo in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(lo, BATCH)
+                ids = [x + end for x in coder.encode(batch.column("text").to_pylist())]
                 counts = [len(x) // len(end) for x in ids]
                 at = []
                 for source, n in zip(batch.column("source").to_pylist(), counts, strict=True):
@@ -161,8 +164,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     path = tokenizer_path or tokens.default_path()
-    width = "<u2" if tokens.tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
-    coded = rows.mapInArrow(_tokenize(path, width), f"doc_id {kind}, source string, task int, task_start long, doc_tokens long, ids binary")
+    width = "<u2" if tokens.vocabulary_size(path) <= 1 << 16 else "<u4"
+    coded = map_batches(rows, _tokenize(path, width), f"doc_id {kind}, source string, task int, task_start long, doc_tokens long, ids binary")
     coded = stage(coded, "pack-ids", "zstd")
     parts = stage(coded.groupBy("task", "source").agg(F.max(F.col("task_start") + F.col("doc_tokens")).alias("n")), "pack-parts")
     sizes = parts.groupBy("source").agg(F.sum("n").alias("n"))
@@ -176,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     starts = bounded_broadcast(starts, parts.count(), BROADCAST_ROWS)
     placed = coded.join(starts, (F.col("task") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")))
     placed = placed.select("doc_id", "source", "queue", (F.col("before") + F.col("task_start")).alias("queue_start"), "doc_tokens", "ids")
-    return placed.mapInArrow(_deal(queues, width), f"doc_id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return map_batches(placed, _deal(queues, width), f"doc_id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
