@@ -43,12 +43,23 @@ def tag_rows(df: DataFrame) -> DataFrame:
     return df.select("tenant_id", "source", "event_type", "event_id", "event_time", F.date_trunc("hour", "event_time").alias("hour"), F.explode("tags").alias("dimension", "value"))
 
 
-def cardinality_hourly(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
+def cardinality_hourly(rows: DataFrame, keys: list[str] = KEY, tracker: str = "registers") -> DataFrame:
     """State of each hourly key: observed, samples, first and last seen.
 
-    Two aggregations: the largest rank of each register, then the estimate;
+    ``tracker`` is how values are counted: ``registers`` as above, ``exact``, or
+    ``sketch``, Spark's own HyperLogLog. All combine before they shuffle.
+
+    With registers: two aggregations: the largest rank of each register, then the estimate;
     both combine before they shuffle.
     """
+    span = (F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"))
+    if tracker == "sketch":
+        return rows.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_sketch_agg("value")).alias("observed"), F.count(F.lit(1)).alias("samples"), *span)
+    if tracker == "exact":
+        values = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"), F.min("event_time").alias("a"), F.max("event_time").alias("b"))
+        return values.groupBy(*keys).agg(F.count(F.lit(1)).alias("observed"), F.sum("n").alias("samples"), F.min("a").alias("first_seen"), F.max("b").alias("last_seen"))
+    if tracker != "registers":
+        raise ValueError(f"no tracker {tracker}")
     idx, rank = registers(F.col("value"))
     cells = rows.select(*keys, idx.alias("idx"), rank.alias("rank"), "value", "event_time").groupBy(*keys, "idx", "rank", "value").agg(F.count(F.lit(1)).alias("n"), F.min("event_time").alias("a"), F.max("event_time").alias("b"))
     by_register = cells.groupBy(*keys, "idx").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))

@@ -53,6 +53,12 @@ def a4_cardinality_hourly(spark, sf_dir):
     return hourly(spark, sf_dir).select(*HKEY, F.unix_micros("hour").alias("hour_us"), "observed", "samples")
 
 
+@query("select tenant_id, source, event_type, k dimension, epoch_us(date_trunc('hour', event_time)) hour_us, count(distinct v) observed, count(*) samples from tg group by all")
+def a4_cardinality_exact(spark, sf_dir):
+    rows = K.cardinality_hourly(K.tag_rows(events(spark, sf_dir)), tracker="exact")
+    return rows.select(*HKEY, F.unix_micros("hour").alias("hour_us"), "observed", "samples")
+
+
 @query(f"with {HOURLY} select tenant_id, source, event_type, k dimension, epoch_us(hr) hour_us, observed from ho")
 def a5_merge_cardinality(spark, sf_dir):
     rows = K.tag_rows(events(spark, sf_dir))

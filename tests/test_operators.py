@@ -141,6 +141,14 @@ def test_running_estimate_equals_registers(spark):
         assert got[i] == max(1, round(raw))
 
 
+def test_trackers_agree(spark):
+    rows = cardinality.tag_rows(events(spark, [(f"e{i}", i, "x", None, {"user_id": str(i % 300), "k": str(i % 7)}) for i in range(900)]))
+    of = lambda name: {r.dimension: (r.observed, r.samples) for r in cardinality.cardinality_hourly(rows, tracker=name).collect()}
+    assert of("exact") == {"user_id": (300, 900), "k": (7, 900)}
+    assert of("registers")["k"] == (7, 900) and abs(of("registers")["user_id"][0] - 300) < 120
+    assert of("sketch")["k"] == (7, 900) and abs(of("sketch")["user_id"][0] - 300) < 20
+
+
 def test_slices_of_a_hot_hour_change_nothing(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(f"e{i:04d}", rng.randrange(0, 40), "x" if i % 4 else "y", None, {"user_id": str(rng.randrange(60)), "k": str(i % 7)}) for i in range(600)]
