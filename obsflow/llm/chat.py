@@ -12,7 +12,9 @@ away again gives the source. A line feed in a role becomes ``<|nl|>``.
 Edge cases: null role and text count as empty; a null conv_id is a
 conversation. Turns are ordered by turn, then role and text, so ties and
 repeated rows have one order; null turns come first. An empty table gives no
-conversations. A conversation is one string by its nature and so one row.
+conversations. A conversation is one string by its nature and so one row, also
+with very long texts, which are never cut. Columns other than conv_id, turn,
+role and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,16 +56,13 @@ def parse(formatted: Column) -> Column:
     first = lambda p: F.length(role(p)) + 1
     chars = lambda p: F.length(p) - first(p) - len(STOP) - 1
     text = lambda p: F.substring(p, first(p) + 1, chars(p))
-    zero = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<role:string,text:string,at:int,chars:int>>)").alias("turns"))
-
-    def add(acc: Column, p: Column) -> Column:
-        turn = F.struct(
-            unescape(F.replace(role(p), F.lit(LINE), F.lit("\n"))).alias("role"), unescape(text(p)).alias("text"),
-            (acc["end"] + len(START) + first(p)).cast("int").alias("at"), chars(p).cast("int").alias("chars"),
-        )
-        return F.struct((acc["end"] + len(START) + F.length(p)).cast("int").alias("end"), F.concat(acc["turns"], F.array(turn)).alias("turns"))
-
-    return F.when(sound, F.aggregate(turns, zero, add, lambda acc: acc["turns"]))
+    # Where each turn ends in the string: a running sum, an array of numbers made once.
+    ends = F.aggregate(turns, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + len(START) + F.length(p))))
+    turn = lambda p, begin: F.struct(
+        unescape(F.replace(role(p), F.lit(LINE), F.lit("\n"))).alias("role"), unescape(text(p)).alias("text"),
+        (begin + len(START) + first(p)).cast("int").alias("at"), chars(p).cast("int").alias("chars"),
+    )
+    return F.when(sound, F.zip_with(turns, F.slice(ends, F.lit(1), F.size(turns)), turn))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ texts are scored in numpy by gathering the matrix at the n-grams present.
 Edge cases: null texts and texts without a letter are ``und`` with score 0.
 With nothing to learn from, every text is ``und``. Equal scores go to the
 language first by name. Repeated rows each get a row; a null doc_id counts as
-the empty text for the fold and is held out.
+the empty text for the fold and is held out. A letter is what Unicode calls one:
+digits, fractions and roman numerals aren't. Texts are scored whole; a very long
+one is a group of its own. Columns that are neither kept nor ``text`` are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm.common import table
+from obsflow.llm.common import map_batches, table
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -32,7 +34,6 @@ SAMPLE = 5_000
 MOST_LANGUAGES = 1_000
 #: Added to each count.
 SMOOTHING = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -98,7 +99,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
         return [], np.zeros((0, BUCKETS))
     bounds = labelled.sparkSession.createDataFrame([(k, min(1.0, sample / n) * 2**31) for k, n in sizes.items()], "lang string, bound double")
     chosen = labelled.join(F.broadcast(bounds), "lang").where("key < bound").select("lang", "text")
-    rows = chosen.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_batches(chosen, _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(sizes)
     counts = np.full((len(langs), BUCKETS), SMOOTHING)
     place = np.array([langs.index(x) for x in rows.column("lang").to_pylist()], dtype=np.int64)
@@ -109,12 +110,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: list[Column]) -> DataFrame:
     """The columns ``keep`` of every document, ``lang_pred`` and ``score`` (the posterior under equal priors)."""
     n_kept = len(keep)
-    model = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix.T.astype(np.float32)))
+    model = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = model.value
         for batch in batches:
-            texts = [t if t and _LETTER.search(t) else "" for t in batch.column("text").to_pylist()]
+            texts = [t if t and any(map(str.isalpha, t)) else "" for t in batch.column("text").to_pylist()]
             best, certain = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for lo, some in _groups(texts) if langs else ():
                 points, at = _code_points(some)
@@ -125,9 +126,9 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: list[Co
                     ends = np.maximum(at[1:] - order + 1, at[:-1])
                     text_of = np.repeat(np.arange(len(some)), ends - at[:-1])
                     at_most = np.arange(len(text_of)) + np.repeat(at[:-1] - np.r_[0, np.cumsum(ends - at[:-1])[:-1]], ends - at[:-1])
-                    own = logs[grams[at_most]]
+                    grams = grams[at_most]
                     for k in range(len(langs)):
-                        total[:, k] += np.bincount(text_of, own[:, k], minlength=len(some))
+                        total[:, k] += np.bincount(text_of, logs[k][grams], minlength=len(some))
                 total -= total.max(axis=1, keepdims=True)
                 odds = np.exp(total)
                 best[lo : lo + len(some)] = odds.argmax(axis=1)
@@ -138,7 +139,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, keep: list[Co
 
     rows = docs.select(*keep, "text")
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{kept}, lang_pred string, score double")
+    return map_batches(rows, score, f"{kept}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

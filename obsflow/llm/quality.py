@@ -146,4 +146,9 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     base_failed = F.col("failed_bits").bitwiseAND(F.lit(BASE).cast("long")) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), passes("v1").alias("kept"), "failed_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), passes("v1").alias("kept"), "failed_bits", "n_lines", "n_marked_words")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the policy ``v1`` how many documents fail it, and fail it alone."""
+    return ablations(ledger(table(spark, sf_dir, "documents"), ["doc_id"]), "v1")

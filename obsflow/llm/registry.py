@@ -14,7 +14,7 @@ from obsflow.llm.mixing import op3_mix_sources
 from obsflow.llm.near import op6_jaccard_join
 from obsflow.llm.packing import op1_pack
 from obsflow.llm.pii import op9_pii
-from obsflow.llm.quality import op4_quality_rules
+from obsflow.llm.quality import op4_quality_rules, quality_ablations
 from obsflow.llm.secrets import op8_secret_scan
 from obsflow.llm.warc import op10_warc
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_pii,
         op10_warc,
+        quality_ablations,
     )
 }
 
@@ -39,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op3_mix_sources": sql.MIX,
     "op4_quality_rules": sql.QUALITY,
     "op10_warc": sql.WARC,
+    "quality_ablations": sql.ABLATIONS,
 }

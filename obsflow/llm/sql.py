@@ -69,9 +69,16 @@ WITH t AS (
     + CASE WHEN 4 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 8 ELSE 0 END
     + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END + CASE WHEN 100 * n_marked_words > 50 * n_words THEN 32 ELSE 0 END AS failed_bits FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, CAST(failed_bits AS BIGINT) AS failed_bits FROM bits
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, CAST(failed_bits AS BIGINT) AS failed_bits, n_lines, n_marked_words FROM bits
 """
 
+ABLATIONS = (
+    QUALITY[: QUALITY.rindex("SELECT doc_id")]
+    + """SELECT rule, count(*) FILTER (failed_bits & (1 << bit) <> 0) AS failing, count(*) FILTER (failed_bits = (1 << bit)) AS only_this
+FROM bits, (VALUES (0, 'few_words'), (1, 'repeated_words'), (2, 'many_symbols'), (3, 'word_length'), (4, 'repeated_lines'), (5, 'shouted_words')) r(bit, rule) GROUP BY rule
+"""
+)
+
 WARC = r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
