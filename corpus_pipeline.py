@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame, which is written as Parquet and read again for the
-next. All but the last return the columns of ``documents``.
+next. All but the last return the columns of ``documents``, and any further ones
+that their input has.
+
+Null and wordless texts fail the first stage's rules. Repeated rows, and
+documents that share a doc_id, each count by their text; of near duplicates one
+row stays. A null source is a source. Very long texts go through whole, but for
+the mix, which cuts where a budget ends. Empty tables stay empty.
 """
 
 from __future__ import annotations

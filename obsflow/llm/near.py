@@ -53,8 +53,8 @@ from obsflow.llm.words import chunks, mix, shingles
 CELLS, PARTS = 1 << 20, 16
 #: Routed entries of a bucket, about; cells with more than that in the corpus, and with four times the mean, are salted.
 BUCKET = 500_000
-#: Wanted documents and areas of several blocks are broadcast up to so many, and else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Wanted documents (some 100 bytes each) and areas of several blocks are broadcast up to so many, and else joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: Shingles with more classes than this are joined to their centers by broadcast.
 HOT = 100_000
 #: Classes and shingles of a block, about.
@@ -220,7 +220,7 @@ def _dealt(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     Sets are made from one document of each class, where that is found, and move once.
     """
     chosen = rows.groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("d"), F.count(F.lit(1)).alias("copies"))
-    wanted = _blocks(members).join(chosen, "class").select(F.col("d.doc_id").alias("_id"), F.col("d.key").alias("_key"), "class", "copies", "places")
+    wanted = _blocks(members).join(chosen, "class").select(F.col("d.doc_id").alias("_near_id"), F.col("d.key").alias("_near_key"), "class", "copies", "places")
     wanted = stage(wanted, "near-wanted")
     wanted = bounded_broadcast(wanted, wanted.count(), BROADCAST_ROWS)
 
@@ -231,7 +231,7 @@ def _dealt(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
             kept = batch.select(["class", "copies", "places"]).take(pa.array([i for i, _ in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for _, x in found], pa.binary())], ["class", "copies", "places", "data"])
 
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))).select("text", "class", "copies", "places")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_near_id")) & F.col("key").eqNullSafe(F.col("_near_key"))).select("text", "class", "copies", "places")
     sets = map_batches(texts, run, f"class long, copies long, {_PLACES}, data binary")
     met = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), p["k"] - 1), lambda x: F.struct(p["area"].alias("area"), F.least(x, p["own"]).alias("i"), F.greatest(x, p["own"]).alias("j"), p["own"].alias("own")))))
     areas = F.transform("places", lambda p: p["area"]).alias("areas")
@@ -423,12 +423,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, _, roots = join_classes(keyed(docs))
     named = rows.where("n > 0").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("d"))
-    first = stage(first.select(F.col("d.doc_id").alias("_id"), F.col("d.key").alias("_key")), "near-first")
-    named = docs.withColumn("_text_key", F.xxhash64("text"))
-    stay = named.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    stay = stay.dropDuplicates(["doc_id", "_text_key"])
-    wordless = named.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return stay.unionByName(wordless).drop("_text_key")
+    first = first.select(F.col("d.doc_id").alias("_near_id"), F.col("d.key").alias("_near_key"))
+    # Rows that repeat in id and text are few, if any; only they need to meet.
+    again = rows.groupBy(F.col("doc_id").alias("_r_id"), F.col("key").alias("_r_key")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    first = stage(first.join(again, F.col("_near_id").eqNullSafe(F.col("_r_id")) & (F.col("_near_key") == F.col("_r_key")), "left").select("_near_id", "_near_key", F.col("_rows").isNotNull().alias("_near_repeats")), "near-first")
+    first = bounded_broadcast(first, first.count(), BROADCAST_ROWS)
+    texts = docs.withColumn("_near_text", F.xxhash64("text"))
+    stay = texts.join(first, F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_text") == F.col("_near_key")))
+    once = stay.where("not _near_repeats").select(*docs.columns)
+    one = stay.where("_near_repeats").dropDuplicates(["doc_id", "_near_text"]).select(*docs.columns)
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return once.unionByName(one).unionByName(wordless)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
