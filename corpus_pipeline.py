@@ -24,9 +24,7 @@ from obsflow.llm.common import shared_dir, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy ``v1`` keeps (operator 4)."""
-    names = docs.columns
-    rows = quality.ledger(docs, names)
-    return rows.where(quality.passes("v1")).select(*names)
+    return quality.keep_passing(docs, "v1")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

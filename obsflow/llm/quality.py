@@ -98,17 +98,22 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *map(pa.array, found)], [*batch.schema.names[:-1], *MEASURES])
 
 
-def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every document and its measurements.
-
-    Kept columns go through under other names, so that they may clash with measurements.
-    """
+def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` as _k0, _k1 and so on, and the measurements, so that no name clashes."""
     kept = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)]
     rows = docs.select(*kept, F.col("text").alias("text"))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    out = map_batches(rows, _measure, ", ".join([*fields, *(f"{m} long" for m in MEASURES)]))
-    clash = set(MEASURES) & set(keep)
-    return out.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)), *(F.col(m).alias(f"measured_{m}" if m in clash else m) for m in MEASURES))
+    return map_batches(rows, _measure, ", ".join([*fields, *(f"{m} long" for m in MEASURES)]))
+
+
+def _named(out: DataFrame, keep: list[str], more: tuple[str, ...]) -> DataFrame:
+    """Kept columns under their own names; what clashes with them is called ``measured_...``."""
+    return out.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)), *(F.col(m).alias(f"measured_{m}" if m in keep else m) for m in more))
+
+
+def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every document and its measurements."""
+    return _named(_measured(docs, keep), keep, MEASURES)
 
 
 def failure_bits() -> Column:
@@ -121,7 +126,14 @@ def failure_bits() -> Column:
 
 def ledger(docs: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each document: ``keep``, the measurements and ``failed_bits``."""
-    return measure(docs, keep).withColumn("failed_bits", failure_bits())
+    return _named(_measured(docs, keep).withColumn("failed_bits", failure_bits()), keep, (*MEASURES, "failed_bits"))
+
+
+def keep_passing(docs: DataFrame, policy: str) -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with all their columns."""
+    names = docs.columns
+    rows = _measured(docs, names).withColumn("failed_bits", failure_bits())
+    return _named(rows.where(passes(policy)), names, ())
 
 
 def passes(policy: str) -> Column:
