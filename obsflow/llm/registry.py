@@ -16,6 +16,7 @@ from obsflow.llm.packing import op1_pack
 from obsflow.llm.pii import op9_pii
 from obsflow.llm.quality import op4_quality_rules, quality_ablations
 from obsflow.llm.secrets import op8_secret_scan
+from obsflow.llm.substrings import op12_substring_dedup
 from obsflow.llm.warc import op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_pii,
         op10_warc,
+        op12_substring_dedup,
         quality_ablations,
     )
 }
@@ -40,5 +42,6 @@ ORACLES: dict[str, str] = {
     "op3_mix_sources": sql.MIX,
     "op4_quality_rules": sql.QUALITY,
     "op10_warc": sql.WARC,
+    "op12_substring_dedup": sql.REPEATS,
     "quality_ablations": sql.ABLATIONS,
 }

@@ -91,3 +91,19 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d
 """
+
+REPEATS = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), t AS (
+  SELECT rid, doc_id, i, array_to_string(words[i : i + 12], ' ') AS run FROM (SELECT *, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)
+), r AS (
+  SELECT rid, i FROM t JOIN (SELECT run, min(doc_id) AS least FROM t GROUP BY run) USING (run) WHERE least < doc_id
+), gone AS (
+  SELECT DISTINCT rid, i + k AS i FROM r, (SELECT unnest(range(0, 13)) AS k)
+), kept AS (
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) ANTI JOIN gone USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)
+"""

@@ -33,7 +33,7 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
         size = 1 << max(19, int(n - 1).bit_length())
@@ -56,12 +56,12 @@ class Chunk:
         """Running sums whose differences give the hash of any stretch of bytes."""
         data = _LOWER[self.data] if lower else self.data
         out = np.zeros(len(data) + 1, dtype=_U)
-        np.cumsum(_VALUES[data] * _power(_BASE, len(data)), out=out[1:], dtype=_U)
+        np.cumsum(_VALUES[data] * power(_BASE, len(data)), out=out[1:], dtype=_U)
         return out
 
     def hashes(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the stretches from ``starts`` to ``ends``."""
-        shift = _power(_BASE_INVERSE, len(self.data) + 1)[starts]
+        shift = power(_BASE_INVERSE, len(self.data) + 1)[starts]
         return mix((sums[ends] - sums[starts]) * shift + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
