@@ -10,6 +10,7 @@ from obsflow.llm import sql
 from obsflow.llm.ann import op7_nearest
 from obsflow.llm.chat import op2_chat_format
 from obsflow.llm.langid import op5_language_id
+from obsflow.llm.merkle import op13_merkle_manifest
 from obsflow.llm.mixing import op3_mix_sources
 from obsflow.llm.near import op6_jaccard_join
 from obsflow.llm.packing import op1_pack
@@ -17,6 +18,7 @@ from obsflow.llm.pii import op9_pii
 from obsflow.llm.quality import op4_quality_rules, quality_ablations
 from obsflow.llm.secrets import op8_secret_scan
 from obsflow.llm.substrings import op12_substring_dedup
+from obsflow.llm.trie import op11_prefix_trie
 from obsflow.llm.warc import op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,7 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_pii,
         op10_warc,
+        op11_prefix_trie,
         op12_substring_dedup,
+        op13_merkle_manifest,
         quality_ablations,
     )
 }
@@ -42,6 +46,8 @@ ORACLES: dict[str, str] = {
     "op3_mix_sources": sql.MIX,
     "op4_quality_rules": sql.QUALITY,
     "op10_warc": sql.WARC,
+    "op11_prefix_trie": sql.TRIE,
     "op12_substring_dedup": sql.REPEATS,
+    "op13_merkle_manifest": sql.MERKLE,
     "quality_ablations": sql.ABLATIONS,
 }

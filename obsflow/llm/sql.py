@@ -1,5 +1,13 @@
 """DuckDB SQL for those operators that SQL can express."""
 
+
+def _crc32(number: str) -> str:
+    """Unsigned crc32 of a number's decimal text, bit by bit."""
+    step = "list_reduce(list_concat([xor(acc, CAST(c AS UBIGINT))], CAST(range(8) AS UBIGINT[])), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))"
+    chars = f"[CAST(ascii(x) AS UBIGINT) FOR x IN string_split(CAST({number} AS VARCHAR), '')]"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], {chars}), lambda acc, c: {step}), CAST(4294967295 AS UBIGINT))"
+
+
 CHAT = r"""
 WITH src AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -107,3 +115,58 @@ WITH w AS (
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)
 """
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
+
+MERKLE = f"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {_LEAF.format(n_chars="n_chars")} AS leaf,
+    CASE WHEN {_crc32("doc_id")} % 7 = 0 THEN {_LEAF.format(n_chars="(CAST(n_chars AS HUGEINT) + 1)")} ELSE {_LEAF.format(n_chars="n_chars")} END AS shown FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM t
+), nodes AS (
+  SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM l
+  UNION ALL SELECT lang, lvl + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, lvl, pos // 2
+), s AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS lvl, pos, n, subroot AS h FROM s
+  UNION ALL SELECT lvl + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, pos // 2
+), f AS (
+  SELECT rid, lang, 0 AS lvl, pos, n, shown AS h, '' AS proof FROM l
+  UNION ALL SELECT f.rid, f.lang, f.lvl + 1, f.pos // 2, (f.n + 1) // 2, sha256(CASE WHEN b.h IS NULL THEN f.h WHEN f.pos % 2 = 0 THEN f.h || b.h ELSE b.h || f.h END), f.proof || coalesce(b.h, '')
+  FROM f LEFT JOIN nodes b ON b.lang IS NOT DISTINCT FROM f.lang AND b.lvl = f.lvl AND b.pos = xor(f.pos, 1) WHERE f.n > 1
+), g AS (
+  SELECT rid, 0 AS lvl, s.pos, s.n, f.h, f.proof FROM f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang WHERE f.n = 1
+  UNION ALL SELECT g.rid, g.lvl + 1, g.pos // 2, (g.n + 1) // 2, sha256(CASE WHEN b.h IS NULL THEN g.h WHEN g.pos % 2 = 0 THEN g.h || b.h ELSE b.h || g.h END), g.proof || coalesce(b.h, '')
+  FROM g LEFT JOIN tops b ON b.lvl = g.lvl AND b.pos = xor(g.pos, 1) WHERE g.n > 1
+)
+SELECT t.doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, g.h AS folded_root, g.h = r.h AS verified
+FROM t JOIN g USING (rid) JOIN s ON t.lang IS NOT DISTINCT FROM s.lang, (SELECT h FROM tops WHERE n = 1) r WHERE g.n = 1
+"""
+
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, {_crc32("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, nth, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 WHERE nth <= h
+  UNION ALL SELECT conv_id, nth, role, text FROM c JOIN t USING (conv_id) WHERE nth > h
+), d AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY nth) AS depth, sha256(octet_length(encode(role)) || ':' || role || text) AS k, octet_length(encode(text)) AS b FROM r
+), p AS (
+  SELECT conv_id, depth, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, b FROM d UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = deep), '') AS ends
+  FROM p JOIN (SELECT conv_id, max(depth) AS deep FROM p GROUP BY conv_id) USING (conv_id) GROUP BY path, depth
+), k AS (
+  SELECT left(path, CAST(64 * (depth - 1) AS BIGINT)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)
+), s AS (
+  SELECT left(path, CAST(64 * up AS BIGINT)) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * b) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM m) GROUP BY ALL
+)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (path) LEFT JOIN n q ON m.depth > 0 AND q.path = left(m.path, CAST(64 * (m.depth - 1) AS BIGINT))
+"""
