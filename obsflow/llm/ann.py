@@ -352,7 +352,8 @@ def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         discard(near)
         discard(lists)
         lists, done = merged, done + 1
-        if fresh < SETTLED * n * DEGREE:
+        # Lists only get better, so rounds end; without rows there is nothing to settle.
+        if fresh <= SETTLED * n * DEGREE:
             return lists, stage(neighbourhoods(lists, rows, largest, parts), "ann-near"), done
 
 
@@ -411,7 +412,8 @@ def search(lists: DataFrame, near: DataFrame, queries: DataFrame, k: int) -> Dat
         ahead = state.select(F.col("id").alias("query_id"), F.explode("todo").alias("center")).join(vectors, "query_id")
         found = ahead.join(near.select("center", "members", "vectors"), "center").select("query_id", "vector", "members", "vectors").mapInArrow(widen, _LISTS)
         both = state.select(*_LIST, "done").unionByName(found.withColumn("done", F.lit(None).cast("binary")))
-        state = stage(both.repartition(parts, "id").mapInArrow(fold, schema), "ann-state")
+        before, state = state, stage(both.repartition(parts, "id").mapInArrow(fold, schema), "ann-state")
+        discard(before)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

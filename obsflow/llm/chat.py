@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsflow.llm.common import stage, table
+from obsflow.llm.common import let, running, stage, table
 
 START, STOP, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 
@@ -49,20 +49,23 @@ def parse(formatted: Column) -> Column:
 
     ``at`` and ``chars`` are the place of the text in the string, in code points.
     """
-    pieces = F.split(formatted, r"<\|im_start\|>", -1)
-    turns = F.slice(pieces, F.lit(2), F.size(pieces))
-    sound = (F.element_at(pieces, 1) == "") & F.forall(turns, lambda p: (F.regexp_count(p, F.lit(r"<\|im_end\|>")) == 1) & p.endswith(STOP + "\n") & p.contains("\n"))
     role = lambda p: F.substring_index(p, "\n", 1)
     first = lambda p: F.length(role(p)) + 1
     chars = lambda p: F.length(p) - first(p) - len(STOP) - 1
     text = lambda p: F.substring(p, first(p) + 1, chars(p))
-    # Where each turn ends in the string: a running sum, an array of numbers made once.
-    ends = F.aggregate(turns, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + len(START) + F.length(p))))
-    turn = lambda p, begin: F.struct(
+    turn = lambda p, end: F.struct(
         unescape(F.replace(role(p), F.lit(LINE), F.lit("\n"))).alias("role"), unescape(text(p)).alias("text"),
-        (begin + len(START) + first(p)).cast("int").alias("at"), chars(p).cast("int").alias("chars"),
+        (end - F.length(p) + first(p)).cast("int").alias("at"), chars(p).cast("int").alias("chars"),
     )
-    return F.when(sound, F.zip_with(turns, F.slice(ends, F.lit(1), F.size(turns)), turn))
+
+    def turns_of(pieces: Column) -> Column:
+        turns = F.slice(pieces, F.lit(2), F.size(pieces))
+        sound = (F.element_at(pieces, 1) == "") & F.forall(turns, lambda p: (F.regexp_count(p, F.lit(r"<\|im_end\|>")) == 1) & p.endswith(STOP + "\n") & p.contains("\n"))
+        # Where each turn ends in the string: running sums.
+        ends = running(F.transform(turns, lambda p: F.lit(len(START)) + F.length(p)))
+        return F.when(sound, F.zip_with(turns, ends, turn))
+
+    return let(F.split(formatted, r"<\|im_start\|>", -1), turns_of)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
