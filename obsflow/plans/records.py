@@ -29,7 +29,7 @@ FLD = """fl as (select tenant_id,source,event_type,schema_version,event_id,event
 
 
 def described(spark, sf_dir):
-    return S.describe(events(spark, sf_dir)).persist()
+    return S.describe(events(spark, sf_dir))
 
 
 @query(f"with {FLD} select event_id, sha256(string_agg(path||':'||typ, chr(10) order by path||':'||typ)) fingerprint, count(*) fields from fl group by event_id")
