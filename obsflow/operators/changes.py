@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from obsflow.functions import exprs as X
 from obsflow.operators.intervals import interval_join
-from obsflow.operators.stats import p95
+from obsflow.operators.stats import exact_p95
 from obsflow.schema import CONTROL
 from obsflow.staging import stage
 
@@ -58,11 +58,19 @@ def merge_markers(markers: DataFrame) -> DataFrame:
 FEW = 100_000
 
 
-def before_after(markers: DataFrame, ev: DataFrame, before: int = 900, after: int = 900, few: bool = False, own: bool = False) -> DataFrame:
+def most_in(ev: DataFrame, seconds: int) -> int:
+    """A bound on the latencies of one source in any window of so many seconds: two bins of that width."""
+    bins = ev.where(X.is_latency()).groupBy("tenant_id", "source", F.floor(F.unix_micros("event_time") / (seconds * 1_000_000)).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    return 2 * (bins.agg(F.max("_n")).collect()[0][0] or 0)
+
+
+def before_after(markers: DataFrame, ev: DataFrame, before: int = 900, after: int = 900, few: bool = False, own: bool = False, most: int | None = None) -> DataFrame:
     """For each change and source: events, errors, error rate and p95 in [c-before, c) and in [c, c+after).
 
     ``few``: the changes were counted and are broadcast. ``own``: only each change's own source.
+    ``most``: a known bound on the latencies of a source in a window (see :func:`most_in`).
     """
+    most = most_in(ev, max(before, after)) if most is None else most
     spans = markers.select("tenant_id", "change_id", F.col("source").alias("change_source"), "changed_at")
     points = ev.select("tenant_id", "source", "event_time", "event_type", "tags", "metric_value", "metric_unit")
     end = F.col("changed_at") + _seconds(after) - _seconds(0.000001)
@@ -70,10 +78,9 @@ def before_after(markers: DataFrame, ev: DataFrame, before: int = 900, after: in
     spans = spans.withColumn("source", F.col("change_source")) if own else spans
     rows = interval_join(spans, points, keys, F.col("changed_at") - _seconds(before), end, F.col("event_time"), max(before, after), few=few)
     past = F.col("event_time") < F.col("changed_at")
-    made = []
-    for name, side in (("before", past), ("after", ~past)):
-        made += [F.count_if(side).alias(f"{name}_events"), F.count_if(side & X.is_error()).alias(f"{name}_errors"), p95(side & X.is_latency()).alias(f"{name}_p95")]
-    out = rows.groupBy("tenant_id", "change_id", "change_source", "source").agg(*made)
+    sides = {"before": past, "after": ~past}
+    counts = [c for name, side in sides.items() for c in (F.count_if(side).alias(f"{name}_events"), F.count_if(side & X.is_error()).alias(f"{name}_errors"))]
+    out = exact_p95(rows, ["tenant_id", "change_id", "change_source", "source"], counts, {f"{name}_p95": side & X.is_latency() for name, side in sides.items()}, most=most)
     for name in ("before", "after"):
         out = out.withColumn(f"{name}_error_rate", F.when(F.col(f"{name}_events") > 0, F.col(f"{name}_errors") / F.col(f"{name}_events")).otherwise(0.0))
     return out
@@ -128,10 +135,11 @@ def analyze_changes(markers: DataFrame, ev: DataFrame, before: int = 900, after:
     """
     markers = stage(markers, "change-markers")
     few = markers.count() <= FEW
-    overall = blast_radius(assess(before_after(markers, ev, before, after, few)))
+    most = most_in(ev, max(before, after, 600))
+    overall = blast_radius(assess(before_after(markers, ev, before, after, few, most=most)))
     rolls = stage(recovery_rollback(markers), "change-rollbacks")
     at_roll = rolls.select("tenant_id", "change_id", F.col("change_source").alias("source"), F.col("rolled_at").alias("changed_at"))
-    after_roll = assess(before_after(at_roll, ev, before, 600, few, own=True))
+    after_roll = assess(before_after(at_roll, ev, before, 600, few, own=True, most=most))
     calm = (F.col("after_error_rate") < 0.05) & ((F.col("after_p95") == 0) | (F.col("after_p95") < 500))
     recovered = after_roll.select("tenant_id", "change_id", ((F.col("assessment") == "improved") | calm).alias("recovered"))
     rows = markers.select("tenant_id", "change_id").join(overall, ["tenant_id", "change_id"], "left").join(rolls.select("tenant_id", "change_id", "rollback_id"), ["tenant_id", "change_id"], "left")

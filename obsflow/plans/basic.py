@@ -165,7 +165,7 @@ def a2_window_stats(spark, sf_dir):
 
 @query(f"select event_type, coalesce(quantile_cont(metric_value, 0.95) filter ({LAT} and metric_value<1000),0) p95 from ev group by event_type")
 def a3_percentile(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(stats.p95(X.is_latency() & (F.col("metric_value") < 1000)).alias("p95"))
+    return stats.exact_p95(events(spark, sf_dir), ["event_type"], [], {"p95": X.is_latency() & (F.col("metric_value") < 1000)})
 
 
 @query(f"select event_id, count(case when {ERR} and not {HIGH} then 1 end) over (partition by tenant_id,source order by epoch_us(event_time) range between 59999999 preceding and current row) recent_errors from ev")
