@@ -32,7 +32,8 @@ def detect_incidents(df: DataFrame, latency_ms: float = 1000.0, errors: int = 5,
     burst = ~slow & X.is_error() & (F.col("recent_errors") >= errors)
     rows = rows.withColumn("category", F.when(slow, "latency").when(burst, "errors")).where("category is not null")
     reason = F.when(slow, F.concat(F.lit("latency threshold breached: "), X.one_decimal(F.col("metric_value")), F.lit(f"ms >= {latency_ms:.1f}ms"))).otherwise(F.concat(F.lit("error threshold breached: "), F.col("recent_errors").cast("string"), F.lit(f" errors within {X.duration_text(window)}")))
-    rows = spaced(rows.withColumn("reason", reason), ["tenant_id", "source", "category"], "event_time", "event_id", cooldown)
+    rows = rows.select("tenant_id", "source", "category", "event_time", "event_id", reason.alias("reason"))
+    rows = spaced(rows, ["tenant_id", "source", "category"], "event_time", "event_id", cooldown)
     at = F.col("event_time")
     return rows.select(
         "tenant_id", F.concat(F.lit("AUTO-"), F.unix_millis(at).cast("string"), F.lit("-"), X.slug(F.col("source")), F.lit("-"), "category").alias("incident_id"),

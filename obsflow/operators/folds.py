@@ -25,10 +25,7 @@ def spaced(df: DataFrame, keys: list[str], time: str, tie: str, seconds: int) ->
     steady source can be one endless island, which :func:`_walked` cuts.
     """
     width = seconds * 1_000_000
-    at = F.unix_micros(time)
-    w = W.partitionBy(*keys).orderBy(time, tie)
-    gap = F.coalesce(at - F.lag(at).over(w) >= width, F.lit(True))
-    rows = df.withColumn("_island", F.sum(gap.cast("int")).over(w)).withColumn("_nth", F.row_number().over(w)).withColumn("_us", at)
+    rows = stage(_islands(df, keys, time, tie, width), "fold-rows")
     sizes = rows.groupBy(*keys, "_island").agg(F.count(F.lit(1)).alias("_size"))
     long_ = sizes.where(F.col("_size") > FOLDED).select(*keys, "_island")
     none = F.expr("cast(array() as array<int>)")
@@ -49,6 +46,28 @@ def spaced(df: DataFrame, keys: list[str], time: str, tie: str, seconds: int) ->
     return rows.join(kept, [*keys, "_island", "_nth"], "left_semi").drop("_island", "_nth", "_us")
 
 
+def _islands(df: DataFrame, keys: list[str], time: str, tie: str, width: int) -> DataFrame:
+    """Rows with _us, _nth in their key (from 1) and _island, the gaps of a key up to the row.
+
+    Gaps and rows are counted inside slices of time. Slices are joined by their
+    first and last times, in a scan over slices, not rows.
+    """
+    piece = PIECE * width
+    rows = df.withColumn("_us", F.unix_micros(time)).withColumn("_slice", F.floor(F.col("_us") / piece))
+    inside = W.partitionBy(*keys, "_slice").orderBy(time, tie)
+    rows = rows.withColumn("_gap", F.coalesce(F.col("_us") - F.lag("_us").over(inside) >= width, F.lit(False)).cast("int"))
+    rows = rows.withColumn("_gaps", F.sum("_gap").over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("_row", F.row_number().over(inside))
+    slices = rows.groupBy(*keys, "_slice").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.sum("_gap").alias("_breaks"), F.count(F.lit(1)).alias("_held"))
+    order = W.partitionBy(*keys).orderBy("_slice")
+    door = F.coalesce(F.col("_first") - F.lag("_last").over(order) >= width, F.lit(True)).cast("int")
+    slices = slices.withColumn("_door", door)
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    slices = slices.select(*keys, "_slice", (F.col("_door") + before(F.col("_door") + F.col("_breaks"))).alias("_begun"), before(F.col("_held")).alias("_before"))
+    rows = rows.join(slices, [*keys, "_slice"]).withColumn("_island", F.col("_begun") + F.col("_gaps")).withColumn("_nth", (F.col("_before") + F.col("_row")).cast("int"))
+    return rows.drop("_slice", "_gap", "_gaps", "_row", "_begun", "_before")
+
+
 def _exits(width: int, piece: int, found: str):
     """For a piece of an island: where a walk that enters at each of its rows leaves it.
 

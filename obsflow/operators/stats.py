@@ -45,11 +45,24 @@ def summary(df: DataFrame, now, seconds: int, by: tuple[str, ...] = ("tenant_id"
     return out.withColumn("events_per_second", F.col("events") / seconds).withColumn("error_rate", F.col("errors") / F.col("events"))
 
 
+#: Windows in a slice of time.
+SLICE = 16
+
+
 def sliding_error_count(df: DataFrame, seconds: int = 60, latency_threshold: float = 1000.0) -> DataFrame:
-    """Adds ``recent_errors``: errors of the same tenant and source in the last ``seconds`` (its start exclusive) that breach no latency."""
-    at = F.unix_micros("event_time")
-    w = W.partitionBy("tenant_id", "source").orderBy(at).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return df.withColumn("recent_errors", F.count(F.when(X.is_error() & ~X.high_latency(latency_threshold), 1)).over(w))
+    """Adds ``recent_errors``: errors of the same tenant and source in the last ``seconds`` (its start exclusive) that breach no latency.
+
+    A source is cut into slices of ``SLICE`` windows. The errors of a slice's last
+    window also stand before the next slice, so each is counted by itself.
+    """
+    width = seconds * 1_000_000
+    piece = SLICE * width
+    counts = X.is_error() & ~X.high_latency(latency_threshold)
+    rows = df.withColumn("_us", F.unix_micros("event_time")).withColumn("_slice", F.floor(F.col("_us") / piece))
+    late = counts & (F.col("_us") - F.col("_slice") * piece > piece - width)
+    rows = rows.withColumn("_in", F.explode(F.when(late, F.array(F.col("_slice"), F.col("_slice") + 1)).otherwise(F.array("_slice"))))
+    w = W.partitionBy("tenant_id", "source", "_in").orderBy("_us").rangeBetween(-(width - 1), 0)
+    return rows.withColumn("recent_errors", F.count(F.when(counts, 1)).over(w)).where("_in = _slice").drop("_us", "_slice", "_in")
 
 
 def counter_delta(df: DataFrame, keys: list[str], total: str, time: str) -> DataFrame:

@@ -118,7 +118,7 @@ def d15_detect_incidents(spark, sf_dir):
 @query(f"""with {CAND}, thr as (select tenant_id, source, min(n) n from ev where {ERR} group by all union all select t.tenant_id, t.source, (select min(e.n) from ev e where e.tenant_id=t.tenant_id and e.source=t.source and contains(e.event_type,'error') and e.n*720000>=t.n*720000+60000000) from thr t where t.n is not null)
  select tenant_id, source, 'evt-'||n event_id from thr where n is not null""")
 def d4_throttle(spark, sf_dir):
-    rows = events(spark, sf_dir).where(X.is_error())
+    rows = events(spark, sf_dir).where(X.is_error()).select("tenant_id", "source", "event_time", "event_id")
     return folds.throttle(rows, ["tenant_id", "source"]).select("tenant_id", "source", "event_id")
 
 

@@ -101,3 +101,31 @@ def test_drift_from_states_equals_a_walk(spark, seed):
     assert of(schemas.previous_version(df), "previous") == sorted(map(str, previous))
     drifts = {(r.source, r.schema_version, r.kind, r.path, r.type): r.occurrences for r in schemas.schema_drifts(df).collect()}
     assert sum(drifts.values()) == len(added) + len(conflicts) + sum(m[3] for m in missing)
+
+
+def test_slices_equal_plain_windows(spark):
+    from obsflow.functions import exprs as X
+    from obsflow.operators import folds, stats
+    from pyspark.sql import Window as W
+
+    rng = random.Random(8)
+    # One source errs four times a second for fourteen hours: one endless island; another in bursts.
+    rows = [("t", "hot", i // 4 + i % 4 * 0.25) for i in range(200_000)] + [("t", "calm", rng.randrange(40) * 5000 + rng.randrange(90)) for _ in range(3000)]
+    df = spark.createDataFrame([(t, s, float(at), f"e{i}") for i, (t, s, at) in enumerate(rows)], "tenant_id string, source string, at double, event_id string")
+    df = df.select("*", F.timestamp_seconds(F.col("at") + 1704067200).alias("event_time"), F.lit("x.error").alias("event_type"), F.lit(None).cast("double").alias("metric_value"), F.lit("ms").alias("metric_unit"), F.create_map(F.lit("k"), F.lit("v")).alias("tags"))
+    w = W.partitionBy("tenant_id", "source").orderBy(F.unix_micros("event_time")).rangeBetween(-(60_000_000 - 1), 0)
+    plain = df.withColumn("recent_errors", F.count(F.when(X.is_error(), 1)).over(w)).select("event_id", "recent_errors")
+    assert stats.sliding_error_count(df).select("event_id", "recent_errors").exceptAll(plain).count() == 0
+    per_task = stats.sliding_error_count(df).where("source = 'hot'").groupBy(F.floor(F.unix_micros("event_time") / 960_000_000)).count().agg(F.max("count")).first()[0]
+    assert per_task <= 4 * 960
+    islands = folds._islands(df, ["tenant_id", "source"], "event_time", "event_id", 60_000_000)
+    us, order = F.unix_micros("event_time"), W.partitionBy("tenant_id", "source").orderBy("event_time", "event_id")
+    want = df.withColumn("gap", F.coalesce(us - F.lag(us).over(order) >= 60_000_000, F.lit(True)).cast("int"))
+    want = want.select("event_id", F.sum("gap").over(order).alias("_island"), F.row_number().over(order).alias("_nth"))
+    assert islands.select("event_id", "_island", "_nth").exceptAll(want).count() == 0
+    kept = {}
+    for r in sorted(df.select("source", "at", "event_id").collect(), key=lambda r: (r.source, r.at, r.event_id)):
+        if r.source not in kept or r.at - kept[r.source][-1][0] >= 60:
+            kept.setdefault(r.source, []).append((r.at, r.event_id))
+    got = folds.throttle(df.select("tenant_id", "source", "event_time", "event_id"), ["tenant_id", "source"]).collect()
+    assert sorted(r.event_id for r in got) == sorted(e for ks in kept.values() for _, e in ks)
