@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsflow.functions import exprs as X
@@ -10,6 +11,7 @@ from obsflow.operators import evidence as E
 from obsflow.operators import folds
 from obsflow.plans.basic import query
 from obsflow.plans.views import CHANGE, ERR, HIGH, LAT, NORMAL, events
+from obsflow.staging import stage
 
 MK = f"""mk as (select tenant_id, 'CHG-'||event_id change_id, event_id, source,
  case when contains(event_type,'rollback') then 'rollback' else 'deployment' end kind, 'completed' status, tag_environment environment, tag_version as version, tag_rollback_of rollback_of, event_time changed_at, n from ev where {CHANGE})"""
@@ -104,10 +106,9 @@ def incidents(spark, sf_dir):
 
 
 def frozen(spark, sf_dir):
-    """Frozen events of all incidents, and the incidents."""
-    # Many branches of the graph read both; persisted blocks are made anew where an executor is lost.
-    inc = incidents(spark, sf_dir).persist()
-    return E.freeze(inc, events(spark, sf_dir).withColumn("captured_at", F.col("event_time"))).persist(), inc
+    """Frozen events of all incidents, and the incidents, which are made once."""
+    inc = stage(incidents(spark, sf_dir), "incidents")
+    return E.freeze(inc, events(spark, sf_dir).withColumn("captured_at", F.col("event_time"))), inc
 
 
 @query(f"with {CAND} select tenant_id, incident_id, source, category, event_id, reason, epoch_us(frozen_from) from_us, epoch_us(frozen_to) to_us from inc")
@@ -135,8 +136,7 @@ def j2_incident_counts(spark, sf_dir):
 
 @query(f"with {CAND}, {FZ} select tenant_id, incident_id, coalesce(count(distinct fz.event_id),0) events from inc left join fz using (tenant_id, incident_id) group by all")
 def j2_incident_counts_all(spark, sf_dir):
-    fz, inc = frozen(spark, sf_dir)
-    return E.incident_counts(inc, fz).select("tenant_id", "incident_id", "events")
+    return j2_incident_counts(spark, sf_dir)
 
 
 NEAR = "nr as (select s.incident_id, m.* from (select tenant_id, incident_id, min(event_time) a, max(event_time) b from fz group by all) s join mk m on m.tenant_id=s.tenant_id and m.changed_at between s.a-interval 15 minute and s.b+interval 5 minute)"
@@ -144,7 +144,7 @@ NEAR = "nr as (select s.incident_id, m.* from (select tenant_id, incident_id, mi
 
 def near_markers(spark, sf_dir, fz):
     spans = fz.groupBy("tenant_id", "incident_id").agg(F.min("event_time").alias("first_at"), F.max("event_time").alias("last_at"))
-    return C.changes_near(spans, markers(spark, sf_dir)).persist()
+    return C.changes_near(spans, markers(spark, sf_dir))
 
 
 @query(f"with {CAND}, {FZ}, {MK}, {NEAR} select tenant_id, incident_id, change_id from nr")
@@ -221,26 +221,29 @@ def j9_explicit_rollback(spark, sf_dir):
 _RANK = "case relation " + " ".join(f"when '{r}' then {i + 1}" for i, r in enumerate(E.ORDER)) + " else 0 end"
 EG = "eg as (" + " union all ".join(f"select tenant_id, incident_id, \"from\", \"to\", '{r}' relation, '{a}' assessment from ({sql})" for r, (sql, a) in PARTS.items()) + """),
  ed as (select tenant_id, incident_id, "from", "to", relation, assessment from (select *, row_number() over (partition by tenant_id, incident_id order by RANK, relation, "from", "to") k from (select distinct * from eg)) where k<=CAP union all select tenant_id, incident_id, 'incident:'||incident_id, 'event:'||event_id, 'captured-in', 'related' from fz),
- nd as (select tenant_id, incident_id, 'incident:'||incident_id id, 'incident' kind, null source, null event_type, null as version from inc union all
-  select tenant_id, incident_id, 'event:'||event_id, case when CHANGE then 'change' when ERR then 'error' when HIGH then 'latency' else 'event' end, source, event_type, tag_version from fz union all
-  select tenant_id, incident_id, node, 'change', source, kind, version from mn where own)""".replace("RANK", _RANK).replace("CHANGE", CHANGE).replace("ERR", ERR).replace("HIGH", HIGH)
+ nd as (select tenant_id, incident_id, 'incident:'||incident_id id, 'incident' kind, null source, null event_type, null as version, incident_id as "label", null::bigint event_us, '' attributes from inc union all
+  select tenant_id, incident_id, 'event:'||event_id, case when CHANGE then 'change' when ERR then 'error' when HIGH then 'latency' else 'event' end, source, event_type, tag_version, source||' · '||event_type, epoch_us(event_time), coalesce('version='||tag_version,'') from fz union all
+  select tenant_id, incident_id, node, 'change', source, kind, version, source||' · '||kind, epoch_us(changed_at), concat_ws(',','change_id='||change_id,'environment='||environment,'kind='||kind,'rollback_of='||rollback_of,'version='||version) from mn where own)""".replace("RANK", _RANK).replace("CHANGE", CHANGE).replace("ERR", ERR).replace("HIGH", HIGH)
 GBASE = f"{MBASE}, " + EG.replace("CAP", "2000")
+#: Without a cap: what counts are taken from.
+GFULL = f"{MBASE}, " + EG.replace("CAP", "1000000000")
+REASONS = "rs(relation, reason) as (values " + ", ".join(f"('{r}', '{reason}')" for r, (_, reason) in E.RELATIONS.items()) + ")"
 
 
-def graph(spark, sf_dir, cap=2000):
+def graph(spark, sf_dir, cap=2000, only=None):
     fz, inc = frozen(spark, sf_dir)
-    nodes, edges = E.evidence_graph(inc, fz, near_markers(spark, sf_dir, fz), cap)
-    return nodes.persist(), edges.persist()
+    return E.evidence_graph(inc, fz, near_markers(spark, sf_dir, fz), cap, only=only)
 
 
-@query(f"{GBASE} select tenant_id, incident_id, \"from\", \"to\", relation, assessment from ed")
+@query(f"{GBASE}, {REASONS} select tenant_id, incident_id, \"from\", \"to\", relation, assessment, reason from ed join rs using (relation)")
 def d22_evidence_edges(spark, sf_dir):
-    return graph(spark, sf_dir)[1].select(*EDGE, "relation", "assessment")
+    return graph(spark, sf_dir)[1].select(*EDGE, "relation", "assessment", "reason")
 
 
-@query(f"{GBASE} select tenant_id, incident_id, id, kind, source, event_type, version from nd")
+@query(f"{GBASE} select tenant_id, incident_id, id, kind, \"label\", source, event_type, version, event_us, attributes from nd")
 def d22_evidence_nodes(spark, sf_dir):
-    return graph(spark, sf_dir)[0].select("tenant_id", "incident_id", "id", "kind", "source", "event_type", "version")
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return graph(spark, sf_dir)[0].select("tenant_id", "incident_id", "id", "kind", "label", "source", "event_type", "version", F.unix_micros("event_time").alias("event_us"), shown.alias("attributes"))
 
 
 @query(f"{MBASE}, {EG.replace('CAP', '100')} select tenant_id, incident_id, relation, count(*) n from ed group by all")
@@ -248,9 +251,9 @@ def t7_cap_edges(spark, sf_dir):
     return graph(spark, sf_dir, 100)[1].groupBy("tenant_id", "incident_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{GBASE} select tenant_id, incident_id, nodes, edges, supporting, contradicting, related from (select tenant_id, incident_id, count(*) nodes from nd group by all) join (select tenant_id, incident_id, count(*) edges, count_if(assessment='supporting') supporting, count_if(assessment='contradicting') contradicting, count_if(assessment='related') related from ed group by all) using (tenant_id, incident_id)")
+@query(f"{GFULL} select tenant_id, incident_id, nodes, edges, supporting, contradicting, related from (select tenant_id, incident_id, count(*) nodes from nd group by all) join (select tenant_id, incident_id, count(*) edges, count_if(assessment='supporting') supporting, count_if(assessment='contradicting') contradicting, count_if(assessment='related') related from ed group by all) using (tenant_id, incident_id)")
 def a17_graph_summary(spark, sf_dir):
-    return E.graph_summary(*graph(spark, sf_dir)).select("tenant_id", "incident_id", "nodes", "edges", "supporting", "contradicting", "related")
+    return E.graph_summary(*graph(spark, sf_dir, None)).select("tenant_id", "incident_id", "nodes", "edges", "supporting", "contradicting", "related")
 
 
 HY = """hc as (select tenant_id, incident_id, count_if(relation in ('change-precedes-error','structured-change-precedes-error')) c, count_if(relation='latency-precedes-error') l, count_if(relation in ('recovery-signal','recovery-after-rollback')) r from ed group by all),
@@ -259,27 +262,56 @@ HY = """hc as (select tenant_id, incident_id, count_if(relation in ('change-prec
   union all select tenant_id, incident_id, 'sustained-degradation', l, r from hc where l+r>0 union all select tenant_id, incident_id, 'insufficient-evidence', 0, 0 from hc where c+l+r=0))"""
 
 
-@query(f"{GBASE}, {HY} select tenant_id, incident_id, hypothesis, supporting, contradicting, status from hy")
+@query(f"{GFULL}, {HY} select tenant_id, incident_id, hypothesis, supporting, contradicting, status from hy")
 def a18_hypotheses(spark, sf_dir):
-    return E.hypotheses(*graph(spark, sf_dir))
+    return E.hypotheses(*graph(spark, sf_dir, None, E.TOLD))
 
 
-@query(f"""{GBASE}, {HY}, rl as (select * from (values {','.join(f"('{h}','{r}')" for h, rs in E.HYPOTHESES.items() for r in rs)}) t(finding, relation)),
+@query(f"""{GFULL}, {HY}, rl as (select * from (values {','.join(f"('{h}','{r}')" for h, rs in E.HYPOTHESES.items() for r in rs)}) t(finding, relation)),
  fi as (select tenant_id, incident_id, finding, count_if(assessment='supporting') support, count_if(assessment='contradicting') contradiction from ed join rl using (relation) join hy on hy.tenant_id=ed.tenant_id and hy.incident_id=ed.incident_id and hy.hypothesis=finding group by ed.tenant_id, ed.incident_id, finding)
  select tenant_id, incident_id, finding, support, contradiction, case when support=0 then 'insufficient' when contradiction>0 then 'mixed' else 'supported' end status,
  case when support=0 then 'insufficient' when contradiction>0 then 'mixed' when support>=4 then 'high' when support>=2 then 'medium' else 'low' end confidence,
  support*10-contradiction*4+case when support=0 or contradiction>0 then 0 when support>=4 then 3 when support>=2 then 2 else 1 end score from fi""".replace("ed.tenant_id, ed.incident_id, finding, count", "ed.tenant_id, ed.incident_id, finding, count").replace("fi as (select tenant_id, incident_id,", "fi as (select ed.tenant_id, ed.incident_id,"))
 def d23_investigate(spark, sf_dir):
-    return E.investigate(graph(spark, sf_dir)[1]).select("tenant_id", "incident_id", "finding", "support", "contradiction", "status", "confidence", "score")
+    return E.investigate(graph(spark, sf_dir, None, E.TOLD)[1]).select("tenant_id", "incident_id", "finding", "support", "contradiction", "status", "confidence", "score")
 
 
-@query(f"""{GBASE}, {HY}, ft as (select distinct * from (select tenant_id, incident_id, 'source' family, source feature from nd where source is not null union all select tenant_id, incident_id, 'type', event_type from nd where event_type is not null
+FT = """ft as (select distinct * from (select tenant_id, incident_id, 'source' family, source feature from nd where source is not null union all select tenant_id, incident_id, 'type', event_type from nd where event_type is not null
   union all select tenant_id, incident_id, 'hypothesis', hypothesis from hy where status<>'insufficient' union all select tenant_id, incident_id, 'change', 'version:'||version from nd where kind='change' and version is not null)),
+ se as (select *, min(incident_id) over (partition by tenant_id, k) sid from (select tenant_id, incident_id, string_agg(family||':'||feature, '|' order by family, feature) k from ft group by all)),
  fs as (select tenant_id, incident_id, family, count(*) n from ft group by all),
  sh as (select a.tenant_id, a.incident_id l, b.incident_id r, family, count(*) s from ft a join ft b using (tenant_id, family, feature) where a.incident_id<b.incident_id group by all),
- si as (select sh.tenant_id, sh.l, sh.r, sum(s/(a.n+b.n-s)*case sh.family when 'source' then 0.30 when 'type' then 0.25 when 'hypothesis' then 0.35 else 0.10 end) v from sh join fs a on a.tenant_id=sh.tenant_id and a.incident_id=sh.l and a.family=sh.family join fs b on b.tenant_id=sh.tenant_id and b.incident_id=sh.r and b.family=sh.family group by all)
- select tenant_id, l as "left", r as "right", round(round(v,9),3) similarity from si""")
+ sj as (select sh.tenant_id, sh.l, sh.r, sum(s/(a.n+b.n-s)*case sh.family when 'source' then 0.30 when 'type' then 0.25 when 'hypothesis' then 0.35 else 0.10 end) v from sh join fs a on a.tenant_id=sh.tenant_id and a.incident_id=sh.l and a.family=sh.family join fs b on b.tenant_id=sh.tenant_id and b.incident_id=sh.r and b.family=sh.family group by all),
+ si as (select tenant_id, l as "left", r as "right", round(round(v,9),3) similarity from sj),
+ sr as (select *, case when similarity>=0.7 then 'strong_overlap' when similarity>=0.4 then 'partial_overlap' else 'limited_overlap' end status from si where similarity>0),
+ sl as (select sr.* from sr join se a on a.tenant_id=sr.tenant_id and a.incident_id="left" join se b on b.tenant_id=sr.tenant_id and b.incident_id="right" where a.sid=a.incident_id and b.sid=b.incident_id)"""
+
+
+def feature_sets(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir, None, E.TOLD)
+    return E.feature_sets(E.features(nodes, E.hypotheses(nodes, edges)))
+
+
+@query(f"{GFULL}, {HY}, {FT} select tenant_id, \"left\", \"right\", similarity, status from sl")
 def d25_compare(spark, sf_dir):
-    nodes, edges = graph(spark, sf_dir)
-    out = E.compare(E.features(nodes, E.hypotheses(nodes, edges)).persist())
-    return out.select("tenant_id", "left", "right", "similarity")
+    """Links between the different feature sets of a tenant's incidents; ``d25_feature_sets`` has who belongs to each."""
+    return E.similar_sets(feature_sets(spark, sf_dir)).select("tenant_id", "left", "right", "similarity", "status")
+
+
+@query(f"{GFULL}, {HY}, {FT} select tenant_id, \"left\", \"right\", similarity, status from sl where similarity>=0.7")
+def d25_strong_overlap(spark, sf_dir):
+    return E.similar_sets(feature_sets(spark, sf_dir), 0.7).select("tenant_id", "left", "right", "similarity", "status")
+
+
+@query(f"{GFULL}, {HY}, {FT} select tenant_id, incident_id, sid as \"set\" from se")
+def d25_feature_sets(spark, sf_dir):
+    return feature_sets(spark, sf_dir).select("tenant_id", "incident_id", "set")
+
+
+@query(f"{GFULL}, {HY}, {FT} select p.tenant_id, p.l as \"left\", p.r as \"right\", similarity, status from (select tenant_id, incident_id l, lead(incident_id) over (partition by tenant_id order by incident_id) r from inc) p join sr on sr.tenant_id=p.tenant_id and sr.\"left\"=p.l and sr.\"right\"=p.r")
+def d25_compare_pairs(spark, sf_dir):
+    """Every incident with the next one of its tenant."""
+    nodes, edges = graph(spark, sf_dir, None, E.TOLD)
+    own = nodes.where("kind = 'incident'").select("tenant_id", F.col("incident_id").alias("left"))
+    pairs = own.withColumn("right", F.lead("left").over(W.partitionBy("tenant_id").orderBy("left"))).where("right is not null")
+    return E.compare(E.features(nodes, E.hypotheses(nodes, edges)), pairs).select("tenant_id", "left", "right", "similarity", "status")

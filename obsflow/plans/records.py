@@ -11,7 +11,7 @@ from obsflow.operators import replay as P
 from obsflow.operators import schemas as S
 from obsflow.plans.basic import POLICY, SHADOW, query
 from obsflow.plans.control import ACT, RUN
-from obsflow.plans.incident import CAND, EDGE, FZ, GBASE, frozen, markers, near_markers
+from obsflow.plans.incident import CAND, EDGE, FZ, GBASE, GFULL, frozen, markers, near_markers
 from obsflow.plans.views import ERR, TAGS, events
 from obsflow.sources import export, ingest
 from obsflow.staging import stage
@@ -185,18 +185,17 @@ def d24_recommend(spark, sf_dir):
 
 #: DuckDB: the graph with a replay and a cost run of each incident that has events.
 RUN_GRAPH = f"""{GBASE}, rs as (select distinct tenant_id, incident_id, kind, prefix||incident_id id, relation from fz, (values ('replay', 'replay:', 'evaluated-by-replay'), ('cost-simulation', 'cost:', 'evaluated-by-cost-simulation')) k(kind, prefix, relation)),
- wn as (select * from nd union all select tenant_id, incident_id, id, kind, null, null, null from rs),
+ wn as (select * from nd union all select tenant_id, incident_id, id, kind, null, null, null, incident_id, null, '' from rs),
  we as (select * from ed union all select tenant_id, incident_id, 'incident:'||incident_id, id, relation, 'related' from rs)"""
 
 
-def run_graph(spark, sf_dir):
+def run_graph(spark, sf_dir, cap=2000):
     """The evidence graph with a replay and a cost run of each incident, named by it."""
     fz, inc = frozen(spark, sf_dir)
     # Staged, since the plans of both and of the graph are large.
     runs = lambda df, name: stage(df.select("tenant_id", "incident_id", F.col("incident_id").alias("run_id")), name)
     replays, costs = runs(P.replay_totals(P.replay(fz, POLICY, SHADOW)), "replay-runs"), runs(P.cost_simulation(fz, POLICY, SHADOW), "cost-runs")
-    nodes, edges = E.evidence_graph(inc, fz, near_markers(spark, sf_dir, fz), replays=replays, costs=costs)
-    return nodes.persist(), edges.persist()
+    return E.evidence_graph(inc, fz, near_markers(spark, sf_dir, fz), cap, replays=replays, costs=costs)
 
 
 @query(f"{RUN_GRAPH} select tenant_id, incident_id, id, kind, source, event_type, version from wn")
@@ -209,9 +208,9 @@ def d22_evidence_edges_runs(spark, sf_dir):
     return run_graph(spark, sf_dir)[1].select(*EDGE, "relation", "assessment")
 
 
-@query(f"{RUN_GRAPH} select tenant_id, incident_id, nodes, edges, supporting, contradicting, related from (select tenant_id, incident_id, count(*) nodes from wn group by all) join (select tenant_id, incident_id, count(*) edges, count_if(assessment='supporting') supporting, count_if(assessment='contradicting') contradicting, count_if(assessment='related') related from we group by all) using (tenant_id, incident_id)")
+@query(f"{RUN_GRAPH.replace(GBASE, GFULL)} select tenant_id, incident_id, nodes, edges, supporting, contradicting, related from (select tenant_id, incident_id, count(*) nodes from wn group by all) join (select tenant_id, incident_id, count(*) edges, count_if(assessment='supporting') supporting, count_if(assessment='contradicting') contradicting, count_if(assessment='related') related from we group by all) using (tenant_id, incident_id)")
 def a17_graph_summary_runs(spark, sf_dir):
-    return E.graph_summary(*run_graph(spark, sf_dir)).select("tenant_id", "incident_id", "nodes", "edges", "supporting", "contradicting", "related")
+    return E.graph_summary(*run_graph(spark, sf_dir, None)).select("tenant_id", "incident_id", "nodes", "edges", "supporting", "contradicting", "related")
 
 
 #: DuckDB: the canonical text of every event.

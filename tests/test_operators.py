@@ -307,8 +307,9 @@ def test_rendezvous_eligibility(spark):
 def test_compare_of_given_pairs(spark):
     feats = [("t", i, f, x) for i, own in (("a", "pq"), ("b", "pq"), ("c", "qr"), ("d", "z")) for f, x in (("source", own[0]), ("type", own[-1]))]
     df = spark.createDataFrame(feats, "tenant_id string, incident_id string, family string, feature string")
-    every = {(r.left, r.right): r.similarity for r in evidence.compare(df).collect()}
-    assert every == {("a", "b"): 0.55}
+    sets = evidence.feature_sets(df)
+    assert {r.incident_id: r.set for r in sets.collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
+    assert evidence.similar_sets(sets).count() == 0
     asked = spark.createDataFrame([("t", "b", "a"), ("t", "a", "d")], "tenant_id string, left string, right string")
     assert {(r.left, r.right): r.similarity for r in evidence.compare(df, asked).collect()} == {("b", "a"): 0.55}
 
