@@ -97,13 +97,21 @@ def _explained(edges: DataFrame) -> DataFrame:
 
 
 def facts(ev: DataFrame) -> DataFrame:
-    """What links are made of: a narrow row for each frozen event."""
+    """What links are made of: a narrow row for each event, captured (before they are frozen, which repeats them) or frozen."""
+    if "correlation" in ev.columns:
+        return ev
+    own = [c for c in (*KEY, "captured_at") if c in ev.columns]
     return ev.select(
-        *KEY, "event_id", "event_time", "source", "event_type", X.filled(F.col("correlation_id")).alias("correlation"), X.first_tag("trace_id").alias("trace"), X.first_tag("version").alias("version"),
+        *own, "event_id", "event_time", "source", "event_type", X.filled(F.col("correlation_id")).alias("correlation"), X.first_tag("trace_id").alias("trace"), X.first_tag("version").alias("version"),
         X.is_error(trim=True).alias("error"), X.high_latency().alias("high"), X.normal_latency().alias("normal"), X.is_change_graph().alias("change"), _attributes(F.col("tags")).alias("attributes"),
     )
 
 
+def frozen_facts(incidents: DataFrame, captures: DataFrame) -> DataFrame:
+    """The facts of the frozen events of all incidents, dealt by incident and written once, for the many that read them."""
+    return stage(freeze(incidents, facts(captures)).drop("captured_at").repartition(*KEY), "evidence-facts")
+
+
 #: Tags that nodes show; those of changes also with the control prefix.
 SHOWN = ("deployment_id", "version", "release", "git_sha", "build_id")
 SHOWN_CONTROL = ("change_id", "change_kind", "environment", "version", "git_sha", "build_id", "rollback_of")
@@ -188,7 +196,9 @@ def change_precedes_error(ev: DataFrame, within: int = 300) -> DataFrame:
 
 def marker_nodes(markers: DataFrame, ev: DataFrame) -> DataFrame:
     """Markers of each incident with their ``node``: the captured event's, or one of their own."""
-    held = ev.select(F.col("tenant_id").alias("_tenant"), F.col("incident_id").alias("_incident"), F.col("event_id").alias("_e")).distinct()
+    # Of the events only those that are markers go on.
+    held = ev.select(*KEY, "event_id").join(markers.select(*KEY, "event_id"), [*KEY, "event_id"], "left_semi").distinct()
+    held = held.select(F.col("tenant_id").alias("_tenant"), F.col("incident_id").alias("_incident"), F.col("event_id").alias("_e"))
     same = (F.col("tenant_id") == F.col("_tenant")) & (F.col("incident_id") == F.col("_incident")) & (F.col("event_id") == F.col("_e"))
     rows = markers.join(held, same, "left").drop("_tenant", "_incident")
     return rows.withColumn("node", F.when(F.col("_e").isNotNull(), F.concat(F.lit("event:"), "_e")).otherwise(F.concat(F.lit("change:"), "change_id")))
@@ -240,7 +250,7 @@ ORDER = ("change-near-incident", "shared-correlation", "shared-trace", "same-sou
 RUNS = {"replay": "evaluated-by-replay", "cost-simulation": "evaluated-by-cost-simulation"}
 
 
-#: Events of an incident beyond which its edges are first capped in parts.
+#: Edges of an incident beyond which they are first capped in parts.
 BUSY, PARTS = 100_000, 64
 
 
@@ -310,14 +320,14 @@ def evidence_nodes(incidents: DataFrame, f: DataFrame, nodes: DataFrame | None =
 
 
 def evidence_graph(incidents: DataFrame, ev: DataFrame, markers: DataFrame | None = None, cap: int | None = 2000, replays: DataFrame | None = None, costs: DataFrame | None = None, only: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of every incident. ``ev`` are frozen events, ``markers`` changes near an incident; both carry incident_id.
+    """Nodes and edges of every incident. ``ev`` are frozen events or their facts, ``markers`` changes near an incident; both carry incident_id.
 
     ``cap`` bounds the edges of an incident; None leaves them all, which is what counts are taken from.
     ``only`` names the relations to make. ``replays`` and ``costs`` are runs of incidents: tenant_id, incident_id, run_id. Runs of other incidents make nothing.
 
     Correlation and trace ids make edges and are never exported.
     """
-    f = stage(facts(ev), "evidence-facts")
+    f = ev if "correlation" in ev.columns else stage(facts(ev), "evidence-facts")
     m = None if markers is None else stage(marker_nodes(markers, f), "evidence-markers")
     nodes, edges = evidence_nodes(incidents, f, m), evidence_edges(f, m, only)
     root, none = F.concat(F.lit("incident:"), "incident_id"), F.lit(None)
@@ -328,8 +338,14 @@ def evidence_graph(incidents: DataFrame, ev: DataFrame, markers: DataFrame | Non
             edges = edges.unionByName(_explained(own.select(*KEY, root.alias("from"), F.col("id").alias("to"), F.lit(RUNS[node_kind]).alias("relation"))))
     if cap is None:
         return nodes, edges
-    busy = stage(f.groupBy(*KEY).count().where(F.col("count") > BUSY).select(*KEY), "evidence-busy")
-    return nodes, cap_edges(edges, cap, busy if busy.limit(1).count() else None)
+    # Few incidents have more edges than the cap; only theirs are sorted.
+    exempt = F.col("relation").isin("captured-in", *RUNS.values())
+    rows = stage(edges.where(~exempt).select(*EDGE), "evidence-edges")
+    over = stage(rows.groupBy(*KEY).count().where(F.col("count") > cap), "evidence-over")
+    most = over.agg(F.max("count")).collect()[0][0] or 0
+    busy = over.where(F.col("count") > BUSY).select(*KEY) if most > BUSY else None
+    kept = cap_edges(rows.join(over, KEY, "left_semi"), cap, busy) if most else rows.where("false")
+    return nodes, edges.where(exempt).unionByName(_explained(rows.join(over, KEY, "left_anti").unionByName(kept)))
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -397,7 +413,6 @@ def features(nodes: DataFrame, hypotheses_: DataFrame) -> DataFrame:
 
 
 WEIGHTS = {"source": 0.30, "type": 0.25, "hypothesis": 0.35, "change": 0.10}
-STATUS = ((0.70, "strong_overlap"), (0.40, "partial_overlap"))
 
 
 def feature_sets(feats: DataFrame) -> DataFrame:
@@ -425,10 +440,12 @@ def _judged(pairs: DataFrame) -> DataFrame:
         pairs = pairs.withColumn(f"s_{f}", _jaccard(f)[0].cast("long"))
         total = total + _jaccard(f)[1] * weight
     rows = pairs.withColumn("similarity", F.round(F.round(total, 9), 3))  # the first rounding takes away the order of the sum
-    status = F.lit("insufficient_evidence")
-    for least, name in ((0.0, "limited_overlap"), *reversed(STATUS)):
-        status = F.when(F.col("similarity") > 0 if name == "limited_overlap" else F.col("similarity") >= least, name).otherwise(status)
-    return rows.withColumn("status", status)
+    return rows.withColumn("status", _status())
+
+
+def _status() -> Column:
+    similarity = F.col("similarity")
+    return F.when(similarity >= 0.70, "strong_overlap").when(similarity >= 0.40, "partial_overlap").when(similarity > 0, "limited_overlap").otherwise("insufficient_evidence")
 
 
 #: Families whose sets many incidents have in common.
@@ -455,28 +472,40 @@ def similar_sets(sets: DataFrame, least: float = 0.0) -> DataFrame:
         spread = F.explode(F.flatten(F.array(*map(named, families))))
         tokens = rows.select("tenant_id", F.col(name).alias("x"), spread.alias("t")).select("tenant_id", "x", "t.*")
         key = ["tenant_id", "family", "feature"]
-        if least > 0:
+        if least > WEIGHTS["change"]:
             common = tokens.groupBy(*key).agg(F.count(F.lit(1)).alias("held"))
             rare = W.partitionBy("tenant_id", "x", "family").orderBy("held", "feature")
             tokens = tokens.join(common, key).withColumn("k", F.row_number().over(rare)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
         a, b = (tokens.select(*key, F.col("x").alias(side)) for side in ("left", "right"))
         return a.join(b, key).where("left < right").select("tenant_id", "left", "right").distinct()
 
+    def sides(rows: DataFrame, of: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:
+        """Pairs with both sides' columns as left_<column> and right_<column>."""
+        for side in ("left", "right"):
+            rows = rows.join(_side(of, side, columns, name).withColumnRenamed(f"{side}_{name}", side), ["tenant_id", side])
+        return rows
+
     near = candidates(cores, "core", CORE).unionByName(cores.select("tenant_id", F.col("core").alias("left"), F.col("core").alias("right")))
-    pairs = near.join(_side(cores, "left", CORE, "core").withColumnRenamed("left_core", "left"), ["tenant_id", "left"]).join(_side(cores, "right", CORE, "core").withColumnRenamed("right_core", "right"), ["tenant_id", "right"])
-    bound = sum((_jaccard(f)[1] * WEIGHTS[f] for f in CORE), F.lit(WEIGHTS["change"]))
-    pairs = pairs.where(bound >= F.lit(least) - 1e-3).select("tenant_id", F.col("left").alias("left_core"), F.col("right").alias("right_core"))
-    # Sets of near cores, and sets that share a change.
-    own = one.select("tenant_id", "core", "set")
-    met = pairs.join(own.select("tenant_id", F.col("core").alias("left_core"), F.col("set").alias("a")), ["tenant_id", "left_core"])
-    met = met.join(own.select("tenant_id", F.col("core").alias("right_core"), F.col("set").alias("b")), ["tenant_id", "right_core"])
-    met = met.where("left_core != right_core or a < b").select("tenant_id", F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
+    near = sides(near, cores, "core", CORE)
+    base = sum((_jaccard(f)[1] * WEIGHTS[f] for f in CORE), F.lit(0.0))
+    near = near.select("tenant_id", F.col("left").alias("left_core"), F.col("right").alias("right_core"), *(_jaccard(f)[0].cast("long").alias(f"s_{f}") for f in CORE), base.alias("base"))
+    near = stage(near.where(F.col("base") + WEIGHTS["change"] >= F.lit(least) - 1e-3), "similar-cores")
+    # Sets of near cores; and, where that can be enough, sets that share only a change.
+    own = one.select("tenant_id", "core", "set", "change")
+    met = near
+    for side in ("left", "right"):
+        met = met.join(own.select("tenant_id", F.col("core").alias(f"{side}_core"), F.col("set").alias(side), F.col("change").alias(f"{side}_change")), ["tenant_id", f"{side}_core"])
+    met = met.where("left_core != right_core or left < right")
     if least <= WEIGHTS["change"]:
-        met = met.unionByName(candidates(one, "set", ("change",))).distinct()
-    families = tuple(WEIGHTS)
-    rows = met.join(_side(one, "left", families, "set").withColumnRenamed("left_set", "left"), ["tenant_id", "left"]).join(_side(one, "right", families, "set").withColumnRenamed("right_set", "right"), ["tenant_id", "right"])
-    rows = _judged(rows).where((F.col("similarity") > 0) & (F.col("similarity") >= least))
-    return rows.select("tenant_id", "left", "right", *(f"s_{f}" for f in WEIGHTS), "similarity", "status")
+        more = sides(candidates(one, "set", ("change",)), one, "set", ("core", "change"))
+        more = more.withColumns({"a": F.least("left_core", "right_core"), "b": F.greatest("left_core", "right_core")})
+        known = near.select("tenant_id", F.col("left_core").alias("a"), F.col("right_core").alias("b"))
+        more = more.join(known, ["tenant_id", "a", "b"], "left_anti").withColumns({f"s_{f}": F.lit(0).cast("long") for f in CORE}).withColumn("base", F.lit(0.0))
+        met = met.select(*(shown := ["tenant_id", "left", "right", "left_change", "right_change", *(f"s_{f}" for f in CORE), "base"])).unionByName(more.select(*shown))
+    shared, part = _jaccard("change")
+    rows = met.withColumn("s_change", shared.cast("long")).withColumn("similarity", F.round(F.round(F.col("base") + part * WEIGHTS["change"], 9), 3))
+    rows = rows.where((F.col("similarity") > 0) & (F.col("similarity") >= least))
+    return rows.select("tenant_id", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), *(f"s_{f}" for f in WEIGHTS), "similarity", _status().alias("status"))
 
 
 def compare(feats: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def describe(df: DataFrame) -> DataFrame:
     room = MOST_FIELDS - F.size("_own")
     json = F.when(room > 0, F.expr("try_parse_json(_payload)"))
     rows = rows.withColumn("_walk", X.let(json, _payload_walk)).withColumn("_json", json.isNotNull())
-    rows = rows.withColumn("_below", F.when(F.col("_payload").isNotNull() & (room > 0), F.array_sort("_walk.found")).otherwise(none))
+    rows = rows.withColumn("_below", F.when(F.col("_payload").isNotNull() & (room > 0), F.when(F.size("_walk.found") > room, F.array_sort("_walk.found")).otherwise(F.col("_walk.found"))).otherwise(none))
     cut = (room < 0) | (F.col("_json") & ((F.size("_below") >= room) | (F.size("_walk.level") > 0)))
     told = F.transform(F.slice(F.concat("_own", "_below"), 1, MOST_FIELDS), lambda f: F.struct(F.array_join(f["keys"], ".").alias("path"), f["type"].alias("type")))
     rows = rows.select("event_id", "event_time", *KEY, "schema_url", F.array_sort(told).alias("fields"), F.coalesce(cut, F.lit(False)).alias("truncated"))
@@ -108,7 +108,9 @@ def states(described: DataFrame, by: list[str]) -> DataFrame:
     Observations of a version have few different sets of fields, so this is
     small after the partial aggregation, and only sets are laid out by path.
     """
-    return described.groupBy(*KEY, *by, "fields").agg(F.count(F.lit(1)).alias("n"), F.min(_at()).alias("born"), F.max(_at()).alias("last"))
+    # Pairs of time and id are aggregated by sorting; a hash in front of the wide keys makes that cheap.
+    key = F.xxhash64(*KEY, *by, "fields").alias("_hash")
+    return described.groupBy(key, *KEY, *by, "fields").agg(F.count(F.lit(1)).alias("n"), F.min(_at()).alias("born"), F.max(_at()).alias("last")).drop("_hash")
 
 
 def _by_path(found: DataFrame, by: list[str]) -> DataFrame:
@@ -126,7 +128,7 @@ def _by_field(kinds: DataFrame) -> DataFrame:
 
 def schema_registry(described: DataFrame) -> DataFrame:
     """State of each path of each version: first type, seen and conflict counts, required, first and last seen."""
-    found = states(described, [])
+    found = stage(states(described, []), "schema-sets")
     out = _by_field(_by_path(found, []))
     out = out.withColumn("_k", F.row_number().over(W.partitionBy(*KEY).orderBy("born", "path"))).where(F.col("_k") <= MOST_PATHS)
     out = out.select(*KEY, "path", "type", "seen", (F.col("seen") - F.col("first_type_seen")).alias("conflicts"), F.col("born.event_time").alias("first_seen"), F.col("last.event_time").alias("last_seen"))
@@ -228,7 +230,7 @@ def schema_url_changes(described: DataFrame) -> DataFrame:
 
 def schema_drifts(described: DataFrame) -> DataFrame:
     """Findings by signature: kind, path, severity, occurrences."""
-    found = states(described, [])
+    found = stage(states(described, []), "schema-sets")
     kinds = _by_path(found, [])
     first = _by_field(kinds)
     start = found.groupBy(*KEY).agg(F.min("born").alias("start"))

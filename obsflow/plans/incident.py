@@ -231,8 +231,9 @@ REASONS = "rs(relation, reason) as (values " + ", ".join(f"('{r}', '{reason}')"
 
 
 def graph(spark, sf_dir, cap=2000, only=None):
-    fz, inc = frozen(spark, sf_dir)
-    return E.evidence_graph(inc, fz, near_markers(spark, sf_dir, fz), cap, only=only)
+    inc = stage(incidents(spark, sf_dir), "incidents")
+    f = E.frozen_facts(inc, events(spark, sf_dir).withColumn("captured_at", F.col("event_time")))
+    return E.evidence_graph(inc, f, near_markers(spark, sf_dir, f), cap, only=only)
 
 
 @query(f"{GBASE}, {REASONS} select tenant_id, incident_id, \"from\", \"to\", relation, assessment, reason from ed join rs using (relation)")
