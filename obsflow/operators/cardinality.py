@@ -72,19 +72,52 @@ def cardinality_hourly(rows: DataFrame, keys: list[str] = KEY, tracker: str = "r
 
 
 def sketch(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """The mergeable state: the largest rank of each register, and up to 17 value hashes of each key (17 means overflow)."""
+    """The mergeable state of each key, one row of some 200 bytes however many values it saw.
+
+    ``registers`` are the largest ranks, a byte each; ``hashes`` those of the distinct
+    values while there are at most EXACT, and empty with ``overflow`` beyond.
+    """
     idx, rank = registers(F.col("value"))
-    cells = rows.select(*keys, idx.alias("idx"), rank.alias("rank"), X.hash64_hex(F.col("value")).alias("hash")).distinct()
-    return cells
+    cells = rows.select(*keys, idx.alias("idx"), rank.alias("rank"), F.conv(X.hash64_hex(F.col("value")), 16, -10).cast("long").alias("hash")).distinct()
+    ranks = [F.max(F.when(F.col("idx") == i, F.col("rank"))) for i in range(REGISTERS)]
+    return _state(cells.groupBy(*keys).agg(_packed(ranks).alias("registers"), F.lit(False).alias("overflow")), cells, keys)
+
+
+def merge_sketches(states: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """One state of each key from all of its ``states``, in any order and grouping."""
+    rank = lambda i: F.conv(F.hex(F.substring("registers", i + 1, 1)), 16, 10).cast("int")
+    largest = states.groupBy(*keys).agg(_packed([F.max(rank(i)) for i in range(REGISTERS)]).alias("registers"), F.max("overflow").alias("overflow"))
+    return _state(largest, states.select(*keys, F.explode("hashes").alias("hash")), keys)
+
+
+def _packed(ranks: list[Column]) -> Column:
+    """Ranks (null is zero) as one byte each."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.coalesce(r, F.lit(0))), 2, "0") for r in ranks)))
+
+
+def _state(largest: DataFrame, hashes: DataFrame, keys: list[str]) -> DataFrame:
+    """States with the distinct hashes; of a key no more than one beyond EXACT are gathered."""
+    w = W.partitionBy(*keys).orderBy("hash")
+    few = hashes.select(*keys, "hash").distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= EXACT + 1)
+    few = few.groupBy(*keys).agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    out = largest.join(few, keys, "left")
+    over = F.col("overflow") | (F.coalesce(F.size("hashes"), F.lit(0)) > EXACT)
+    none = F.expr("cast(array() as array<bigint>)")
+    return out.select(*keys, "registers", F.when(over, none).otherwise(F.coalesce("hashes", none)).alias("hashes"), over.alias("overflow"))
+
+
+def sketched(states: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """The number of distinct values of each key's state: exact without overflow, else the estimate."""
+    ranks = F.transform(F.sequence(F.lit(1), F.lit(REGISTERS)), lambda i: F.conv(F.hex(F.substring(F.col("registers"), i, F.lit(1))), 16, 10).cast("int"))
+    rows = states.withColumn("_ranks", ranks)
+    total = F.aggregate("_ranks", F.lit(0.0), lambda a, r: a + F.pow(F.lit(2.0), -r))
+    guess = estimate(total, F.size(F.filter("_ranks", lambda r: r == 0)))
+    return rows.select(*keys, F.when(F.col("overflow"), guess).otherwise(F.size("hashes").cast("long")).alias("observed"))
 
 
 def merge_cardinality(a: DataFrame, b: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Estimate of each key over two sketches."""
-    cells = a.select(*keys, "idx", "rank", "hash").union(b.select(*keys, "idx", "rank", "hash")).distinct()
-    by = cells.groupBy(*keys, "idx").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("values"))
-    out = by.groupBy(*keys).agg(F.sum("values").alias("_d"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("_s"), F.count(F.lit(1)).alias("_used"))
-    guess = estimate(F.col("_s") + (REGISTERS - F.col("_used")), REGISTERS - F.col("_used"))
-    return out.select(*keys, F.when(F.col("_d") <= EXACT, F.col("_d")).otherwise(guess).alias("observed"))
+    """Distinct values of each key over two sketches."""
+    return sketched(merge_sketches(a.unionByName(b), keys), keys)
 
 
 def project(observed: Column, samples: Column, first_seen: Column, now: Column) -> Column:

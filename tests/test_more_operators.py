@@ -129,3 +129,76 @@ def test_slices_equal_plain_windows(spark):
             kept.setdefault(r.source, []).append((r.at, r.event_id))
     got = folds.throttle(df.select("tenant_id", "source", "event_time", "event_id"), ["tenant_id", "source"]).collect()
     assert sorted(r.event_id for r in got) == sorted(e for ks in kept.values() for _, e in ks)
+
+
+def test_sketches_are_small_and_merge_in_any_order(spark):
+    from obsflow.operators import cardinality as K
+
+    rows = spark.range(6000).select(F.when(F.col("id") < 5000, "many").when(F.col("id") < 5900, "few").otherwise("one").alias("k"), F.when(F.col("id") < 5000, F.col("id")).when(F.col("id") < 5900, F.col("id") % 16).otherwise(7).cast("string").alias("value"), (F.col("id") % 3).alias("part"))
+    parts = [K.sketch(rows.where(F.col("part") == i), ["k"]) for i in range(3)]
+    whole = sorted(map(tuple, K.sketch(rows, ["k"]).collect()))
+    a, b, c = parts
+    for merged in (K.merge_sketches(a.union(b).union(c), ["k"]), K.merge_sketches(K.merge_sketches(c.union(a), ["k"]).union(b), ["k"]), K.merge_sketches(b.union(b).union(K.merge_sketches(a.union(c), ["k"])), ["k"])):
+        assert sorted(map(tuple, merged.collect())) == whole
+    assert [(k, len(r), len(h), over) for k, r, h, over in whole] == [("few", 64, 16, False), ("many", 64, 0, True), ("one", 64, 1, False)]
+    got = {r.k: r.observed for r in K.sketched(K.merge_sketches(a.union(b).union(c), ["k"]), ["k"]).collect()}
+    assert got["few"] == 16 and got["one"] == 1 and abs(got["many"] - 5000) < 1500
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+@pytest.mark.parametrize("least", [0.0, 0.05, 0.4, 0.7])
+def test_similar_sets_equal_all_pairs(spark, least):
+    from obsflow.operators import evidence as E
+
+    rng = random.Random(2)
+    own = {}
+    for i in range(60):
+        t = "t" if i % 5 else "u"
+        own[t, f"i{i:02d}"] = {f: frozenset(rng.sample(words, rng.randrange(0, 4))) for f, words in (("source", "abcd"), ("type", "efghij"), ("hypothesis", "klm"), ("change", [f"v{n}" for n in range(30)]))}
+    own["t", "j0"] = own["t", "i01"]
+    own = {k: v for k, v in own.items() if any(v.values())}
+    feats = spark.createDataFrame([(t, i, f, x) for (t, i), fs in own.items() for f, xs in fs.items() for x in xs], "tenant_id string, incident_id string, family string, feature string")
+    sets = E.feature_sets(feats)
+    first = {}
+    for (t, i), fs in sorted(own.items()):
+        first.setdefault((t, tuple(sorted(fs.items()))), i)
+    assert {(r.tenant_id, r.incident_id): r.set for r in sets.collect()} == {(t, i): first[t, tuple(sorted(fs.items()))] for (t, i), fs in own.items()}
+    want = {}
+    for t, a in ((t, a) for (t, a) in own if first[t, tuple(sorted(own[t, a].items()))] == a):
+        for b in (b for (u, b) in own if u == t and a < b and first[t, tuple(sorted(own[t, b].items()))] == b):
+            v = round(round(sum(w * jaccard(own[t, a][f], own[t, b][f]) for f, w in E.WEIGHTS.items()), 9) + 1e-12, 3)
+            if v > 0 and v >= least:
+                want[t, a, b] = v
+    got = {(r.tenant_id, r.left, r.right): r.similarity for r in E.similar_sets(sets, least).collect()}
+    assert got == pytest.approx(want) and got
+
+
+def test_a_dense_incident_keeps_its_change_hypothesis(spark):
+    from obsflow.operators import evidence as E
+
+    rows = [(f"e{i:05d}", T0 + dt.timedelta(seconds=i / 5), "s", "request", "c", {}) for i in range(3100)]
+    rows += [("d", T0 + dt.timedelta(seconds=1.05), "s", "deploy", None, {"version": "v1"}), ("x", T0 + dt.timedelta(seconds=9.05), "s", "x.error", None, {})]
+    ev = spark.createDataFrame(rows, "event_id string, event_time timestamp, source string, event_type string, correlation_id string, tags map<string,string>")
+    ev = ev.select(F.lit("t").alias("tenant_id"), F.lit("i").alias("incident_id"), "*", F.lit(None).cast("double").alias("metric_value"), F.lit(None).cast("string").alias("metric_unit"), F.lit("{}").alias("payload"))
+    inc = spark.createDataFrame([("t", "i")], "tenant_id string, incident_id string")
+    nodes, edges = E.evidence_graph(inc, ev, cap=2000)
+    assert edges.where("relation != 'captured-in'").count() == 2000 and edges.where("relation = 'change-precedes-error'").count() == 0
+    nodes, edges = E.evidence_graph(inc, ev, cap=None)
+    assert "recent-change-associated" in {r.hypothesis for r in E.hypotheses(nodes, edges).collect()}
+    assert {r.finding: r.support for r in E.investigate(edges).collect()} == {"recent-change-associated": 1}
+    assert edges.where("relation = 'shared-correlation'").count() == 3099 and edges.where("reason is null or assessment is null").count() == 0
+    row = nodes.where("id = 'event:d'").first()
+    assert (row.kind, row.label, dict(row.attributes), row.event_time) == ("change", "s · deploy", {"version": "v1"}, rows[-2][1])
+
+
+def test_of_repeated_captures_the_earliest_in_the_window_is_frozen(spark):
+    from obsflow.operators import evidence as E
+
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    inc = spark.createDataFrame([("t", "i", at(0), at(100)), ("t", "j", at(50), at(200)), ("u", "k", at(0), at(100))], "tenant_id string, incident_id string, frozen_from timestamp, frozen_to timestamp")
+    caps = spark.createDataFrame([("t", "a", at(s), s) for s in (-10, 20, 20, 60, 150, 300)] + [("t", "b", at(100), 100), ("u", "a", at(60), 60)], "tenant_id string, event_id string, captured_at timestamp, s long")
+    got = {(r.incident_id, r.event_id): r.s for r in E.freeze(inc, caps).collect()}
+    assert got == {("i", "a"): 20, ("i", "b"): 100, ("j", "a"): 60, ("j", "b"): 100, ("k", "a"): 60} and E.freeze(inc, caps).count() == 5
