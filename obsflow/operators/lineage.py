@@ -16,28 +16,44 @@ def _sha(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+#: Leaves of a subtree that one aggregate folds, as a power of two.
+SUBTREE_BITS = 12
+
+
+def _folded(nodes: Column, levels: Column) -> Column:
+    """An array of nodes ``levels`` levels up: SHA-256 of pairs, an odd last one paired with itself."""
+
+    def up(row: Column) -> Column:
+        digest = lambda i: F.sha2(F.concat(F.unhex(row[2 * i]), F.unhex(row[F.least(2 * i + 1, F.size(row) - 1)])), 256)
+        return F.transform(F.sequence(F.lit(0), F.shiftright(F.size(row) - 1, 1)), digest)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SUBTREE_BITS)), nodes, lambda row, k: F.when(k <= levels, up(row)).otherwise(row))
+
+
 def merkle_root(df: DataFrame, keys: list[str], order: list[str], leaf: str) -> DataFrame:
     """Root of each group's ordered leaves (hex digests): SHA-256 of pairs, an odd last one paired with itself.
 
-    A round halves every group; the largest group sets the number of rounds.
+    A round folds whole subtrees of 2^SUBTREE_BITS nodes, each in one aggregate, so
+    a million leaves take two. A group that fits one subtree ends at its own height.
     """
     if dict(df.dtypes)[order[0]] == "timestamp" and len(order) == 2:
         rows = numbered(df, keys, *order, "_i")
     else:
         rows = df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    rows = rows.select(*keys, (F.col("_i") - 1).cast("long").alias("_i"), F.col(leaf).alias("root"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(sizes, keys)
-    most = rows.agg(F.max("_n")).collect()[0][0] or 0
-    while most > 1:
-        pair = F.sort_array(F.collect_list(F.struct("_i", "root")))
-        rows = rows.groupBy(*keys, "_n", F.floor(F.col("_i") / 2).alias("_i")).agg(pair.alias("_p"))
-        a, b = F.element_at("_p", 1)["root"], F.element_at("_p", -1)["root"]
-        # A finished group of one leaf stays as it is.
-        rows = rows.select(*keys, F.ceil(F.col("_n") / 2).alias("_m"), "_n", "_i", F.when(F.col("_n") == 1, a).otherwise(F.sha2(F.concat(F.unhex(a), F.unhex(b)), 256)).alias("root"))
-        rows = rows.select(*keys, "_i", "root", F.col("_m").alias("_n"))
-        most = -(-most // 2)
-    return rows.select(*keys, "root")
+    rows = rows.select(*keys, (F.col("_i") - 1).cast("long").alias("_i"), F.col(leaf).alias("_root"), F.col(leaf).alias("_node"))
+    most = rows.agg(F.max("_i")).collect()[0][0] or 0
+    while most > 0:
+        found = F.sort_array(F.collect_list(F.struct("_i", "_root", "_node"))).alias("_found")
+        rows = rows.groupBy(*keys, F.shiftright("_i", SUBTREE_BITS).alias("_i")).agg(found)
+        n = F.size("_found")
+        levels = F.when(n > 1, F.length(F.bin((n - 1).cast("long")))).otherwise(0)
+        rows = rows.withColumn("_levels", levels).withColumn("_own", _folded(F.transform("_found", lambda x: x["_node"]), F.col("_levels"))[0])
+        # A lone first subtree is a finished group's root; all others go up to the height of a whole subtree.
+        lone = (n == 1) & (F.col("_i") == 0)
+        whole = _folded(F.array("_own"), SUBTREE_BITS - F.col("_levels"))[0]
+        rows = rows.select(*keys, "_i", F.when(lone, F.col("_found")[0]["_root"]).otherwise(F.col("_own")).alias("_root"), whole.alias("_node"))
+        most >>= SUBTREE_BITS
+    return rows.select(*keys, F.col("_root").alias("root"))
 
 
 def seal_records(ev: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

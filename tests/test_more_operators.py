@@ -202,3 +202,19 @@ def test_of_repeated_captures_the_earliest_in_the_window_is_frozen(spark):
     caps = spark.createDataFrame([("t", "a", at(s), s) for s in (-10, 20, 20, 60, 150, 300)] + [("t", "b", at(100), 100), ("u", "a", at(60), 60)], "tenant_id string, event_id string, captured_at timestamp, s long")
     got = {(r.incident_id, r.event_id): r.s for r in E.freeze(inc, caps).collect()}
     assert got == {("i", "a"): 20, ("i", "b"): 100, ("j", "a"): 60, ("j", "b"): 100, ("k", "a"): 60} and E.freeze(inc, caps).count() == 5
+
+
+def test_merkle_roots_over_many_subtrees(spark):
+    import hashlib
+
+    from obsflow.operators import lineage
+
+    sizes = {"one": 1, "two": 2, "odd": 7, "full": 4096, "next": 4097, "many": 9001}
+    rows = [(g, i, hashlib.sha256(f"{g}{i}".encode()).hexdigest()) for g, n in sizes.items() for i in range(n)]
+    random.Random(1).shuffle(rows)
+    got = {r.g: r.root for r in lineage.merkle_root(spark.createDataFrame(rows, "g string, i int, leaf string"), ["g"], ["i"], "leaf").collect()}
+    for g, n in sizes.items():
+        nodes = [hashlib.sha256(f"{g}{i}".encode()).digest() for i in range(n)]
+        while len(nodes) > 1:
+            nodes = [hashlib.sha256(nodes[i] + nodes[min(i + 1, len(nodes) - 1)]).digest() for i in range(0, len(nodes), 2)]
+        assert got[g] == nodes[0].hex(), g
