@@ -35,13 +35,19 @@ def detect_incidents(df: DataFrame, latency_ms: float = 1000.0, errors: int = 5,
     slow = X.high_latency(latency_ms)
     burst = ~slow & X.is_error() & (F.col("recent_errors") >= errors)
     rows = rows.withColumn("category", F.when(slow, "latency").when(burst, "errors")).where("category is not null")
-    reason = F.when(slow, F.concat(F.lit("latency threshold breached: "), X.one_decimal(F.col("metric_value")), F.lit(f"ms >= {latency_ms:.1f}ms"))).otherwise(F.concat(F.lit("error threshold breached: "), F.col("recent_errors").cast("string"), F.lit(f" errors within {X.duration_text(window)}")))
-    rows = rows.select("tenant_id", "source", "category", "event_time", "event_id", reason.alias("reason"))
+    rows = rows.select("tenant_id", "source", "category", "event_time", "event_id", "metric_value", "recent_errors")
     rows = spaced(rows, ["tenant_id", "source", "category"], "event_time", "event_id", cooldown)
+    return as_incidents(rows, latency_ms, window, lookback)
+
+
+def as_incidents(rows: DataFrame, latency_ms: float = 1000.0, window: int = 60, lookback: int = 900) -> DataFrame:
+    """Incidents of the events that trigger them: tenant_id, source, category, event_time, event_id, metric_value, recent_errors."""
+    slow = F.concat(F.lit("latency threshold breached: "), X.one_decimal(F.col("metric_value")), F.lit(f"ms >= {latency_ms:.1f}ms"))
+    burst = F.concat(F.lit("error threshold breached: "), F.col("recent_errors").cast("string"), F.lit(f" errors within {X.duration_text(window)}"))
     at = F.col("event_time")
     return rows.select(
         "tenant_id", F.concat(F.lit("AUTO-"), F.unix_millis(at).cast("string"), F.lit("-"), X.slug(F.col("source")), F.lit("-"), "category").alias("incident_id"),
-        F.concat(F.lit("Automatic incident: "), "source").alias("title"), "source", "category", "reason", (at - _seconds(lookback)).alias("frozen_from"), at.alias("frozen_to"), "event_id",
+        F.concat(F.lit("Automatic incident: "), "source").alias("title"), "source", "category", F.when(F.col("category") == "latency", slow).otherwise(burst).alias("reason"), (at - _seconds(lookback)).alias("frozen_from"), at.alias("frozen_to"), "event_id",
     )
 
 
