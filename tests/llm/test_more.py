@@ -276,3 +276,45 @@ def test_a_conversation_of_many_turns(spark):
     assert time.time() - begun < 30
     assert [t.text for t in row.parsed] == [f"text <| {t}" for t in range(20_000)]
     assert all(row.formatted[t.at : t.at + t.chars].replace("<\\|", "<|") == t.text for t in row.parsed[::777])
+
+
+# Language identification
+
+
+def test_language_id_equals_a_plain_bayes(spark):
+    import math
+    from collections import Counter
+
+    from obsflow.llm import langid
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+
+    def grams(text):
+        points = [ord(c) for c in text.lower() + " "]
+        for order in (1, 2, 3):
+            for i in range(len(points) - order + 1):
+                h = order
+                for p, m in zip(points[i : i + order], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=False):
+                    h = (h ^ p) * m % 2**32
+                    h ^= h >> 15
+                yield h % 2**14
+
+    counts = {}
+    for doc_id, text, lang in docs:
+        if text is not None and lang is not None and zlib.crc32(str(doc_id).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    sums = {lang: sum(c.values()) + 0.5 * 2**14 for lang, c in counts.items()}
+    got = {r.doc_id: r for r in langid.op5_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for doc_id, text, _ in docs:
+        r = got[doc_id]
+        assert r.held_out == (zlib.crc32(str(doc_id).encode()) % 5 == 0)
+        if not any(map(str.isalpha, text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        own = Counter(grams(text))
+        logs = {lang: sum(n * math.log((c[g] + 0.5) / sums[lang]) for g, n in own.items()) for lang, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        # The model also counts the few n-grams that reach from one text into the next.
+        assert r.lang_pred == best and abs(r.score - 1 / sum(math.exp(x - logs[best]) for x in logs.values())) < 0.02
