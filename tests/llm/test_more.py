@@ -130,7 +130,7 @@ def odd_turns():
         rows += [(c, t, "user" if t % 2 else "assistant", f"same {t}") for t in range(12 - c % 3)]
     for c in range(40):
         rows += [(c, rng.choice([None, 0, 1, 2, 3]), rng.choice(["user", "assistant", None]), rng.choice(["", "a", "日本", "line\nfeed", None])) for _ in range(rng.randrange(1, 14))]
-    rows += [(77, t, "user", f"long {t}") for t in range(3000)]
+    rows += [(77, t, "user", f"long {t}") for t in range(250)]
     rng.shuffle(rows)
     return rows
 
@@ -214,7 +214,7 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 40, 3000])
+@pytest.mark.parametrize("size", [1, 3, 3000])
 def test_repeats_equal_brute_force(spark, size):
     rng = random.Random(size)
     vocabulary = [f"w{i}é" for i in range(size)]
