@@ -113,6 +113,11 @@ def states(described: DataFrame, by: list[str]) -> DataFrame:
     return described.groupBy(key, *KEY, *by, "fields").agg(F.count(F.lit(1)).alias("n"), F.min(_at()).alias("born"), F.max(_at()).alias("last")).drop("_hash")
 
 
+def merge_states(found: DataFrame) -> DataFrame:
+    """One state of each group and set of fields from those of several batches."""
+    return found.groupBy(*KEY, "fields").agg(F.sum("n").alias("n"), F.min("born").alias("born"), F.max("last").alias("last"))
+
+
 def _by_path(found: DataFrame, by: list[str]) -> DataFrame:
     """States of each path and type: n, born, last."""
     rows = found.select(*KEY, *by, F.explode("fields").alias("_f"), "n", "born", "last")
@@ -128,7 +133,11 @@ def _by_field(kinds: DataFrame) -> DataFrame:
 
 def schema_registry(described: DataFrame) -> DataFrame:
     """State of each path of each version: first type, seen and conflict counts, required, first and last seen."""
-    found = stage(states(described, []), "schema-sets")
+    return registry_of(stage(states(described, []), "schema-sets"))
+
+
+def registry_of(found: DataFrame) -> DataFrame:
+    """The registry from :func:`states`, of one table or of several batches."""
     out = _by_field(_by_path(found, []))
     out = out.withColumn("_k", F.row_number().over(W.partitionBy(*KEY).orderBy("born", "path"))).where(F.col("_k") <= MOST_PATHS)
     out = out.select(*KEY, "path", "type", "seen", (F.col("seen") - F.col("first_type_seen")).alias("conflicts"), F.col("born.event_time").alias("first_seen"), F.col("last.event_time").alias("last_seen"))
