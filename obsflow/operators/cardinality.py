@@ -155,9 +155,14 @@ def running_hll(rows: DataFrame, keys: list[str], value: str = "value") -> DataF
 
 def observe(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Adds observed and projected after each event."""
+    return _judged(_running(rows, keys))
+
+
+def _running(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds exact, sketched, and how many events of the key there were and since when."""
     so_far = W.partitionBy(*keys).orderBy("event_time", "event_id").rowsBetween(W.unboundedPreceding, 0)
     rows = running_hll(running_distinct(rows, keys), keys)
-    return _judged(rows.withColumn("_samples", F.count(F.lit(1)).over(so_far)).withColumn("_since", F.min("event_time").over(so_far)))
+    return rows.withColumn("_samples", F.count(F.lit(1)).over(so_far)).withColumn("_since", F.min("event_time").over(so_far))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -172,7 +177,12 @@ ORDER = ["event_time", "event_id"]
 
 
 def observe_sliced(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """What :func:`observe` adds, for keys with many events in an hour.
+    """What :func:`observe` adds, for keys with many events in an hour."""
+    return _judged(_running_sliced(rows, keys))
+
+
+def _running_sliced(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What :func:`_running` adds, by slices of time.
 
     Every running figure is its value at the begin of a slice of time and what
     the slice adds. What a slice begins with comes from tables by key and slice,
@@ -200,20 +210,32 @@ def observe_sliced(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
     rows = rows.withColumns({f"{c}_i": F.sum(c).over(so_far) for c in sums}).join(starts, [*keys, "_slice"])
     of = lambda c: F.col(f"{c}_s") + F.col(f"{c}_i")
     rows = rows.withColumns({"exact": of("_first"), "sketched": estimate(REGISTERS + of("_ds"), REGISTERS - of("_dz")), "_samples": of("_one")})
-    return _judged(rows).drop("_slice", *sums, *(f"{c}_{x}" for c in sums for x in "is"))
+    return rows.drop("_slice", *sums, *(f"{c}_{x}" for c in sums for x in "is"))
 
 
 def observed(df: DataFrame) -> DataFrame:
     """Tag rows with observed and projected; hours with many events of one kind are counted in slices."""
+    return _judged(_counted(df))
+
+
+def running(df: DataFrame) -> DataFrame:
+    """Tag rows with ``exact`` and ``sketched``, the distinct values of their hourly key up to and with each event.
+
+    As :func:`running_distinct` and :func:`running_hll`, with hours of many events in slices.
+    """
+    return _counted(df).drop("_samples", "_since")
+
+
+def _counted(df: DataFrame) -> DataFrame:
     hour = [*KEY[:3], F.date_trunc("hour", "event_time").alias("hour")]
     # An event has each dimension once, so no key has more rows than its hour has events.
     hot = df.groupBy(*hour).count().where(F.col("count") > HOT).select(*KEY[:3], "hour")
     if not hot.limit(1).count():
-        return observe(tag_rows(df))
+        return _running(tag_rows(df), KEY)
     on = [*KEY[:3], "hour"]
     marked = df.withColumn("hour", F.date_trunc("hour", "event_time"))
     cool, rest = (marked.join(hot, on, how).select(*df.columns) for how in ("left_anti", "left_semi"))
-    return observe(tag_rows(cool)).unionByName(observe_sliced(tag_rows(rest)))
+    return _running(tag_rows(cool), KEY).unionByName(_running_sliced(tag_rows(rest), KEY))
 
 
 def decisions(df: DataFrame, policy: Policy) -> DataFrame:

@@ -28,12 +28,12 @@ HKEY = ["tenant_id", "source", "event_type", "dimension"]
 
 @query(f"with {RUN} select event_id, k dimension, exact from r2")
 def w1_running_distinct(spark, sf_dir):
-    return K.running_distinct(K.tag_rows(events(spark, sf_dir)), K.KEY).select("event_id", "dimension", "exact")
+    return K.running(events(spark, sf_dir)).select("event_id", "dimension", "exact")
 
 
 @query(f"with {RUN} select event_id, k dimension, sketched from r3")
 def w2_running_hll(spark, sf_dir):
-    return K.running_hll(K.tag_rows(events(spark, sf_dir)), K.KEY).select("event_id", "dimension", "sketched")
+    return K.running(events(spark, sf_dir)).select("event_id", "dimension", "sketched")
 
 
 HOURLY = f"""tr as (select tenant_id, source, event_type, event_time, k, v, date_trunc('hour', event_time) hr from tg), {REG.replace('ROWS', 'tr')},

@@ -11,7 +11,7 @@ from obsflow.operators import replay as P
 from obsflow.operators import schemas as S
 from obsflow.plans.basic import POLICY, SHADOW, query
 from obsflow.plans.control import ACT, RUN
-from obsflow.plans.incident import CAND, EDGE, FZ, GBASE, GFULL, frozen, markers, near_markers
+from obsflow.plans.incident import CAND, EDGE, FZ, GBASE, GFULL, MK, NEAR, frozen, markers, near_markers
 from obsflow.plans.views import ERR, TAGS, events
 from obsflow.sources import export, ingest
 from obsflow.staging import stage
@@ -385,7 +385,14 @@ def whole_bundle(spark, sf_dir):
     return L.bundle(inc, members, by_pair, markers(spark, sf_dir))
 
 
-@query()
+#: DuckDB: rows of every member; replays and costs have one row of each incident with events.
+_COUNTED = " union all ".join(f"select tenant_id, incident_id, '{member}' member, count(*) \"rows\" from {rows} group by all" for member, rows in (
+    ("events", "fz"), ("incidents", "inc"), ("changes", "nr"), ("schemas", "pr join rg using (tenant_id, source, event_type)"), ("drifts", "pr join dr using (tenant_id, source, event_type)"),
+    ("replays", "(select distinct tenant_id, incident_id from fz)"), ("costs", "(select distinct tenant_id, incident_id from fz)"),
+))
+
+
+@query(f"with {CAND}, {FZ}, {MK}, {NEAR}, {DRIFT}, pr as (select distinct tenant_id, incident_id, source, event_type from fz) {_COUNTED}")
 def s17_bundle_all(spark, sf_dir):
     out = None
     for name, df in sorted(whole_bundle(spark, sf_dir).items()):

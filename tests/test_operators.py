@@ -154,8 +154,10 @@ def test_slices_of_a_hot_hour_change_nothing(spark, monkeypatch):
     rows = [(f"e{i:04d}", rng.randrange(0, 40), "x" if i % 4 else "y", None, {"user_id": str(rng.randrange(60)), "k": str(i % 7)}) for i in range(600)]
     policy = Policy("p", "1", 12, "drop_tag", ("user_id",))
     ask = lambda: sorted(tuple(r) for r in cardinality.decisions(events(spark, rows), policy).select("event_id", "dimension", "observed", "projected", "act", "reason").fillna("").collect())
-    plain = ask()
+    counts = lambda: sorted(tuple(r) for r in cardinality.running(events(spark, rows)).select("event_id", "dimension", "exact", "sketched").collect())
+    plain, running = ask(), counts()
     monkeypatch.setattr(cardinality, "HOT", 200)
+    assert counts() == running and len(running) == 1200
     assert ask() == plain and len({r[2] for r in plain}) > 20
 
 
