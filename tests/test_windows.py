@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from obsflow.operators import evidence, replay, windows
+from obsflow.operators import cardinality, evidence, replay, windows
 from obsflow.plans import records
 from obsflow.schema import CardinalityRule, Policy
 
@@ -46,3 +46,17 @@ def test_replay_queries_take_each_event_twice_at_most(spark, monkeypatch):
     records.a12_replay_totals(spark, "/root/testdata/sf0.01")
     sizes = dict(seen)["group-sizes"].agg({"count": "sum"}).collect()[0][0]
     assert sizes <= 2 * 10_000
+
+
+def test_firewall_deals_tags_once_to_tasks_of_bounded_size(spark, monkeypatch):
+    """One exchange by the hourly key, whose partitions grow in number with the events, serves all windows."""
+    monkeypatch.setattr(cardinality, "DEALT", 50)
+    _, captures = _inputs(spark)
+    rows = cardinality.observed(captures)
+    assert rows.rdd.getNumPartitions() == -(-captures.count() // 50)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    same = ["tenant_id", "event_id", "dimension", "event_time", "observed", "projected"]
+    by_key = cardinality.observe(cardinality.tag_rows(captures.dropDuplicates(["event_id"])))
+    at_once = cardinality.observed(captures.dropDuplicates(["event_id"]))
+    assert sorted(map(tuple, at_once.select(*same).collect())) == sorted(map(tuple, by_key.select(*same).collect()))
