@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from obsflow.operators import cardinality as K
 from obsflow.operators import schemas as S
+from obsflow.operators.numbering import numbered_in
 from obsflow.plans.basic import ORACLES, query
 from obsflow.plans.records import VERSION
 from obsflow.plans.views import events
@@ -75,9 +76,14 @@ def _topic(spark, sf_dir) -> str:
     return path
 
 
+#: Offsets in which a key's records are numbered together.
+BLOCK = 50_000
+
+
 def _in_order(records):
-    """Records with their place in their key, by offset."""
-    return records.selectExpr("key", "get_json_object(value, '$.event_id') event_id", "row_number() over (partition by key order by partition, offset) nth")
+    """Records with their place in their key, by offset; a key lies in one partition, which is numbered in blocks."""
+    rows = records.selectExpr("key", "get_json_object(value, '$.event_id') event_id", "offset", f"floor(offset / {BLOCK}) _bin")
+    return numbered_in(rows, ["key"], ["offset"], "nth").select("key", "event_id", "nth")
 
 
 @query(ORDERED)

@@ -9,7 +9,8 @@ number may read it, each under a ``group`` of its own.
 ``spark.dataSource.register(TopicSource)`` makes the format ``obsflow-topic`` known.
 Options: ``path`` (shared by the whole cluster, read and written through pyarrow's
 file systems); ``batch`` (when writing: the micro-batch's id; a repeated batch
-leaves what is there); ``group``, ``limit`` (records of a partition that a
+leaves what is there); ``ordered`` (when writing: the order of tasks is that of a
+partition's records, as :func:`topic_rows` lays them out); ``group``, ``limit`` (records of a partition that a
 micro-batch takes, 0 for all) and ``startingOffsets`` (``earliest``, or
 ``committed`` to go on where the group's last query had ended) when a stream reads.
 """
@@ -17,6 +18,7 @@ micro-batch takes, 0 for all) and ``startingOffsets`` (``earliest``, or
 from __future__ import annotations
 
 import json
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -33,6 +35,8 @@ _SEGMENT = re.compile(r"(\d{20})-(\d+)-b(-?\d+)\.parquet")
 _RECORD = pa.schema([("key", pa.string()), ("value", pa.string())])
 #: Rows of a written row group, and of a batch that is read.
 ROWS = 4096
+#: Records that a task sorts for writing, and offsets that a task reads.
+DEALT = 100_000
 
 
 @dataclass(frozen=True)
@@ -67,7 +71,14 @@ class Topic:
         return self.fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
 
     def segments(self) -> dict[int, list[Segment]]:
-        """Segments of each partition, in order."""
+        """Segments of each partition, in order, up to the first gap.
+
+        A batch's segments are moved into place from the last to the first, so they count all at once.
+        """
+        return {p: _gapless(held) for p, held in self.files().items()}
+
+    def files(self) -> dict[int, list[Segment]]:
+        """Segments of each partition, in order, also those of a batch that was cut short."""
         found = {}
         for folder in self._list(self.root):
             if not folder.base_name.startswith("partition="):
@@ -105,7 +116,9 @@ class Topic:
                     at = s.end
                 if at < hi:
                     raise ValueError(f"partition {p} lacks offset {at}")
-                out.append(Slice(p, lo, hi, inside))
+                for a in range(lo, hi, DEALT):
+                    b = min(a + DEALT, hi)
+                    out.append(Slice(p, a, b, [s for s in inside if s.end > a and s.first < b]))
         return out
 
     def records(self, part: Slice) -> Iterator[pa.RecordBatch]:
@@ -121,8 +134,18 @@ class Topic:
                     at += batch.num_rows
 
 
+def _gapless(held: list[Segment]) -> list[Segment]:
+    end, out = 0, []
+    for s in held:
+        if s.first != end:
+            break
+        out.append(s)
+        end = s.end
+    return out
+
+
 class TopicReader(DataSourceReader):
-    """A whole topic, one task for each partition."""
+    """A whole topic, in tasks of DEALT offsets."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -191,7 +214,7 @@ class TopicWriter(DataSourceArrowWriter):
     """Tasks stage a file for each of their partitions; the driver gives offsets and moves the files into place."""
 
     def __init__(self, options: dict):
-        self.path, self.batch = options["path"], int(options.get("batch", -1))
+        self.path, self.batch, self.ordered = options["path"], int(options.get("batch", -1)), options.get("ordered", "false") == "true"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         topic, files = Topic(self.path), {}
@@ -211,17 +234,28 @@ class TopicWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         topic, held = Topic(self.path), Topic(self.path).segments()
-        files = sorted(f for m in messages if m for f in m.files)
-        if len({p for p, _, _ in files}) < len(files):
+        # Messages come in the order of the tasks.
+        files = [f for m in messages if m for f in m.files]
+        if not self.ordered and len({p for p, _, _ in files}) < len(files):
             self.abort(messages)
-            raise ValueError("records of a partition come from several tasks; use topic_rows")
-        for p, path, n in files:
-            before = held.get(p, [])
+            raise ValueError("records of a partition come from several tasks; use topic_rows and write_topic")
+        for p in {p for p, _, _ in files}:
+            before, mine = held.get(p, []), [(path, n) for q, path, n in files if q == p]
             if self.batch >= 0 and any(s.batch == self.batch for s in before):
-                topic.fs.delete_file(path)
+                for path, _ in mine:
+                    topic.fs.delete_file(path)
                 continue
             topic.fs.create_dir(f"{topic.root}/partition={p}")
-            topic.fs.move(path, f"{topic.root}/partition={p}/{before[-1].end if before else 0:020d}-{n}-b{self.batch}.parquet")
+            at = before[-1].end if before else 0
+            for s in topic.files().get(p, []):
+                if s.first >= at:  # left by a batch that was cut short
+                    topic.fs.delete_file(s.path)
+            placed = []
+            for path, n in mine:
+                placed.append((path, f"{topic.root}/partition={p}/{at:020d}-{n}-b{self.batch}.parquet"))
+                at += n
+            for path, place in reversed(placed):
+                topic.fs.move(path, place)
 
     def abort(self, messages: list[Written | None]) -> None:
         topic = Topic(self.path)
@@ -250,15 +284,16 @@ class TopicSource(DataSource):
 
 
 def topic_rows(rows: DataFrame, partitions: int, order: list[str]) -> DataFrame:
-    """(key, value) rows laid out for writing: a key in one partition, a partition in one task, in order there."""
+    """(key, value) rows laid out for writing: a key in one partition, and partitions one after the other, in order, over tasks of DEALT records."""
     placed = rows.withColumn("partition", F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"))
-    return placed.repartition(partitions, "partition").sortWithinPartitions("partition", *order).select("key", "value", "partition")
+    n = max(1, math.ceil(rows.count() / DEALT))
+    return placed.repartitionByRange(n, "partition", *order).sortWithinPartitions("partition", *order).select("key", "value", "partition")
 
 
 def write_topic(rows: DataFrame, path: str, batch_id: int = -1, partitions: int = 8, order: tuple[str, ...] = ("event_time", "event_id")) -> None:
     """Append (key, value) rows in order; with a ``batch_id`` each batch once."""
     rows.sparkSession.dataSource.register(TopicSource)
-    topic_rows(rows, partitions, list(order)).write.format(TopicSource.name()).mode("append").option("path", path).option("batch", batch_id).save()
+    topic_rows(rows, partitions, list(order)).write.format(TopicSource.name()).mode("append").option("path", path).option("batch", batch_id).option("ordered", "true").save()
 
 
 def read_topic(spark, path: str) -> DataFrame:

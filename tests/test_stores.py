@@ -192,3 +192,22 @@ def test_topic_stream_goes_on_after_a_failure(spark, tmp_path):
     done = Topic(path).load("g-done")
     ends = {p: s[-1].end for p, s in Topic(path).segments().items()}
     assert done and all(0 < done[p] <= ends[p] for p in done)
+
+
+def test_topic_partition_is_written_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One key's records are sorted in tasks of bounded size, are there all at once, and a batch that was cut short is written anew."""
+    from obsflow.sources import topics
+
+    monkeypatch.setattr(topics, "DEALT", 100)
+    path = str(tmp_path / "topic")
+    make_topic(spark, path, [(0, [("k", str(i), i) for i in range(999, -1, -1)])])
+    topic = topics.Topic(path)
+    (held,) = [s for s in topic.segments().values() if s]
+    assert len(held) > 5 and max(s.count for s in held) < 300
+    read = topics.read_topic(spark, path)
+    assert [r.value for r in sorted(read.collect(), key=lambda r: r.offset)] == [str(i) for i in range(1000)]
+    # As if the writer had died before the first of its segments was in place.
+    topic.fs.delete_file(held[0].path)
+    assert read.sparkSession.read.format("obsflow-topic").option("path", path).load().count() == 0
+    make_topic(spark, path, [(0, [("k", str(i), i) for i in range(1000)]), (0, [("k", "again", 0)])])
+    assert [r.value for r in sorted(topics.read_topic(spark, path).collect(), key=lambda r: r.offset)] == [str(i) for i in range(1000)]
