@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from obsflow.operators import cardinality, evidence, replay, windows
-from obsflow.plans import records
+from obsflow.plans import records, registry
 from obsflow.schema import CardinalityRule, Policy
 
 T0 = datetime(2024, 1, 1)
@@ -60,3 +60,11 @@ def test_firewall_deals_tags_once_to_tasks_of_bounded_size(spark, monkeypatch):
     by_key = cardinality.observe(cardinality.tag_rows(captures.dropDuplicates(["event_id"])))
     at_once = cardinality.observed(captures.dropDuplicates(["event_id"]))
     assert sorted(map(tuple, at_once.select(*same).collect())) == sorted(map(tuple, by_key.select(*same).collect()))
+
+
+@pytest.mark.parametrize("name", ["d22_evidence_nodes", "d22_evidence_nodes_runs"])
+def test_nodes_make_no_edges(spark, monkeypatch, name):
+    seen, real = [], evidence.stage
+    monkeypatch.setattr(evidence, "stage", lambda df, name: seen.append(name) or real(df, name))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "evidence-facts" in seen and "evidence-edges" not in seen
