@@ -58,3 +58,30 @@ def test_links_are_made_once_for_all_incidents(spark, monkeypatch):
     f = window_graph.event_facts(captures)
     made = [window_graph.source_links(f, window_graph.Windows(x), lambda _: True).count() for x in (inc, many)]
     assert made[0] == made[1]
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+@pytest.mark.parametrize("least", [0.0, 0.35, 0.7, 0.9])
+def test_sets_in_blocks_have_the_links_of_all_pairs(spark, monkeypatch, least, block):
+    monkeypatch.setattr(evidence, "BLOCK", block)
+    rng, rows = random.Random(3), []
+    for i in range(70):
+        some = lambda xs, k: rng.sample(xs, rng.randrange(k + 1))
+        for family, xs, k in (("source", ["s1", "s2", "s3"], 2), ("type", ["a", "b", "c"], 2), ("hypothesis", ["h"], 1), ("change", [f"version:v{n}" for n in range(8, 14)], 2)):
+            rows += [("t", f"i{i:02}", family, x) for x in some(xs, k)]
+    feats = spark.createDataFrame(rows, "tenant_id string, incident_id string, family string, feature string")
+    sets = evidence.feature_sets(feats).localCheckpoint()
+    own = sets.select("tenant_id", "set").distinct()
+    pairs = own.select("tenant_id", F.col("set").alias("left")).join(own.select("tenant_id", F.col("set").alias("right")), "tenant_id").where("left < right")
+    assert _of(evidence.similar_sets(sets, least)) == _of(evidence.compare(feats, pairs).where(F.col("similarity") >= least))
+
+
+def test_a_large_core_is_many_tasks(spark, monkeypatch):
+    """Sets of one core met in one task; now a task gets pairs of blocks, and their number grows with the pairs."""
+    monkeypatch.setattr(evidence, "BLOCK", 16)
+    monkeypatch.setattr(evidence, "PAIRS", 500)
+    feats = spark.range(200).selectExpr("'t' tenant_id", "concat('i', id) incident_id", "explode(array(named_struct('family', 'source', 'feature', 's'), named_struct('family', 'change', 'feature', concat('version:v', id)))) f").select("tenant_id", "incident_id", "f.*")
+    links = evidence.similar_sets(evidence.feature_sets(feats))
+    held = links.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in held) == 200 * 199 // 2
+    assert max(r["count"] for r in held) < 200 * 199 // 8
