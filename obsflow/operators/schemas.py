@@ -62,11 +62,15 @@ def describe(df: DataFrame) -> DataFrame:
 
     Fields are taken in the order metric, tags, payload up to MOST_FIELDS, and
     sorted after that. An event without any has an empty array.
+
+    Describing an event takes far longer than reading it, so events are dealt
+    anew by id: a table of one file would be described by as few tasks as read it.
     """
     name = lambda path, kind: F.struct(F.array(F.lit(path)).alias("keys"), F.lit(kind).alias("type"))
     fixed = F.array_compact(F.array(F.when(F.col("metric_value").isNotNull(), name("metric.value", "number")), F.when(X.filled(F.col("metric_unit")).isNotNull(), name("metric.unit", "string"))))
     tags = F.transform(F.array_sort(F.map_keys("tags")), lambda k: F.struct(F.array(F.concat(F.lit("tags."), k)).alias("keys"), F.lit("string").alias("type")))
     none = F.expr(f"cast(array() as {_FIELD})")
+    df = df.select("event_id", "event_time", *KEY, "schema_url", "metric_value", "metric_unit", "tags", "payload").repartition("event_id")
     rows = df.select("event_id", "event_time", *KEY, "schema_url", F.concat(fixed, F.coalesce(tags, none)).alias("_own"), F.when(F.length("payload") > 0, F.col("payload")).alias("_payload"))
     room = MOST_FIELDS - F.size("_own")
     json = F.when(room > 0, F.expr("try_parse_json(_payload)"))
