@@ -11,8 +11,9 @@ far a run is from random.
 
 Secrets are the discoveries, so the null is that a run is ordinary. What the
 statistic is for ordinary runs is measured, for each length class by itself: on
-a stretch of every document's own words, joined as identifiers are, and on
-identifiers made by a rule, for corpora with few words. A run's p-value is the
+all words of every document, joined as identifiers are and cut without gaps into
+runs of the classes by turns (so each word lies in one run), and on identifiers
+made by a rule, for corpora with few words. A run's p-value is the
 share of those that look as random as it does; Benjamini-Hochberg within the
 length class, over all runs of the corpus, bounds the share of ordinary runs
 among those that are added as ``random``.
@@ -37,6 +38,8 @@ ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 RUN = r"[A-Za-z0-9+/_-]{24,}"
+#: A run as above, or (group 1) a word outside of those.
+WORD = RUN + "|([A-Za-z0-9]+)"
 KINDS = ("assign", "access", "hex", "random")
 #: The order of characters within each encoding's alphabet.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,6 +52,8 @@ ENCODINGS = {
 }
 #: Length classes: lower ends.
 CLASSES = (24, 32, 48, 64, 128)
+#: A stretch of joined words that gives one run to each length class; what is left over makes the last one longer, or one of its own.
+STRETCH = f".{{{sum(CLASSES)}}}(?:.{{1,{CLASSES[0] - 1}}}$)?|.+"
 #: Histogram of the statistic: steps of a tenth in -log10 of its tail, all beyond the last in the last.
 STEPS, LAST = 10, 300
 #: Identifiers made by a rule for each length class.
@@ -94,31 +99,35 @@ def tail_bin(run: Column) -> Column:
     about its middle, and serial correlation at lag one. Their squares add up to
     a chi-squared of four degrees, whose tail is ``exp(-s/2) * (1 + s/2)``.
     """
-    alphabet = F.lit(ENCODINGS["base64"][1])
+    def known(letters: str) -> Column:
+        """Of an alphabet, constants: its size, its share of capitals, and each ASCII character's distance from its middle."""
+        places = [max(letters.find(chr(i)), 0) - (len(letters) - 1) / 2 for i in range(128)]
+        return F.struct(F.lit(float(len(letters))).alias("m"), F.lit(sum(c in UPPER for c in letters) / len(letters)).alias("p"), F.array(*map(F.lit, places)).alias("places"))
+
+    alphabet = known(ENCODINGS["base64"][1])
     for pattern, letters in [*ENCODINGS.values()][-2::-1]:
-        alphabet = F.when(run.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+        alphabet = F.when(run.rlike(pattern), known(letters)).otherwise(alphabet)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
-    def score(lowered: Column, letters: Column, chars: Column, place: Column) -> Column:
-        m, n = F.length(letters).cast("double"), F.length(lowered).cast("double")
-        squares = total(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(lowered, c, F.lit(""))), F.lit(2.0))))
+    def score(lowered: Column, n: Column, of: Column, chars: Column, pairs: Column) -> Column:
+        m, p = of["m"], of["p"]
+        counts = F.transform(F.array_distinct(chars), lambda c: n - F.length(F.replace(lowered, c, F.lit(""))))
+        squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
         uniform = (squares * m / n - n - (m - 1)) / F.sqrt(2 * (m - 1) * (n - 1) / n)
-        pairs = F.zip_with(F.slice(place, F.lit(1), F.size(place) - 1), F.slice(place, F.lit(2), F.size(place)), lambda a, b: a * b)
-        both = F.aggregate(pairs, F.struct(F.lit(0.0).alias("turns"), F.lit(0.0).alias("sum")), lambda a, x: F.struct((a["turns"] + F.when(x < 0, 1.0).otherwise(0.0)).alias("turns"), (a["sum"] + x).alias("sum")))
-        crossing = (both["turns"] - (n - 1) / 2) / (F.sqrt(n - 1) / 2)
-        serial = both["sum"] / ((m * m - 1) / 12) / F.sqrt(n - 1)
-        p = F.length(F.regexp_replace(letters, "[^A-Z]", "")) / m
+        crossing = (F.size(F.filter(pairs, lambda x: x < 0)) - (n - 1) / 2) / (F.sqrt(n - 1) / 2)
+        serial = total(pairs) / ((m * m - 1) / 12) / F.sqrt(n - 1)
         spread = F.sqrt(n * p * (1 - p))
-        capitals = F.when(spread > 0, (F.length(F.regexp_replace(lowered, "[^A-Z]", "")) - n * p) / F.greatest(spread, F.lit(1e-9))).otherwise(0.0)
-        s = sum((z * z for z in (crossing, serial, capitals)), uniform * uniform)
-        log10 = (s / 2 - F.log1p(s / 2)) / F.lit(2.302585092994046)
-        return F.least(F.floor(log10 * STEPS), F.lit(LAST)).cast("int")
+        capitals = F.when(spread > 0, (n - F.length(F.translate(lowered, UPPER, "")) - n * p) / F.greatest(spread, F.lit(1e-9))).otherwise(0.0)
+        log10 = lambda half: (half - F.log1p(half)) / F.lit(2.302585092994046)
+        sum_of_squares = F.aggregate(F.array(uniform, crossing, serial, capitals), F.lit(0.0), lambda a, z: a + z * z)
+        return F.least(F.floor(let(sum_of_squares / 2, log10) * STEPS), F.lit(LAST)).cast("int")
 
     # Each step is bound before the next uses it, so that nothing is worked out again for every character.
-    first = F.struct(F.when(run.rlike(ENCODINGS["hex"][0]), F.lower(run)).otherwise(run).alias("run"), alphabet.alias("letters"))
-    chars = lambda x: F.struct(x.alias("x"), F.split(x["run"], "").alias("chars"), ((F.length(x["letters"]) - 1) / 2).alias("middle"))
-    place = lambda y: F.struct(y.alias("y"), F.transform(y["chars"], lambda c: F.greatest(F.instr(y["x"]["letters"], c), F.lit(1)) - 1 - y["middle"]).alias("place"))
-    return let(let(let(first, chars), place), lambda z: score(z["y"]["x"]["run"], z["y"]["x"]["letters"], z["y"]["chars"], z["place"]))
+    first = F.struct(F.when(run.rlike(ENCODINGS["hex"][0]), F.lower(run)).otherwise(run).alias("run"), F.length(run).cast("double").alias("n"), alphabet.alias("of"))
+    chars = lambda x: F.struct(x.alias("x"), F.split(x["run"], "").alias("chars"))
+    place = lambda y: F.struct(y.alias("y"), let(y["x"]["of"]["places"], lambda at: F.transform(y["chars"], lambda c: F.get(at, F.ascii(c)))).alias("place"))
+    pairs = lambda z: F.struct(z["y"].alias("y"), F.zip_with(F.slice(z["place"], F.lit(1), F.size(z["place"]) - 1), F.slice(z["place"], F.lit(2), F.size(z["place"])), lambda a, b: a * b).alias("pairs"))
+    return let(let(let(let(first, chars), place), pairs), lambda z: score(z["y"]["x"]["run"], z["y"]["x"]["n"], z["y"]["x"]["of"], z["y"]["chars"], z["pairs"]))
 
 
 def _size(n: Column) -> Column:
@@ -126,28 +135,38 @@ def _size(n: Column) -> Column:
     return sum(((n >= c).cast("int") for c in CLASSES[1:]), F.lit(0))
 
 
-def ordinary(docs: DataFrame) -> DataFrame:
-    """(size, bin, count) of ordinary runs: one stretch of each document's words, and identifiers made by a rule."""
-    # By hash, a document gives a stretch for one length class, joined in one of three ways.
+def joined_runs(docs: DataFrame) -> DataFrame:
+    """(run): all words of every document's ``text`` but those in long runs, joined and cut into runs of the length classes.
+
+    Nothing is left out but the words of a document with fewer than ``CLASSES[0]``
+    characters of them, which can't fill a run, and no word is taken twice.
+    """
+    # By hash, a document is joined in one of three ways, and begins with one of the length classes.
     pick = F.xxhash64("text")
-    length = F.element_at(F.array(*map(F.lit, CLASSES)), (F.pmod(pick, F.lit(len(CLASSES))) + 1).cast("int"))
-    plain = F.regexp_replace("text", RUN, " ")
-    rows = docs.select(plain.alias("text"), pick.alias("pick"), length.alias("length"))
-    at = F.pmod(F.shiftright("pick", 8), F.greatest(F.length("text") - 4 * F.col("length"), F.lit(1))).cast("int")
-    stretch = F.substring("text", at + 1, 4 * F.col("length"))
+    words = F.array_remove(F.regexp_extract_all("text", F.lit(WORD), F.lit(1)), "")
     way = F.pmod(F.shiftright("pick", 4), F.lit(3))
-    joined = F.regexp_replace(F.trim(stretch), "[^A-Za-z0-9]+", "_")
-    packed = F.replace(joined, F.lit("_"), F.lit(""))
-    run = F.when(way == 0, joined).when(way == 1, packed).otherwise(F.lower(packed))
-    rows = rows.select(F.left(run, F.col("length")).alias("run"), "length")
+    rows = docs.select(pick.alias("pick"), words.alias("words"))
+    packed = F.array_join("words", "")
+    rows = rows.select("pick", F.when(way == 0, F.array_join("words", "_")).when(way == 1, packed).otherwise(F.lower(packed)).alias("all"))
+    rows = rows.select("pick", F.explode(F.regexp_extract_all("all", F.lit(STRETCH), F.lit(0))).alias("all"))
+    turns = [[*CLASSES[i:], *CLASSES[:i]] for i in range(len(CLASSES))]
+    pieces = F.array(*(F.array(*(F.struct(F.lit(sum(t[:i])).alias("start"), F.lit(t[i]).alias("length")) for i in range(len(t)))) for t in turns))
+    left = lambda piece: F.length("all") - piece["start"] - piece["length"]
+    piece = lambda p: F.substring("all", p["start"] + 1, p["length"] + F.when(left(p) < CLASSES[0], F.greatest(left(p), F.lit(0))).otherwise(0))
+    runs = F.transform(F.get(pieces, F.pmod("pick", F.lit(len(CLASSES))).cast("int")), piece)
+    return rows.select(F.explode(runs).alias("run")).where(F.length("run") >= CLASSES[0])
+
+
+def ordinary(docs: DataFrame) -> DataFrame:
+    """(size, bin, count) of ordinary runs: those of all documents' words, and identifiers made by a rule."""
     # Syllables from the digits of a hash; every seventh character ends a word, and digits end the whole.
     made = docs.sparkSession.range(MADE * len(CLASSES)).select(F.sha2(F.col("id").cast("string"), 512).alias("h"), F.element_at(F.array(*map(F.lit, CLASSES)), (F.pmod("id", F.lit(len(CLASSES))) + 1).cast("int")).alias("length"), F.pmod(F.col("id"), F.lit(3)).alias("way"))
     digit = lambda i: F.conv(F.substring(F.col("h"), i, F.lit(1)), 16, 10).cast("int") + 1
     letter = lambda i: F.when(i % 7 == 0, F.lit("_")).when(i > F.col("length") - 3, F.substring(F.lit("0123456789012345"), digit(i), F.lit(1))).when(i % 2 == 0, F.substring(F.lit("aeiouaeiouaeioua"), digit(i), F.lit(1))).otherwise(F.substring(F.lit("bcdfghjklmnprstv"), digit(i), F.lit(1)))
     name = F.array_join(F.transform(F.sequence(F.lit(1), F.col("length")), letter), "")
     name = F.when(F.col("way") == 0, name).when(F.col("way") == 1, F.replace(F.initcap(F.replace(name, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("X"))).otherwise(F.replace(name, F.lit("_"), F.lit("-")))
-    rows = rows.union(made.select(name.alias("run"), "length")).where(F.length("run") == F.col("length"))
-    return rows.select(_size(F.col("length")).alias("size"), tail_bin(F.col("run")).alias("bin")).groupBy("size", "bin").count()
+    rows = joined_runs(docs).union(made.select(name.alias("run")))
+    return rows.select(_size(F.length("run")).alias("size"), tail_bin(F.col("run")).alias("bin")).groupBy("size", "bin").count()
 
 
 def _apart(runs: Column, base: Column) -> Column:

@@ -269,6 +269,51 @@ def test_runs_apart_from_base_spans(spark):
         assert [tuple(x) for x in got] == [r for r in runs if not any(b[0] < r[1] and r[0] < b[1] for b in base)]
 
 
+def test_ordinary_runs_hold_every_word(spark):
+    """Each word lies in one run of the null, whatever the text's length; long runs are what is tested, and are left out."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgXYZ0123", k=rng.randrange(1, 12)))
+    for n in (1, 3, 8, 30, 52, 60, 200, 3000):
+        words = [word() for _ in range(n)]
+        text = "".join(w + rng.choice([" ", ", ", "-", " é\n"]) + (" " + "Ab1/" * 10 + " " if i % 50 == 7 else "") for i, w in enumerate(words))
+        docs = spark.createDataFrame([(text,)], "text string")
+        runs = [r.run for r in secrets.joined_runs(docs).collect()]
+        kept = [w for w in re.findall("[A-Za-z0-9]+", re.sub("[A-Za-z0-9+/_-]{24,}", " ", text))]
+        forms = {"_".join(kept), "".join(kept), "".join(kept).lower()}
+        assert "".join(runs) in forms or not runs and min(map(len, forms)) < 24, (n, runs)
+        assert all(len(r) >= 24 for r in runs)
+        if n == 3000:
+            counts = {}
+            for r in secrets.ordinary(docs).collect():
+                counts[r["size"]] = counts.get(r["size"], 0) + r["count"]
+            assert sum(counts.values()) == secrets.MADE * len(secrets.CLASSES) + len(runs) and min(counts.values()) > secrets.MADE + 40
+
+
+def test_battery_equals_a_plain_one(spark):
+    import math
+
+    def plain(run):
+        run = run.lower() if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else run
+        letters = next(letters for pattern, letters in secrets.ENCODINGS.values() if re.search(pattern, run))
+        n, m = len(run), len(letters)
+        place = [max(letters.find(c), 0) - (m - 1) / 2 for c in run]
+        pairs = [a * b for a, b in zip(place, place[1:], strict=False)]
+        uniform = (sum(run.count(c) ** 2 for c in set(run)) * m / n - n - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)
+        crossing = (sum(x < 0 for x in pairs) - (n - 1) / 2) / (math.sqrt(n - 1) / 2)
+        serial = sum(pairs) / ((m * m - 1) / 12) / math.sqrt(n - 1)
+        p = sum(c.isupper() for c in letters) / m
+        capitals = (sum(c.isupper() for c in run) - n * p) / math.sqrt(n * p * (1 - p)) if 0 < p < 1 else 0.0
+        s = uniform**2 + crossing**2 + serial**2 + capitals**2
+        return (s / 2 - math.log1p(s / 2)) / 2.302585092994046 * secrets.STEPS
+
+    rng = random.Random(10)
+    runs = ["".join(rng.choices(letters + "_" * (i % 2), k=rng.choice([24, 31, 64, 300]))) for i in range(60) for letters in ("0123456789ABCDEF", "ABCDEFGHXYZ234567", "abcxyz019", "abcXYZ019", "aB+/-9")] + ["a" * 24, "A" * 40, "_" * 30]
+    got = spark.createDataFrame([(r,) for r in runs], "run string").select("run", secrets.tail_bin(F.col("run")).alias("bin")).collect()
+    for r in got:
+        x = plain(r.run)
+        assert r.bin == min(math.floor(x), secrets.LAST) or abs(x - round(x)) < 1e-6, (r, x)
+
+
 def test_a_conversation_of_many_turns(spark):
     rows = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", f"text <| {t}") for t in range(20_000)], TURN)
     begun = time.time()
