@@ -131,6 +131,17 @@ def test_slices_equal_plain_windows(spark):
     assert sorted(r.event_id for r in got) == sorted(e for ks in kept.values() for _, e in ks)
 
 
+def test_sketches_count_no_null_values(spark):
+    """A null is no value: it neither fills a register nor hides one beyond the exact ones."""
+    from obsflow.operators import cardinality as K
+
+    rows = [("a", None), ("b", None), *(("b", str(i)) for i in range(K.EXACT + 1)), ("c", "x"), ("c", "x"), ("c", None)]
+    state = K.sketch(spark.createDataFrame(rows, "k string, value string"), ["k"])
+    for states in (state, K.merge_sketches(state.union(state), ["k"])):
+        got = {r.k: (len(r.registers), any(r.registers), len(r.hashes), r.overflow) for r in states.collect()}
+        assert got == {"a": (K.REGISTERS, False, 0, False), "b": (K.REGISTERS, True, 0, True), "c": (K.REGISTERS, True, 1, False)}
+
+
 def test_sketches_are_small_and_merge_in_any_order(spark):
     from obsflow.operators import cardinality as K
 
